@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexmill.session import table
+from lexmill.session import cut_lineage, table
 
 
 def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,8 +23,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_sentences(text_blocks(spark, sf_dir), ["doc_id", "idx"], guards=guards)
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of blocks and documents whose labels are missing, wrong or too few."""
+    from lexmill.llm.language import relabel
+
+    found = relabel(text_blocks(spark, sf_dir), table(spark, sf_dir, "documents"), cut_lineage)
+    return found.select("doc_id", "idx", "seg_no", "lang")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found}
+    return {"p1_found": p1_found, "p5_found": p5_found}
 
 
 def oracle_sql() -> dict[str, str]:
