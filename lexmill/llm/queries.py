@@ -31,8 +31,22 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "idx", "seg_no", "lang")
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are for more than half of their characters no running prose."""
+    from lexmill.llm.quality import text_quality
+
+    return text_quality(table(spark, sf_dir, "documents"), ["doc_id"]).where("kind is not null").select("doc_id", "kind").distinct()
+
+
+def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures, shares and failed rules of every document."""
+    from lexmill.llm.quality import text_quality
+
+    return text_quality(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p5_found": p5_found}
+    return {"p1_found": p1_found, "p5_found": p5_found, "p9_found": p9_found, "p9_statistics": p9_statistics}
 
 
 def oracle_sql() -> dict[str, str]:
