@@ -23,6 +23,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_sentences(text_blocks(spark, sf_dir), ["doc_id", "idx"], guards=guards)
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks whose text or anchor differs from its consistent form."""
+    from lexmill.llm.normal import normalise_fields
+
+    blocks = table(spark, sf_dir, "blocks")
+    return normalise_fields(blocks, ["doc_id", "idx"], {"text": False, "anchor": True}, only_changed=True).select("doc_id", "idx", "field").distinct()
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of blocks and documents whose labels are missing, wrong or too few."""
     from lexmill.llm.language import relabel
@@ -46,7 +54,7 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p5_found": p5_found, "p9_found": p9_found, "p9_statistics": p9_statistics}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p9_found": p9_found, "p9_statistics": p9_statistics}
 
 
 def oracle_sql() -> dict[str, str]:
