@@ -39,6 +39,20 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "idx", "seg_no", "lang")
 
 
+def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in a container, for each capacity."""
+    from lexmill.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_specs"), cut_lineage)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a held-out test item, whole or in part."""
+    from lexmill.llm.leaks import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are for more than half of their characters no running prose."""
     from lexmill.llm.quality import text_quality
@@ -54,7 +68,7 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p9_found": p9_found, "p9_statistics": p9_statistics}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p7_pack": p7_pack, "p8_found": p8_found, "p9_found": p9_found, "p9_statistics": p9_statistics}
 
 
 def oracle_sql() -> dict[str, str]:
