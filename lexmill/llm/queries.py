@@ -23,6 +23,30 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_sentences(text_blocks(spark, sf_dir), ["doc_id", "idx"], guards=guards)
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of mentions of the same person or company."""
+    from lexmill.llm.identity import mention_pairs, mentions, resolve
+    from lexmill.llm.works import records, work_groups
+
+    refs = table(spark, sf_dir, "refs")
+    works = work_groups(cut_lineage(records(refs)), cut_lineage)
+    return mention_pairs(resolve(mentions(table(spark, sf_dir, "parties"), refs), cut_lineage, works))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record of each work that supplies its title, authors and DOI."""
+    from lexmill.llm.works import best_records
+
+    return best_records(table(spark, sf_dir, "refs"), table(spark, sf_dir, "source_trust"), cut_lineage)
+
+
+def p3_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One surviving record per work, sources united."""
+    from lexmill.llm.works import merged_records
+
+    return merged_records(table(spark, sf_dir, "refs"), table(spark, sf_dir, "source_trust"), cut_lineage)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks whose text or anchor differs from its consistent form."""
     from lexmill.llm.normal import normalise_fields
@@ -68,7 +92,7 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p7_pack": p7_pack, "p8_found": p8_found, "p9_found": p9_found, "p9_statistics": p9_statistics}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_merged": p3_merged, "p4_found": p4_found, "p5_found": p5_found, "p7_pack": p7_pack, "p8_found": p8_found, "p9_found": p9_found, "p9_statistics": p9_statistics}
 
 
 def oracle_sql() -> dict[str, str]:
