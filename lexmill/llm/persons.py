@@ -78,7 +78,7 @@ def _given_forms() -> dict[str, str]:
             out[name] = name
         for s in short.split():
             out.setdefault(s, name if " " not in name else name)
-    out["luis"] = "luis"
+    out["luis"], out["joseluis"] = "luis", "jose luis"
     out["mariaclaude"] = out["marieclaude"] = "marie-claude"
     out["jeanbaptiste"] = "jean-baptiste"
     return out
@@ -138,7 +138,8 @@ def parse_person(typed: str) -> Person | None:
             else:
                 pick = max(range(len(ws)), key=lambda k: len(ws[k]))
             last, rest = [ws[pick]], [w for k, w in enumerate(ws) if k != pick]
-    surname = "".join(low(w) for w in last).replace("-", "").replace("'", "")
+    # Umlauts are also typed as two letters.
+    surname = re.sub("([aou])e", r"\1", "".join(low(w) for w in last).replace("-", "").replace("'", ""))
     rest = [low(w) for w in rest if low(w) not in TITLES or len(w) == 1]
     if not rest:
         return Person(surname, "", "", "", False)
@@ -149,7 +150,7 @@ def parse_person(typed: str) -> Person | None:
         first = names[0]
         if first == "jose luis" or names[:2] == ["jose", "luis"]:
             first, names = "jose luis", names[2:] if names[:2] == ["jose", "luis"] else names[1:]
-        elif len(full) > 1 and given_name("".join(full)) in ("jean-baptiste", "marie-claude"):
+        elif len(full) > 1 and given_name("".join(full)) in ("jean-baptiste", "marie-claude", "jose luis"):
             first, names = given_name("".join(full)), []
         else:
             names = names[1:]
@@ -206,19 +207,29 @@ def parse_company(typed: str) -> Company | None:
         return None
     words = [re.sub(r"[^a-z0-9]", "", w) for w in re.split(r"[\s,]+", text)]
     words = [w for w in words if w]
-    # The legal form is the longest run of closing words that spells one, with a typing error at most.
+    # The legal form is the longest run of closing words that spells one, else with a typing error.
     form, body = "", words
-    for n in (5, 4, 3, 2, 1):
-        if len(words) > n:
-            tail = "".join(words[-n:])
-            hit = next((name for s, name in _spellings("form") if tail == s or len(s) >= 6 and close(tail, s)), "")
-            if hit:
-                form, body = hit, words[:-n]
-                break
-    rest = "".join(body)
-    core, business = _tail(rest, "business", 5)
+    for exact in (True, False):
+        for n in (5, 4, 3, 2, 1):
+            if len(words) > n and not form:
+                tail = "".join(words[-n:])
+                form = next((name for s, name in _spellings("form") if tail == s or not exact and len(s) >= 6 and close(tail, s)), "")
+                if form:
+                    body = words[:-n]
+    # The business word stands at either end, as whole words, or run together with the name.
+    core = business = ""
+    for exact in (True, False):
+        for n in (3, 2, 1):
+            for side, rest in ((body[-n:], body[:-n]), (body[:n], body[n:])):
+                if rest and not business:
+                    word = "".join(side)
+                    business = next((name for s, name in _spellings("business") if word == s or not exact and len(s) >= 5 and close(word, s)), "")
+                    core = "".join(rest) if business else ""
     if not business:
-        core, business = _head(rest)
+        rest = "".join(body)
+        core, business = _tail(rest, "business", 5)
+        if not business:
+            core, business = _head(rest)
     if business and len(core) < 3:
-        core, business = rest, ""
+        core, business = "".join(body), ""
     return Company(core, business, serial, form)

@@ -59,10 +59,10 @@ def title_tokens(text: str) -> list[str]:
     return low.split()
 
 
-def _title(title: str | None) -> tuple[str | None, bool, bool]:
-    """Key of tokens, cut short, damaged."""
+def _title(title: str | None) -> tuple[str | None, str | None, bool, bool]:
+    """Key of tokens, those before the subtitle, cut short, damaged."""
     if title is None or not title.strip():
-        return None, False, True
+        return None, None, False, True
     text, damaged = repair(title)
     cut = bool(re.search(r"(…|\.\.\.)\s*$", text.strip()))
     letters = [c for c in text if c.isalpha() and c.lower() != c.upper()]
@@ -70,14 +70,15 @@ def _title(title: str | None) -> tuple[str | None, bool, bool]:
     tokens = title_tokens(text)
     if cut and tokens and not re.search(r"[\s:,;–-](…|\.\.\.)\s*$", text.strip()):
         tokens[-1:] = [tokens[-1] + "~"]
-    return " ".join(tokens) or None, cut, damaged or cut or flat or "�" in text
+    main = title_tokens(re.split(r":|[.;]\s|\s[–—-]\s", text, maxsplit=1)[0])
+    return " ".join(tokens) or None, (" ".join(main) or None) if main != tokens else None, cut, damaged or cut or flat or "�" in text
 
 
 def records(refs: DataFrame) -> DataFrame:
     """One row per ref_id with its title key, flags, DOI, author figures and surnames."""
-    names = ["key", "cut", "damaged", "named", "written", "surnames"]
+    names = ["key", "main", "cut", "damaged", "named", "written", "surnames"]
 
-    @F.pandas_udf("key string, cut boolean, damaged boolean, named int, written int, surnames array<string>")
+    @F.pandas_udf("key string, main string, cut boolean, damaged boolean, named int, written int, surnames array<string>")
     def look(title: pd.Series, authors: pd.Series) -> pd.DataFrame:
         rows = []
         for t, people in zip(title, authors):
@@ -92,7 +93,10 @@ def records(refs: DataFrame) -> DataFrame:
 
 def work_groups(recs: DataFrame, cut) -> DataFrame:
     """``ref_id, work``: the smallest ref_id of the records of the same work."""
-    whole = recs.where("key IS NOT NULL AND NOT cut")
+    # A title that is another's part before the subtitle does not name a work.
+    mains = recs.where("main IS NOT NULL AND NOT cut").select(F.col("main").alias("key"), F.lit(True).alias("part")).distinct()
+    recs = cut(recs.join(mains, "key", "left").withColumn("part", F.coalesce("part", F.lit(False))))
+    whole = recs.where("key IS NOT NULL AND NOT cut AND NOT part")
     # A record without a year belongs to the title's only year.
     years = whole.where("year IS NOT NULL").groupBy("key").agg(F.min("year").alias("y0"), F.max("year").alias("y1"))
     dated = whole.join(years, "key", "left").withColumn("y", F.coalesce("year", F.when(F.col("y0") == F.col("y1"), F.col("y0"))))
@@ -102,10 +106,10 @@ def work_groups(recs: DataFrame, cut) -> DataFrame:
     common = by_doi.where("start IS NOT NULL").groupBy("doi", "start").count().groupBy("doi").agg(F.max_by("start", F.struct("count", "start")).alias("usual"))
     by_doi = by_doi.join(common, "doi", "left").select("ref_id", F.concat(F.lit("d:"), "doi", F.when(F.col("start") != F.col("usual"), F.concat(F.lit("|"), "start")).otherwise("")).alias("k"))
     # A title cut short joins the one whole title it begins, by an author and year in common.
-    short = recs.where("key IS NOT NULL AND cut").withColumn("begin", F.regexp_replace("key", "~$", "")).where(F.length("begin") >= PREFIX)
+    short = recs.where("key IS NOT NULL").withColumn("begin", F.regexp_replace("key", "~$", "")).where(F.length("begin") >= PREFIX)
     short = short.select("ref_id", "begin", "year", F.explode("surnames").alias("s"), F.substring("begin", 1, PREFIX).alias("p"))
     full = dated.select("key", F.col("y").alias("year"), F.explode("surnames").alias("s"), F.substring("key", 1, PREFIX).alias("p")).distinct()
-    near = short.join(full, ["year", "s", "p"]).where(F.expr("startswith(key, begin)")).groupBy("ref_id").agg(F.min("key").alias("k0"), F.max("key").alias("k1"), F.min("year").alias("year"))
+    near = short.join(full, ["year", "s", "p"]).where(F.expr("startswith(key, begin) AND key <> begin")).groupBy("ref_id").agg(F.min("key").alias("k0"), F.max("key").alias("k1"), F.min("year").alias("year"))
     by_start = near.where("k0 = k1").select("ref_id", F.concat(F.lit("t:"), "k0", F.lit("|"), F.col("year").cast("string")).alias("k"))
     keys = cut(by_title.unionByName(by_doi).unionByName(by_start).distinct())
     label = cut(recs.select("ref_id", F.col("ref_id").alias("work")))
