@@ -189,7 +189,9 @@ def best_records(refs: DataFrame, trust: DataFrame, cut) -> DataFrame:
         out = []
         for group in keys:
             seqs = [(g["key"].rstrip("~").split(), g["weight"]) for g in group]
-            voted = consensus(seqs) if len(seqs) > 1 else seqs[0][0]
+            # A sequence that is the beginning of another has lost its end and no vote on it.
+            whole = [(a, w) for a, w in seqs if not any(len(b) > len(a) and b[: len(a)] == a or len(b) >= len(a) and b[: len(a) - 1] == a[:-1] and b[len(a) - 1].startswith(a[-1]) and b != a for b, _ in seqs)]
+            voted = consensus(whole or seqs)
             out.append([{"key": g["key"], "far": distance(s, voted)} for g, (s, _) in zip(group, seqs)])
         return pd.Series(out)
 
