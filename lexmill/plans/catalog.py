@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.plans import hierarchies
+from lexmill.plans import hierarchies, texts
 
 FLAGSHIP = "p6_found"
-_PARTS = (hierarchies,)
+_PARTS = (hierarchies, texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
