@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.plans import hierarchies, texts
+from lexmill.plans import hierarchies, tables, texts
 
 FLAGSHIP = "p6_found"
-_PARTS = (hierarchies, texts)
+_PARTS = (hierarchies, texts, tables)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
