@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.plans import hierarchies, tables, texts
+from lexmill.plans import hierarchies, mining, tables, texts
 
 FLAGSHIP = "p6_found"
-_PARTS = (hierarchies, texts, tables)
+_PARTS = (hierarchies, texts, tables, mining)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -28,11 +28,11 @@ def query(sql: str | None = None):
 # ---- predicates and projections
 
 
-@query("SELECT o_orderkey, c_name, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE contains(lower(c_mktsegment), 'build') AND contains(lower(o_orderpriority), 'urgent') AND contains(lower(n_name), 'an')")
+@query("SELECT o_orderkey, c_name, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE contains(lower(c_mktsegment), 'build') AND contains(lower(o_orderpriority), 'urgent') AND contains(lower(n_name), 'n')")
 def p1_contains_all(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
     j = table(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
-    return j.where(tabular.contains_all({"c_mktsegment": "BUILD", "o_orderpriority": "Urgent", "n_name": "an"})).select("o_orderkey", "c_name", "n_name")
+    return j.where(tabular.contains_all({"c_mktsegment": "BUILD", "o_orderpriority": "Urgent", "n_name": "N"})).select("o_orderkey", "c_name", "n_name")
 
 
 @query("SELECT ref_id FROM (SELECT DISTINCT ref_id, title, container, doi FROM refs) WHERE container = 'Rev. mar. law' OR contains(lower(title), 'franchise')")
@@ -373,11 +373,12 @@ def j4_unresolved(spark: SparkSession, d: str) -> DataFrame:
     return p.join(table(spark, d, "blocks").select("doc_id").distinct(), "doc_id", "left_anti").select("party_id", "doc_id")
 
 
-@query(f"SELECT DISTINCT p.party_id FROM parties p JOIN ownership_links l ON lower({sql_fold('p.name')}) = lower({sql_fold('l.parent')})")
+@query(f"SELECT DISTINCT p.party_id FROM parties p JOIN (SELECT unnest(authors) AS a FROM refs) r ON lower({sql_fold('p.name')}) = lower({sql_fold('r.a')})")
 def j6_corroborated(spark: SparkSession, d: str) -> DataFrame:
     key = lambda c: F.lower(T.fold(F.col(c)))
     p = table(spark, d, "parties").where("name IS NOT NULL").select("party_id", key("name").alias("k")).distinct()
-    return p.join(table(spark, d, "ownership_links").select(key("parent").alias("k")).distinct(), "k", "left_semi").select("party_id")
+    a = table(spark, d, "refs").select(F.explode("authors").alias("a")).where("a IS NOT NULL").select(key("a").alias("k"))
+    return p.join(a.distinct(), "k", "left_semi").select("party_id")
 
 
 _SUBJECTS = [(1, "Acme Holdings"), (2, "Holdings"), (3, "the Acme Holdings"), (4, "Beta"), (5, "Alpha Beta Gamma"), (6, "Gamma")]
