@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.plans import files, hierarchies, mining, tables, texts
+from lexmill.plans import files, hierarchies, mining, special, tables, texts
 
 FLAGSHIP = "p6_found"
-_PARTS = (hierarchies, texts, tables, mining, files)
+_PARTS = (hierarchies, texts, tables, mining, files, special)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -20,18 +20,19 @@ def _strip(col: str):
     return F.substring(col, 2, 1 << 30)
 
 
-_KIND = F.when(F.substring("node", 1, 1) == "c", "link").otherwise("heading")
+def _kind():
+    return F.when(F.substring("node", 1, 1) == "c", "link").otherwise("heading")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Root, depth and number beneath of every company and heading, with cycles."""
-    return _both(spark, sf_dir).select(_KIND.alias("kind"), _strip("node").alias("node"), _strip("root").alias("root"), "depth", "n_below")
+    return _both(spark, sf_dir).select(_kind().alias("kind"), _strip("node").alias("node"), _strip("root").alias("root"), "depth", "n_below")
 
 
 def p6_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full path of every company and heading that is in no cycle, outermost first."""
     tree = _both(spark, sf_dir, with_path=True).where("path IS NOT NULL")
-    return tree.select(_KIND.alias("kind"), _strip("node").alias("node"), F.concat_ws(" > ", F.transform("path", lambda x: F.substring(x, 2, 1 << 30))).alias("path"))
+    return tree.select(_kind().alias("kind"), _strip("node").alias("node"), F.concat_ws(" > ", F.transform("path", lambda x: F.substring(x, 2, 1 << 30))).alias("path"))
 
 
 def p6_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
