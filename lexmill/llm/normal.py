@@ -144,7 +144,7 @@ def _compose(codes: np.ndarray, source: np.ndarray, t: Tables, dirty: list[np.nd
     ccc = t.ccc[np.minimum(codes, cp.LIMIT)]
     if not ccc.any():
         return codes, source
-    before, was = codes, source
+    before, was, codes = codes, source, codes.copy()
     mark_next = np.zeros(len(codes), bool)
     mark_next[:-1] = ccc[1:] > 0
     clipped = np.minimum(codes, cp.LIMIT)

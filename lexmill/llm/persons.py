@@ -131,7 +131,7 @@ def parse_person(typed: str) -> Person | None:
                 pick = shouted[0]
             elif len(names) == 1:
                 pick = names[0]
-            elif names:
+            elif names and len(names) < len(long):
                 pick = max(names, key=lambda k: (len(ws[k]), k))
             elif long:
                 pick = long[-1]
