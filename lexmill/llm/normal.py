@@ -221,25 +221,24 @@ def _one_script(codes: np.ndarray, source: np.ndarray, t: Tables, dirty: list[np
     score = np.stack([o * 100 + x for o, x in zip(own, total)])
     target = score.argmax(0)
     mixed = has > 1
-    # A word of look-alikes only, between Latin words, is a Latin word in disguise.
+    # A word of look-alikes only says nothing by itself: its neighbours do.
     sure = np.where(own[0] > 0, 0, np.where(own[1] > 0, 1, np.where(own[2] > 0, 2, -1)))
-    lone = (has == 1) & (total[0] == 0) & (own[1] + own[2] == 0) & (total[1] + total[2] > 0)
-    if lone.any():
+    open_word = sure < 0
+    lone = open_word & (has == 1) & (total[0] == 0)
+    if (lone | open_word & mixed).any():
         row = np.cumsum(ends)[np.flatnonzero(head)]
         known = np.where(sure >= 0, np.arange(n_words), -1)
-        left = np.maximum.accumulate(known)
-        left = np.concatenate([[-1], left[:-1]])
+        left = np.concatenate([[-1], np.maximum.accumulate(known)[:-1]])
         right = np.minimum.accumulate(np.where(known >= 0, known, n_words)[::-1])[::-1]
         right = np.concatenate([right[1:], [n_words]])
         ok_left = (left >= 0) & (row[np.maximum(left, 0)] == row)
         ok_right = (right < n_words) & (row[np.minimum(right, n_words - 1)] == row)
-        l_lat = ok_left & (sure[np.maximum(left, 0)] == 0)
-        r_lat = ok_right & (sure[np.minimum(right, n_words - 1)] == 0)
-        disguise = lone & (l_lat | r_lat) & (~ok_left | l_lat) & (~ok_right | r_lat)
-        mixed |= disguise
-        target = np.where(disguise, 0, target)
-        tie = (has > 1) & (sure < 0) & (l_lat | r_lat)
-        target = np.where(tie & (score[0] == score.max(0)), 0, target)
+        on_left = np.where(ok_left, sure[np.maximum(left, 0)], -1)
+        on_right = np.where(ok_right, sure[np.minimum(right, n_words - 1)], -1)
+        near = np.where(on_left < 0, on_right, np.where((on_right < 0) | (on_left == on_right), on_left, -1))
+        # A whole word of another script is a disguise only among Latin words.
+        mixed |= lone & (near == 0)
+        target = np.where(open_word & mixed & (near >= 0), near, target)
     change = mixed[w]
     out = codes.copy()
     for k in range(3):

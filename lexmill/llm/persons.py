@@ -97,6 +97,12 @@ def given_name(word: str) -> str | None:
     return None
 
 
+def _stands_out(lengths: list[int]) -> bool:
+    """One word is much longer than the others, as surnames are beside misspelt given names."""
+    *_, second, first = sorted([0, *lengths])
+    return first >= 9 and first >= second + 3
+
+
 def _is_given(word: str) -> bool:
     return given_name(word) is not None
 
@@ -131,7 +137,7 @@ def parse_person(typed: str) -> Person | None:
                 pick = shouted[0]
             elif len(names) == 1:
                 pick = names[0]
-            elif names and len(names) < len(long):
+            elif names and (len(names) < len(long) or _stands_out([len(ws[k]) for k in names])):
                 pick = max(names, key=lambda k: (len(ws[k]), k))
             elif long:
                 pick = long[-1]
