@@ -224,7 +224,7 @@ def a24_series_consistency(spark: SparkSession, d: str) -> DataFrame:
 def w1_running_ids(spark: SparkSession, d: str) -> DataFrame:
     """A running number per source; numbers come from counts of hash-ordered portions, so a hot source is many tasks."""
     docs = table(spark, d, "documents").where("source IS NOT NULL").select("source", "doc_id", "received_at")
-    return ordered.running_number(docs, "source", ["received_at", "doc_id"], "n").select("source", "doc_id", F.concat(F.upper(F.substring("source", 1, 1)), F.lpad(F.col("n").cast("string"), 6, "0")).alias("code"))
+    return ordered.running_number(docs, "source", ["received_at", "doc_id"], ordered.by_day("received_at"), "n").select("source", "doc_id", F.concat(F.upper(F.substring("source", 1, 1)), F.lpad(F.col("n").cast("string"), 6, "0")).alias("code"))
 
 
 @query("SELECT doc_id, idx, greatest(idx - 1, 0) AS before, idx + 1 AS after FROM (SELECT DISTINCT doc_id, idx FROM blocks)")
@@ -299,7 +299,7 @@ def w16_idle_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT user_id, ts, next_ts FROM (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_ts FROM events) WHERE next_ts - ts > INTERVAL 24 HOUR")
 def w18_gaps(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").withColumn("next_ts", F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    e = ordered.next_time(table(spark, d, "events").select("user_id", "ts", "event_id"), "user_id", "ts", "event_id", "next_ts")
     return e.where("next_ts - ts > INTERVAL '24' HOUR").select("user_id", "ts", "next_ts")
 
 
@@ -314,8 +314,9 @@ def l6_stratified_sample(spark: SparkSession, d: str) -> DataFrame:
     """Of each source five rows and a tenth, all of small ones; the same rows in every run."""
     docs = table(spark, d, "documents").where("source IS NOT NULL").select("source", "doc_id")
     size = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    k = F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    return docs.join(F.broadcast(size), "source").withColumn("k", k).where(F.col("k") <= F.when(F.col("n") <= 5, F.col("n")).otherwise(5 + F.ceil(F.col("n") * 0.1))).select("source", "doc_id")
+    hashed = docs.withColumn("h", F.xxhash64("doc_id"))
+    numbered = ordered.running_number(hashed, "source", ["h", "doc_id"], F.shiftright("h", 56), "k")
+    return numbered.join(size, "source").where(F.col("k") <= F.when(F.col("n") <= 5, F.col("n")).otherwise(5 + F.ceil(F.col("n") * 0.1))).select("source", "doc_id")
 
 
 @query("SELECT container, round(sum(n) FILTER (k <= 3) * 1.0 / sum(n), 6) AS top3_share FROM (SELECT container, year, count(*) AS n, row_number() OVER (PARTITION BY container ORDER BY count(*) DESC, year) AS k FROM (SELECT DISTINCT container, year, ref_id FROM refs WHERE container IS NOT NULL AND year IS NOT NULL) GROUP BY container, year) GROUP BY container")
@@ -393,8 +394,9 @@ def j8_suffix_match(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT e.event_id, CAST(count(p.event_id) AS BIGINT) AS earlier FROM events e LEFT JOIN events p ON p.user_id = e.user_id AND p.event_type = 'signup' AND (p.ts, p.event_id) < (e.ts, e.event_id) GROUP BY e.event_id")
 def j9_earlier_matches(spark: SparkSession, d: str) -> DataFrame:
     """How many sign-ups of the user came before each event: an as-of count by one running sum, not a range join."""
-    upto = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, d, "events").select("event_id", F.coalesce(F.sum((F.col("event_type") == "signup").cast("long")).over(upto), F.lit(0)).alias("earlier"))
+    e = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
+    hit = F.coalesce((F.col("event_type") == "signup").cast("long"), F.lit(0))
+    return ordered.running_sum(e, "user_id", ["ts", "event_id"], ordered.by_day("ts"), hit, "earlier", own=False).select("event_id", "earlier")
 
 
 # Aliases of instruments with their hint words.
