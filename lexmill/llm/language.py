@@ -49,6 +49,8 @@ CODES = {name: code for code, names in NOTATIONS.items() for name in names.split
 #: Bound of the training sample: blocks looked at, and characters kept of each language.
 SAMPLE_ROWS = 8000
 TRAIN_CHARS = 24000
+#: Longest text taken into the sample, so that its size is bounded in bytes too.
+SAMPLE_TEXT = 4000
 #: A script other than Latin decides if it has this share of a sentence's letters; names are often Latin.
 SCRIPT_SHARE = 0.25
 #: A language is in a document if it holds this share of the characters.
@@ -299,7 +301,7 @@ def fit(blocks: DataFrame, label: str = "lang", text: str = "text", key: tuple[s
     share = min(1.0, SAMPLE_ROWS / max(blocks.count(), 1))
     drawn = blocks.where(F.pmod(F.xxhash64(*key), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     drawn = drawn.select(label_code(F.col(label)).alias("l"), F.col(text).alias("t"), F.xxhash64(*key).alias("h"))
-    rows = drawn.where("l is not null and length(trim(t)) > 20").collect()
+    rows = drawn.where(F.col("l").isNotNull() & F.length("t").between(20, SAMPLE_TEXT)).collect()
     rows.sort(key=lambda r: (r.l, r.h, r.t))
     budget: Counter = Counter()
     picked = []

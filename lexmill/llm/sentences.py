@@ -341,7 +341,7 @@ class Splitter:
             dot_ok &= ~(shout & carry)
             wordy = (length >= 4) & ((last_kind & cp.LOWER) > 0) & ~never & ~maybe
             dot_ok |= dot & digit & gap & (wordy | closed)
-            no_gap_ok = ((kind[at_most(x + 1)] & (cp.LOWER | cp.CASELESS)) > 0) | opener | ((kind[at_most(x + 1)] & cp.SPACE) > 0) & (length >= 3)
+            no_gap_ok = ((kind[at_most(x + 1)] & (cp.LOWER | cp.CASELESS)) > 0) | opener | (((kind[at_most(x + 1)] & cp.SPACE) > 0) | _member("'’")[c_at(x + 1)]) & (length >= 3)
             dot_ok &= gap | closed | caseless | no_gap_ok & ((length >= 2) | number)
             # Scripts without case.
             latin_before = (last_kind & (cp.LATIN | cp.CYRILLIC)) > 0
