@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lexmill.functions import text as T
 from lexmill.operators import rules as R
 from lexmill.plans.common import fixture, sql_clean, sql_fold, values
-from lexmill.session import table
+from lexmill.session import cut_lineage, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -29,10 +29,10 @@ def _esc(p: str) -> str:
 
 # What the scanner looks for in running text.
 SCAN_RULES = (
-    R.Rule("registered_number", "identifier", 1, r"[A-Z]-?[0-9]{2,}/[0-9]{2,}"),
-    R.Rule("ipv4", "network", 1, r"(^|[^0-9.])([0-9]{1,3}[.]){3}[0-9]{1,3}([^0-9.]|$)"),
-    R.Rule("email", "contact", 2, r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+[.][A-Za-z]{2,}"),
-    R.Rule("base64_run", "obfuscation", 2, r"[A-Za-z0-9+/]{60,}"),
+    R.Rule("registered_number", "identifier", 1, r"[A-Z]-?[0-9]{2,}/[0-9]{2,}", "/"),
+    R.Rule("ipv4", "network", 1, r"(^|[^0-9.])([0-9]{1,3}[.]){3}[0-9]{1,3}([^0-9.]|$)", "."),
+    R.Rule("email", "contact", 2, r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+[.][A-Za-z]{2,}", "@"),
+    R.Rule("base64_run", "obfuscation", 2, r"(^|[^A-Za-z0-9+/])[A-Za-z0-9+/]{60,}"),
     R.Rule("hex_dump", "obfuscation", 1, r"^[0-9a-f]{8}( +[0-9a-f]{2}){8,}"),
     R.Rule("zero_width", "obfuscation", 3, r"[\x{200B}\x{2060}\x{FEFF}]"),
     R.Rule("boilerplate", "noise", 0, r"(do not copy|no text layer|continued overleaf|CONFIDENTIAL)"),
@@ -58,7 +58,7 @@ def h44_findings(spark: SparkSession, d: str) -> DataFrame:
 @query(_FINDINGS_SQL + ", b AS (SELECT fingerprint FROM f WHERE severity = 0) SELECT source, count(*) FILTER (severity = 0) AS low, count(*) FILTER (severity = 1) AS medium, count(*) FILTER (severity = 2) AS high, count(*) FILTER (severity = 3) AS critical, count(*) AS total, CASE WHEN count(*) FILTER (severity = 3) > 0 THEN 'FAIL' WHEN count(*) FILTER (severity = 2) > 0 OR count(*) FILTER (severity = 1) >= 5 THEN 'WARN' ELSE 'PASS' END AS verdict FROM f WHERE fingerprint NOT IN (SELECT fingerprint FROM b) GROUP BY source")
 def a7_audit_verdict(spark: SparkSession, d: str) -> DataFrame:
     """Findings less the accepted baseline, counted by severity, with each source's verdict."""
-    f = _findings(spark, d)
+    f = cut_lineage(_findings(spark, d).select("source", "severity", "fingerprint"))
     counts = R.severity_counts(R.less_baseline(f, f.where("severity = 0")), "source")
     return counts.withColumn("verdict", R.verdict(F.col("critical"), F.col("high"), F.col("medium")))
 
@@ -126,7 +126,7 @@ def h5_frame_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_SCORED_SQL + ", k AS (SELECT field, count(DISTINCT doc_id) > 1 AS corroborated FROM c GROUP BY field) SELECT field, decision, count(*) AS n FROM (SELECT field, CASE WHEN score >= 85 THEN 'promote' WHEN score >= 65 AND corroborated THEN 'promote' WHEN score >= 45 THEN 'hint' WHEN score >= 35 THEN 'hint' ELSE 'suppress' END AS decision FROM c JOIN k USING (field)) GROUP BY field, decision")
 def h23_tier_decisions(spark: SparkSession, d: str) -> DataFrame:
-    c = _candidates(spark, d)
+    c = cut_lineage(_candidates(spark, d).select("doc_id", "field", "score"))
     k = c.groupBy("field").agg((F.count_distinct("doc_id") > 1).alias("corroborated"))
     decided = c.join(F.broadcast(k), "field").select("field", R.tier(F.col("score"), F.col("corroborated"), F.lit(False), F.lit(True)).alias("decision"))
     return decided.groupBy("field", "decision").agg(F.count(F.lit(1)).alias("n"))
