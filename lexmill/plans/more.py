@@ -44,7 +44,7 @@ _HEADS = [("Invoice_No",), ("  Time   Keeper ",), ("HOURS",), ("a_b  c",)]
 
 
 @query(f"SELECT h, trim(regexp_replace(replace(lower(h), '_', ' '), ' +', ' ', 'g')) AS field FROM {values(_HEADS, 'h')}")
-def p7_header_key(spark: SparkSession, d: str) -> DataFrame:
+def pred7_header_key(spark: SparkSession, d: str) -> DataFrame:
     return fixture(spark, _HEADS, "h string").select("h", tabular.header_key(F.col("h")).alias("field"))
 
 
@@ -52,7 +52,7 @@ _FOUND = [(1, 0, "x = 1"), (2, 2, "key = 'a'  # noqa"), (3, 3, "eval(x)"), (4, 2
 
 
 @query(f"SELECT id FROM {values(_FOUND, 'id, severity, line')} WHERE severity >= 2 AND NOT regexp_matches(line, '(noqa|nosec|scan:ignore)') AND NOT regexp_matches(line, '^(rule|example)')")
-def p10_severity_floor(spark: SparkSession, d: str) -> DataFrame:
+def pred10_severity_floor(spark: SparkSession, d: str) -> DataFrame:
     """Findings at or above a severity, less marked lines (P11) and lines that talk about the rule (P12)."""
     from lexmill.operators.rules import suppressed
 
@@ -64,14 +64,14 @@ _PREDICATES = [(1, "buyer", "equals", "buyer"), (2, "buyer", "one_of", "seller,b
 
 
 @query(f"SELECT id, coalesce(CASE kind WHEN 'equals' THEN v = want WHEN 'one_of' THEN list_contains(string_split(want, ','), v) WHEN 'regex' THEN regexp_full_match(v, want) END, false) AS ok FROM {values(_PREDICATES, 'id, v, kind, want')}")
-def p15_value_predicates(spark: SparkSession, d: str) -> DataFrame:
+def pred15_value_predicates(spark: SparkSession, d: str) -> DataFrame:
     p = fixture(spark, _PREDICATES, "id int, v string, kind string, want string")
     ok = F.when(F.col("kind") == "equals", F.col("v") == F.col("want")).when(F.col("kind") == "one_of", F.array_contains(F.split("want", ","), F.col("v"))).when(F.col("kind") == "regex", F.expr("v RLIKE concat('^(?:', want, ')$')"))
     return p.select("id", F.coalesce(ok, F.lit(False)).alias("ok"))
 
 
 @query("SELECT ref_id, title IS NOT NULL AND title <> '' AS titled, coalesce(len(authors), 0) > 0 AS has_authors, verifiable_id.value IS NOT NULL AND verifiable_id.value <> '' AS has_id FROM (SELECT ref_id, any_value(title) AS title, any_value(authors) AS authors, any_value(verifiable_id) AS verifiable_id FROM refs GROUP BY ref_id)")
-def p16_filled(spark: SparkSession, d: str) -> DataFrame:
+def pred16_filled(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "refs").groupBy("ref_id").agg(F.any_value("title").alias("title"), F.any_value("authors").alias("authors"), F.any_value("verifiable_id").alias("v"))
     full = lambda c: F.col(c).isNotNull() & (F.col(c) != "")
     return r.select("ref_id", F.coalesce(full("title"), F.lit(False)).alias("titled"), (F.coalesce(F.size("authors"), F.lit(0)) > 0).alias("has_authors"), F.coalesce(full("v.value"), F.lit(False)).alias("has_id"))

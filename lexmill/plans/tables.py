@@ -29,36 +29,36 @@ def query(sql: str | None = None):
 
 
 @query("SELECT o_orderkey, c_name, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE contains(lower(c_mktsegment), 'build') AND contains(lower(o_orderpriority), 'urgent') AND contains(lower(n_name), 'n')")
-def p1_contains_all(spark: SparkSession, d: str) -> DataFrame:
+def pred1_contains_all(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
     j = table(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
     return j.where(tabular.contains_all({"c_mktsegment": "BUILD", "o_orderpriority": "Urgent", "n_name": "N"})).select("o_orderkey", "c_name", "n_name")
 
 
 @query("SELECT ref_id FROM (SELECT DISTINCT ref_id, title, container, doi FROM refs) WHERE container = 'Rev. mar. law' OR contains(lower(title), 'franchise')")
-def p2_case_match(spark: SparkSession, d: str) -> DataFrame:
+def pred2_case_match(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "refs").select("ref_id", "title", "container", "doi").distinct()
     return r.where(F.col("container").eqNullSafe("Rev. mar. law") | F.lower("title").contains("franchise")).select("ref_id")
 
 
 @query("SELECT p_partkey FROM part WHERE contains(lower(p_name), 'st') OR contains(lower(p_brand), 'st') OR contains(lower(p_type), 'st')")
-def p3_any_column(spark: SparkSession, d: str) -> DataFrame:
+def pred3_any_column(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").where(tabular.any_contains(["p_name", "p_brand", "p_type"], "ST")).select("p_partkey")
 
 
 @query("SELECT DISTINCT ref_id, year FROM refs WHERE year BETWEEN 2001 AND 2010")
-def p4_year_range(spark: SparkSession, d: str) -> DataFrame:
+def pred4_year_range(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "refs").withColumn("y", F.col("year").cast("string"))
     return r.where(tabular.in_years(F.col("y"), "2001-2010")).select("ref_id", "year").distinct()
 
 
 @query("SELECT DISTINCT party_id, role FROM parties WHERE role <> ''")
-def p5_filled_flag(spark: SparkSession, d: str) -> DataFrame:
+def pred5_filled_flag(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "parties").where(F.col("role") != "").select("party_id", "role").distinct()
 
 
 @query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
-def p6_projection(spark: SparkSession, d: str) -> DataFrame:
+def pred6_projection(spark: SparkSession, d: str) -> DataFrame:
     return tabular.project(table(spark, d, "supplier"), ["s_suppkey", "s_name", "s_acctbal"])
 
 
@@ -71,7 +71,7 @@ _NORM = r"trim(regexp_replace(replace(lower(header), '_', ' '), ' +', ' ', 'g'))
 @query(f"""WITH r AS (SELECT row_number() OVER () AS pos, * FROM {values(_HEADERS, 'id, header, value')}), m AS (SELECT r.*, a.field FROM (SELECT *, {_NORM} AS h FROM r) r LEFT JOIN (VALUES {', '.join(f"('{a}', '{b}')" for a, b in ALIASES.items())}) a(h, field) ON r.h = a.h)
  SELECT id, arg_max(value, pos) FILTER (field = 'invoice_number') AS invoice_number, arg_max(value, pos) FILTER (field = 'timekeeper_name') AS timekeeper_name, arg_max(value, pos) FILTER (field = 'hours') AS hours,
  concat_ws(' | ', arg_max(value, pos) FILTER (field = 'narrative'), string_agg(header || '=' || value, ' | ' ORDER BY pos) FILTER (field IS NULL AND value <> '')) AS narrative FROM m GROUP BY id""")
-def p8_header_rows(spark: SparkSession, d: str) -> DataFrame:
+def pred8_header_rows(spark: SparkSession, d: str) -> DataFrame:
     cells = fixture(spark, [(k, *r) for k, r in enumerate(_HEADERS)], "pos int, id int, header string, value string")
     return tabular.canonical_rows(cells, ALIASES, ["invoice_number", "timekeeper_name", "hours", "narrative"])
 
@@ -80,7 +80,7 @@ _TARIFF = [(1, "0101", 0, "Live horses"), (2, "0101.21", 1, "Pure-bred"), (3, ""
 
 
 @query(f"SELECT idx, code, indent FROM {values(_TARIFF, 'idx, code, indent, name')} t WHERE idx >= (SELECT min(idx) FROM {values(_TARIFF, 'idx, code, indent, name')} WHERE starts_with(code, '0101')) AND idx < coalesce((SELECT min(idx) FROM {values(_TARIFF, 'idx, code, indent, name')} WHERE code <> '' AND NOT starts_with(code, '0101') AND idx > (SELECT min(idx) FROM {values(_TARIFF, 'idx, code, indent, name')} WHERE starts_with(code, '0101'))), 1000)")
-def p9_prefix_scan(spark: SparkSession, d: str) -> DataFrame:
+def pred9_prefix_scan(spark: SparkSession, d: str) -> DataFrame:
     return tabular.heading_rows(fixture(spark, _TARIFF, "idx int, code string, indent int, name string"), "0101").select("idx", "code", "indent")
 
 
@@ -89,18 +89,18 @@ _FILES = ["a/b.py", "Makefile", "requirements.txt", "x/package.json", ".github/w
 
 @query(f"""SELECT path, CASE WHEN regexp_matches(lower(path), '[.](png|jpg|so|exe|dll|zip)$') THEN 'binary' WHEN regexp_matches(lower(path), '(^|/)(requirements[.]txt|package[.]json|pyproject[.]toml|go[.]mod)$') THEN 'dependency' WHEN contains(path, '.github/workflows/') THEN 'workflow'
  WHEN regexp_matches(lower(path), '[.](py|js|ts|sh|rb|go)$') THEN 'code' WHEN regexp_matches(lower(path), '[.]md$') THEN 'markdown' ELSE 'other' END AS kind FROM {values([(f,) for f in _FILES], 'path')}""")
-def p13_file_kind(spark: SparkSession, d: str) -> DataFrame:
+def pred13_file_kind(spark: SparkSession, d: str) -> DataFrame:
     return fixture(spark, [(f,) for f in _FILES], "path string").select("path", tabular.file_kind(F.col("path")).alias("kind"))
 
 
 @query("SELECT matter_id, CASE WHEN nullif(trim(attorney), '') IS NULL THEN false ELSE true END AS has_attorney, coalesce(nullif(trim(attorney), ''), nullif(trim(matter), ''), '?') AS shown FROM matters")
-def p17_first_present(spark: SparkSession, d: str) -> DataFrame:
+def pred17_first_present(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "matters")
     return m.select("matter_id", F.nullif(F.trim("attorney"), F.lit("")).isNotNull().alias("has_attorney"), F.coalesce(T.first_present(F.col("attorney"), F.col("matter")), F.lit("?")).alias("shown"))
 
 
 @query("""SELECT DISTINCT party_id, array_to_string(list_filter([CASE WHEN coalesce(name, '') = '' THEN 'name' END, CASE WHEN coalesce(role, '') = '' THEN 'role' END, CASE WHEN coalesce(type, '') = '' THEN 'type' END], lambda x: x IS NOT NULL), ',') AS missing FROM parties WHERE coalesce(name, '') = '' OR coalesce(role, '') = '' OR coalesce(type, '') = ''""")
-def p18_missing_required(spark: SparkSession, d: str) -> DataFrame:
+def pred18_missing_required(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "parties").withColumn("m", tabular.missing(["name", "role", "type"]))
     return p.where(F.size("m") > 0).select("party_id", F.array_join("m", ",").alias("missing")).distinct()
 
