@@ -4,8 +4,9 @@ Mentions that parse alike become one profile at once, so a name with a third
 of all rows costs one profile per spelling. Then, round by round:
 
 * profiles are blocked by every spelling they hold and by each spelling with
-  one letter left out, which finds every pair one typing error apart; a rare
-  spelling moves to the best established one of its blocks;
+  one letter left out, which finds every pair one typing error apart; a
+  spelling moves to the best of its blocks that is as frequent or more so, if
+  that is far more frequent or their fields agree;
 * the profiles under one name are merged where their given names, initials,
   affiliations, numbers, jurisdictions and legal forms agree, and the merged
   profile holds the union of them;
@@ -32,8 +33,8 @@ from lexmill.llm.persons import parse_company, parse_person
 
 Cut = Callable[[DataFrame], DataFrame]
 
-#: Mentions from which a spelling counts as established: two such are never one typing error of each other.
-ESTABLISHED = 2
+#: Without agreement, another spelling must stand this many times for each mention of this one but the first.
+FREQUENT = 2
 #: Mentions of an entity in one portion; larger entities are paired portion by portion, each a key of its own.
 PORTION = 256
 
@@ -82,18 +83,18 @@ def _shapes(core):
 
 
 def canonical_names(names: DataFrame, cut: Cut) -> DataFrame:
-    """Rare spellings moved to established ones: ``cls, ctx, ini, core, to``.
+    """Spellings moved to others at least as frequent: ``cls, ctx, ini, core, to``.
 
     ``names`` has ``cls, ctx, ini, core, n, softs, strongs``, one row per
-    spelling. Each block is led by its established spellings; a rare spelling
-    looks at the best leaders of its blocks, never at all pairs of them.
+    spelling. Every spelling is a candidate, whatever its count; it moves to
+    one whose fields do not clash, if that is FREQUENT times as frequent, shares
+    an affiliation or number, or knows all of its given names or legal forms.
     """
     blocked = names.withColumn("shape", F.explode(_shapes(F.col("core")))).where(F.length("shape") >= 3)
     key = ["cls", "ctx", "ini", "shape"]
-    # Several leaders of a block may suit a rare spelling; all distinct established spellings of a shape are few.
+    # Several leaders of a block may suit a spelling; all distinct spellings of a shape are few.
     leaders = blocked.select(*key, F.col("core").alias("to"), F.col("n").alias("to_n"), F.col("softs").alias("to_softs"), F.col("strongs").alias("to_strongs"))
-    rare = blocked.where(F.col("n") < ESTABLISHED).select(*key, "core", "n", "softs", "strongs")
-    pairs = rare.join(leaders, key).where((F.col("core") != F.col("to")) & ((F.col("to_n") > F.col("n")) | (F.col("to_n") == F.col("n")) & (F.col("to") < F.col("core"))))
+    pairs = blocked.select(*key, "core", "n", "softs", "strongs").join(leaders, key).where((F.col("core") != F.col("to")) & ((F.col("to_n") > F.col("n")) | (F.col("to_n") == F.col("n")) & (F.col("to") < F.col("core"))))
     pairs = pairs.where(F.abs(F.length("core") - F.length("to")) <= 1).drop("shape").dropDuplicates(["cls", "ctx", "ini", "core", "to"])
     # Letters at two places differ in some pairs that share a shape: keep one typing error only.
     pairs = pairs.where((F.levenshtein("core", "to") <= 1) | ((F.length("core") == F.length("to")) & (F.levenshtein("core", "to") == 2) & (F.array_sort(F.split("core", "")) == F.array_sort(F.split("to", "")))))
@@ -106,6 +107,9 @@ def canonical_names(names: DataFrame, cut: Cut) -> DataFrame:
     pairs = pairs.where(~apart)
     proof = F.coalesce(shares("strongs", "to_strongs"), F.lit(False)).cast("int")
     soft = F.coalesce(shares("softs", "to_softs"), F.lit(False)).cast("int")
+    # Two frequent spellings are often two names: that some given name occurs under both says nothing then.
+    held = (F.size("softs") > 0) & (F.size(F.array_except("softs", "to_softs")) == 0)
+    pairs = pairs.where((proof == 1) | held | (F.col("to_n") >= FREQUENT * (F.col("n") - 1)))
     best = pairs.groupBy("cls", "ctx", "ini", "core").agg(F.max_by("to", F.struct(proof.alias("a"), soft.alias("b"), F.col("to_n").alias("c"), F.col("to").alias("d"))).alias("to"))
     best = cut(best)
     # A leader that itself moves passes its followers on.

@@ -217,6 +217,26 @@ def test_identity_rows(spark, cut):
     assert mention_pairs(resolve(mentions(parties.where("false"), refs.where("false")), cut, works)).count() == 0
 
 
+def by_name(spark, cut, typed):
+    """Mentions of each entity, by reference: ``typed`` are (author, affiliation)."""
+    rows = [(k, [a], [f]) for k, (a, f) in enumerate(typed)]
+    refs = spark.createDataFrame(rows, "ref_id long, authors array<string>, author_affils array<string>")
+    parties = spark.createDataFrame([], "party_id long, name string, type string, reg_no string, jurisdiction string")
+    out = {}
+    for r in resolve(mentions(parties, refs), cut).collect():
+        out.setdefault(r.entity, set()).add(r.id)
+    return sorted(map(sorted, out.values()))
+
+
+def test_a_typing_error_made_twice_is_linked(spark, cut):
+    typed = [("Torzelhunwick, V.", "Law, Lamgwen")] * 12 + [("TOREZLHUNWICK, V.", "Law, Lamgwen"), ("Torezlhunwick V", None)]
+    assert by_name(spark, cut, typed) == [list(range(14))]
+    # Two frequent names that agree in nothing stay two.
+    typed = [("Meierhof, Thomas", None)] * 5 + [("Meyerhof, Thomas", None), ("Meyerhof, Tobias", None)] * 2
+    got = by_name(spark, cut, typed)
+    assert not any(min(g) < 5 <= max(g) for g in got)
+
+
 def test_work_rows(spark, cut):
     _, refs, trust = tables(spark)
     got = {tuple(r) for r in best_records(refs, trust, cut).collect()}
