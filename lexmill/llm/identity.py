@@ -35,24 +35,26 @@ Cut = Callable[[DataFrame], DataFrame]
 
 #: Without agreement, another spelling must stand this many times for each mention of this one but the first.
 FREQUENT = 2
+#: Letters of a shape from which it stands without an affiliation or number.
+SHORT = 3
 #: Mentions of an entity in one portion; larger entities are paired portion by portion, each a key of its own.
 PORTION = 256
 
-_PIECES = ["cls", "core", "ctx", "ini", "soft", "mid"]
+_PIECES = ["cls", "core", "ctx", "ini", "soft", "mid", "spelled"]
 
 
 def _parse(kind: str, typed: str | None, what: str | None) -> tuple | None:
-    """Class, comparable core, context, initial, soft field and middle initial of a mention."""
+    """Class, comparable core, context, initial, soft field, middle initial and unfolded core of a mention."""
     if typed is None or not typed.strip():
         return None
     company = parse_company(typed) if kind == "party" else None
     is_company = kind == "party" and (what == "organisation" or what != "person" and company is not None and bool(company.form or company.business or company.serial))
     if is_company and company is not None:
-        return ("party-o", company.core, f"{company.business}|{company.serial}", "", company.form, "")
+        return ("party-o", company.core, f"{company.business}|{company.serial}", "", company.form, "", company.core)
     person = parse_person(typed)
     if person is None or not person.surname:
         return None
-    return ("party-p" if kind == "party" else "author", person.surname, "", person.initial, person.given, person.middle)
+    return ("party-p" if kind == "party" else "author", person.surname, "", person.initial, person.given, person.middle, person.spelled)
 
 
 def _clean(col):
@@ -69,7 +71,7 @@ def mentions(parties: DataFrame, refs: DataFrame) -> DataFrame:
 
     @F.pandas_udf(", ".join(f"{c} string" for c in _PIECES))
     def parse(kind: pd.Series, typed: pd.Series, what: pd.Series) -> pd.DataFrame:
-        none = (None,) * 6
+        none = (None,) * len(_PIECES)
         return pd.DataFrame([_parse(k, t, w) or none for k, t, w in zip(kind, typed, what)], columns=_PIECES)
 
     every = p.unionByName(a).where("typed IS NOT NULL")
@@ -85,19 +87,27 @@ def _shapes(core):
 def canonical_names(names: DataFrame, cut: Cut) -> DataFrame:
     """Spellings moved to others at least as frequent: ``cls, ctx, ini, core, to``.
 
-    ``names`` has ``cls, ctx, ini, core, n, softs, strongs``, one row per
-    spelling. Every spelling is a candidate, whatever its count; it moves to
+    ``names`` has ``cls, ctx, ini, core, n, softs, strongs, spells``, one row
+    per spelling; ``spells`` are its forms, folded and as typed, and two are near
+    if any of their forms are. Every spelling is a candidate, whatever its count; it moves to
     one whose fields do not clash, if that is FREQUENT times as frequent, shares
     an affiliation or number, or knows all of its given names or legal forms.
     """
-    blocked = names.withColumn("shape", F.explode(_shapes(F.col("core")))).where(F.length("shape") >= 3)
-    key = ["cls", "ctx", "ini", "shape"]
+    key = ["cls", "ctx", "ini", "shape", "at"]
+    forms = names.select("cls", "ctx", "ini", "core", "strongs", F.explode(F.array_distinct(F.concat("spells", F.array("core")))).alias("form"))
+    forms = forms.withColumn("shape", F.explode(_shapes(F.col("form")))).where(F.length("shape") >= 1)
+    # What is left of a short name says little: there the affiliation or number is part of the block.
+    at = F.when(F.length("shape") >= SHORT, F.array(F.lit(""))).otherwise(F.col("strongs"))
+    blocked = forms.select("cls", "ctx", "ini", "shape", "core", "form", F.explode(at).alias("at"))
     # Several leaders of a block may suit a spelling; all distinct spellings of a shape are few.
-    leaders = blocked.select(*key, F.col("core").alias("to"), F.col("n").alias("to_n"), F.col("softs").alias("to_softs"), F.col("strongs").alias("to_strongs"))
-    pairs = blocked.select(*key, "core", "n", "softs", "strongs").join(leaders, key).where((F.col("core") != F.col("to")) & ((F.col("to_n") > F.col("n")) | (F.col("to_n") == F.col("n")) & (F.col("to") < F.col("core"))))
-    pairs = pairs.where(F.abs(F.length("core") - F.length("to")) <= 1).drop("shape").dropDuplicates(["cls", "ctx", "ini", "core", "to"])
+    leaders = blocked.select(*key, F.col("core").alias("to"), F.col("form").alias("to_form"))
+    pairs = blocked.join(leaders, key).where((F.col("core") != F.col("to")) & (F.abs(F.length("form") - F.length("to_form")) <= 1))
     # Letters at two places differ in some pairs that share a shape: keep one typing error only.
-    pairs = pairs.where((F.levenshtein("core", "to") <= 1) | ((F.length("core") == F.length("to")) & (F.levenshtein("core", "to") == 2) & (F.array_sort(F.split("core", "")) == F.array_sort(F.split("to", "")))))
+    pairs = pairs.where((F.levenshtein("form", "to_form") <= 1) | ((F.length("form") == F.length("to_form")) & (F.levenshtein("form", "to_form") == 2) & (F.array_sort(F.split("form", "")) == F.array_sort(F.split("to_form", "")))))
+    pairs = pairs.select("cls", "ctx", "ini", "core", "to").distinct()
+    stats = names.select("cls", "ctx", "ini", "core", "n", "softs", "strongs")
+    pairs = pairs.join(stats, ["cls", "ctx", "ini", "core"]).join(stats.select("cls", "ctx", "ini", *[F.col(c).alias(x) for c, x in (("core", "to"), ("n", "to_n"), ("softs", "to_softs"), ("strongs", "to_strongs"))]), ["cls", "ctx", "ini", "to"])
+    pairs = pairs.where((F.col("to_n") > F.col("n")) | (F.col("to_n") == F.col("n")) & (F.col("to") < F.col("core")))
     shares = lambda a, b: F.arrays_overlap(F.col(a), F.col(b))
     known = (F.size("softs") > 0) & (F.size("to_softs") > 0)
     clash = known & ~F.coalesce(shares("softs", "to_softs"), F.lit(False))
@@ -236,7 +246,7 @@ def resolve(found: DataFrame, cut: Cut, works: DataFrame | None = None, rounds:
     """
     found = cut(found.withColumn("name", F.col("core")))
     for _ in range(rounds):
-        names = found.groupBy("cls", "ctx", "ini", F.col("name").alias("core")).agg(F.count(F.lit(1)).alias("n"), F.array_remove(F.collect_set("soft"), "").alias("softs"), F.collect_set("strong").alias("strongs"))
+        names = found.groupBy("cls", "ctx", "ini", F.col("name").alias("core")).agg(F.count(F.lit(1)).alias("n"), F.array_remove(F.collect_set("soft"), "").alias("softs"), F.collect_set("strong").alias("strongs"), F.collect_set("spelled").alias("spells"))
         moves = cut(canonical_names(cut(names), cut))
         if not moves.limit(1).count():
             break

@@ -39,6 +39,8 @@ class Person(NamedTuple):
     initial: str
     middle: str
     written: bool
+    #: The surname with umlauts typed as two letters left so.
+    spelled: str = ""
 
 
 class Company(NamedTuple):
@@ -145,10 +147,11 @@ def parse_person(typed: str) -> Person | None:
                 pick = max(range(len(ws)), key=lambda k: len(ws[k]))
             last, rest = [ws[pick]], [w for k, w in enumerate(ws) if k != pick]
     # Umlauts are also typed as two letters.
-    surname = re.sub("([aou])e", r"\1", "".join(low(w) for w in last).replace("-", "").replace("'", ""))
+    spelled = "".join(low(w) for w in last).replace("-", "").replace("'", "")
+    surname = re.sub("([aou])e", r"\1", spelled)
     rest = [low(w) for w in rest if low(w) not in TITLES or len(w) == 1]
     if not rest:
-        return Person(surname, "", "", "", False)
+        return Person(surname, "", "", "", False, spelled)
     full = [w for w in rest if len(w.replace("-", "")) > 2 or given_name(w) and len(w) > 1 and "-" not in w]
     full = [w for w in full if not re.fullmatch(r"[a-z](-[a-z])+", w)]
     if full:
@@ -161,9 +164,9 @@ def parse_person(typed: str) -> Person | None:
         else:
             names = names[1:]
         short = [w[0] for w in rest if len(w) == 1]
-        return Person(surname, first, first[0], short[0] if short else "", True)
+        return Person(surname, first, first[0], short[0] if short else "", True, spelled)
     letters = [c for w in rest for c in re.findall(r"[a-z]", w)]
-    return Person(surname, "", letters[0] if letters else "", "".join(letters[1:2]), False)
+    return Person(surname, "", letters[0] if letters else "", "".join(letters[1:2]), False, spelled)
 
 
 @functools.cache

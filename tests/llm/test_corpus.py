@@ -237,6 +237,13 @@ def test_a_typing_error_made_twice_is_linked(spark, cut):
     assert not any(min(g) < 5 <= max(g) for g in got)
 
 
+def test_a_typing_error_in_an_umlaut_or_a_short_name_is_linked(spark, cut):
+    law, sea = "Law, Lamgwen", "Sea, Vilrud"
+    typed = [("Kasscudelby, T.", law)] * 3 + [("Kasscduelby, T.", law)] + [("Sorfirdyseau, J.", sea)] * 3 + [("Sorfirdyaeau, J.", sea)]
+    typed += [("Orb, K.", law)] * 3 + [("Orv, K.", law), ("Orx, K.", sea)]
+    assert by_name(spark, cut, typed) == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9, 10, 11], [12]]
+
+
 def test_work_rows(spark, cut):
     _, refs, trust = tables(spark)
     got = {tuple(r) for r in best_records(refs, trust, cut).collect()}
