@@ -238,19 +238,8 @@ def resolve_name(rows: list[tuple], person: bool) -> list[tuple[int, bool]]:
     return out
 
 
-def resolve(found: DataFrame, cut: Cut, works: DataFrame | None = None, rounds: int = 6) -> DataFrame:
-    """``kind, id, pos, entity`` of every mention; ``works`` (``ref_id, work``) settles unsure authors.
-
-    Rounds end as soon as no spelling moves; the bound only guards against a
-    cycle of moves, which the order of moves rules out.
-    """
-    found = cut(found.withColumn("name", F.col("core")))
-    for _ in range(rounds):
-        names = found.groupBy("cls", "ctx", "ini", F.col("name").alias("core")).agg(F.count(F.lit(1)).alias("n"), F.array_remove(F.collect_set("soft"), "").alias("softs"), F.collect_set("strong").alias("strongs"), F.collect_set("spelled").alias("spells"))
-        moves = cut(canonical_names(cut(names), cut))
-        if not moves.limit(1).count():
-            break
-        found = cut(found.join(moves.select("cls", "ctx", "ini", F.col("core").alias("name"), "to"), ["cls", "ctx", "ini", "name"], "left").withColumn("name", F.coalesce("to", "name")).drop("to"))
+def _profiles_settled(found: DataFrame, cut: Cut) -> DataFrame:
+    """Every mention with the entity its profile falls to under its name, and whether that is sure."""
     # Mentions that agree in every piece are one profile.
     profile = ["cls", "name", "ctx", "ini", "soft", "mid", "strong", "place"]
     profiles = found.groupBy(*profile).agg(F.count(F.lit(1)).alias("n"))
@@ -282,12 +271,37 @@ def resolve(found: DataFrame, cut: Cut, works: DataFrame | None = None, rounds:
     on = same[0]
     for s in same[1:]:
         on = on & s
-    placed = found.join(settled, on).select(found["kind"], found["id"], found["pos"], *[found[c] for c in profile], settled["part"], settled["sure"])
+    placed = found.join(settled, on).select(found["kind"], found["id"], found["pos"], found["core"], found["spelled"], *[found[c] for c in profile], settled["part"], settled["sure"])
     placed = cut(placed.withColumn("entity", F.concat_ws("|", "cls", "name", "ctx", "ini", F.col("part").cast("string"))))
     # Companies under one number are one company, however far their spellings.
     numbered = placed.where("cls = 'party-o' AND strong IS NOT NULL").groupBy("strong").agg(F.min("entity").alias("low"), F.max("entity").alias("high")).where("low <> high")
     renamed = placed.where("cls = 'party-o' AND strong IS NOT NULL").join(numbered, "strong").where("entity <> low").groupBy("entity").agg(F.min("low").alias("low"))
-    placed = placed.join(renamed, "entity", "left").withColumn("entity", F.coalesce("low", "entity")).drop("low")
+    return cut(placed.join(renamed, "entity", "left").withColumn("entity", F.coalesce("low", "entity")).drop("low"))
+
+
+def _learned(placed: DataFrame) -> DataFrame:
+    """One row per name with all that its entities have learned: ``cls, ctx, ini, core, n, softs, strongs, spells``."""
+    key = ["cls", "ctx", "ini", "name"]
+    known = placed.groupBy("entity").agg(F.collect_set("soft").alias("softs"), F.collect_set("strong").alias("strongs"), F.array_union(F.collect_set("core"), F.collect_set("spelled")).alias("spells"))
+    held = placed.groupBy(*key, "entity").agg(F.count(F.lit(1)).alias("n")).join(known, "entity")
+    union = lambda c: F.array_distinct(F.flatten(F.collect_set(c)))
+    names = held.groupBy(*key).agg(F.sum("n").alias("n"), F.array_remove(union("softs"), "").alias("softs"), union("strongs").alias("strongs"), union("spells").alias("spells"))
+    return names.withColumnRenamed("name", "core")
+
+
+def resolve(found: DataFrame, cut: Cut, works: DataFrame | None = None) -> DataFrame:
+    """``kind, id, pos, entity`` of every mention; ``works`` (``ref_id, work``) settles unsure authors.
+
+    Rounds end as soon as no spelling moves. Each move leaves one name less,
+    and goes to a name later in one order, so they do end.
+    """
+    found = cut(found.withColumn("name", F.col("core")))
+    while True:
+        placed = _profiles_settled(found, cut)
+        moves = cut(canonical_names(cut(_learned(placed)), cut))
+        if not moves.limit(1).count():
+            break
+        found = cut(found.join(moves.select("cls", "ctx", "ini", F.col("core").alias("name"), "to"), ["cls", "ctx", "ini", "name"], "left").withColumn("name", F.coalesce("to", "name")).drop("to"))
     if works is not None:
         # An unsure author is the one this work's other records name.
         at = works.select(F.col("ref_id").alias("id"), "work")

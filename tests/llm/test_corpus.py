@@ -244,6 +244,22 @@ def test_a_typing_error_in_an_umlaut_or_a_short_name_is_linked(spark, cut):
     assert by_name(spark, cut, typed) == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9, 10, 11], [12]]
 
 
+def test_merged_profiles_rematch_with_all_they_hold(spark, cut):
+    # The last spelling is two letters from the name, one from a variant that moved rounds before.
+    law = "Law, Lamgwen"
+    typed = [("Torzelhunwick, V.", law)] * 9 + [("Torzelhunwik, V.", law)] * 2 + [("Torzelhuwik, V.", law)]
+    assert by_name(spark, cut, typed) == [list(range(12))]
+    # Seven rounds and more: each spelling is one letter from the next only.
+    word = "abcdefghijklmnopqrst"
+    typed = [("".join("z" if j < k else c for j, c in enumerate(word)).capitalize() + ", V.", law) for k in range(10) for _ in range(2**k)]
+    assert len(by_name(spark, cut, typed)) == 1
+    # A company under one number learns the other form, by which a third spelling no longer clashes.
+    parties = [(1, "Foobarix Shipping Ltd", "R1"), (2, "Foobarix Shipping Ltd", "R1"), (3, "Zuloquent Shipping Inc", "R1"), (4, "Foobarx Shipping Inc", None)]
+    parties = spark.createDataFrame([(k, n, "organisation", r, None) for k, n, r in parties], "party_id long, name string, type string, reg_no string, jurisdiction string")
+    refs = spark.createDataFrame([], "ref_id long, authors array<string>, author_affils array<string>")
+    assert len({r.entity for r in resolve(mentions(parties, refs), cut).collect()}) == 1
+
+
 def test_work_rows(spark, cut):
     _, refs, trust = tables(spark)
     got = {tuple(r) for r in best_records(refs, trust, cut).collect()}
