@@ -417,6 +417,17 @@ def j11_inverted_index(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy("source").agg(F.array_join(F.array_sort(F.collect_list("ref_id")), ",").alias("refs"))
 
 
+#: Reference ids in one posting of the index at most.
+POSTING = 1024
+
+
+@query(f"SELECT source, CAST(floor(ref_id / {POSTING}.0) AS BIGINT) AS bucket, array_to_string(list_sort(list(DISTINCT ref_id)), ',') AS refs FROM (SELECT ref_id, unnest(sources) AS source FROM refs WHERE ref_id IS NOT NULL) GROUP BY source, bucket")
+def j11_postings(spark: SparkSession, d: str) -> DataFrame:
+    """The index over all rows: a source's references in ranges of POSTING ids, so a hot source is many short lists."""
+    r = table(spark, d, "refs").where("ref_id IS NOT NULL").select("ref_id", F.explode("sources").alias("source")).distinct().withColumn("bucket", F.floor(F.col("ref_id") / POSTING))
+    return r.groupBy("source", "bucket").agg(F.array_join(F.array_sort(F.collect_list("ref_id")), ",").alias("refs"))
+
+
 _ACTS = [("K.C.",), ("kc",), ("ksh",), ("k.s.h.",), ("xx",)]
 
 
