@@ -85,8 +85,13 @@ _BLOCKS_SQL = "(SELECT DISTINCT doc_id, idx, text FROM blocks WHERE block_type =
 _SENT_SQL = f"(SELECT doc_id, idx, generate_subscripts(s, 1) AS pos, replace(unnest(s), chr(1), '.') AS sentence FROM (SELECT doc_id, idx, {_SPLIT_SQL} AS s FROM {_BLOCKS_SQL}))"
 
 
-def _sentences(spark: SparkSession, d: str) -> DataFrame:
-    b = table(spark, d, "blocks").where("block_type = 'paragraph' AND lang = 'en' AND text IS NOT NULL").select("doc_id", "idx", "text").distinct()
+_ENGLISH = "block_type = 'paragraph' AND lang = 'en' AND text IS NOT NULL"
+#: Labels of language are missing or wrong in part, so whole queries look at every text.
+_EVERY = "block_type IN ('paragraph', 'list_item') AND text IS NOT NULL"
+
+
+def _sentences(spark: SparkSession, d: str, of: str = _ENGLISH) -> DataFrame:
+    b = table(spark, d, "blocks").where(of).select("doc_id", "idx", "text").distinct()
     return b.select("doc_id", "idx", F.posexplode(_split(F.col("text"))).alias("pos", "sentence")).withColumn("pos", F.col("pos") + 1)
 
 
@@ -95,6 +100,12 @@ def t1_plain_sentences(spark: SparkSession, d: str) -> DataFrame:
     return _sentences(spark, d)
 
 
+@query()
+def t1_every_sentence(spark: SparkSession, d: str) -> DataFrame:
+    """Of paragraphs and list items, however labelled."""
+    return _sentences(spark, d, _EVERY)
+
+
 # Frames in order, with the field each fills and its score in hundredths.
 FRAMES = (
     R.Frame("negative_duty", "obligation", 76, r"(undertakes not to|shall not|may not)"), R.Frame("positive_duty", "obligation", 72, r"(agrees to|shall|must keep|must deliver)"),
@@ -112,8 +123,8 @@ _SCORE_SQL = "least(greatest(base + " + " + ".join(f"{w} * CAST(regexp_matches(s
 _SCORED_SQL = f"WITH s AS {_SENT_SQL}, c AS (SELECT *, {_SCORE_SQL} AS score FROM {_CAND_SQL})"
 
 
-def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    c = R.match_frames(_sentences(spark, d), "sentence", FRAMES)
+def _candidates(spark: SparkSession, d: str, of: str = _ENGLISH) -> DataFrame:
+    c = R.match_frames(_sentences(spark, d, of), "sentence", FRAMES)
     boost = sum((w * F.col("sentence").rlike(p).cast("int") for w, p in SIGNALS.values()), F.lit(0))
     anti = sum((F.col("sentence").contains(w).cast("int") for w in ANTI_SIGNALS), F.lit(0))
     return c.withColumn("score", F.least(F.greatest(F.col("base") + boost - F.least(F.lit(28), 7 * anti), F.lit(0)), F.lit(100)))
@@ -124,9 +135,23 @@ def h5_frame_candidates(spark: SparkSession, d: str) -> DataFrame:
     return _candidates(spark, d).select("doc_id", "idx", "pos", "frame", "field", "score")
 
 
+@query()
+def h5_every_candidate(spark: SparkSession, d: str) -> DataFrame:
+    return _candidates(spark, d, _EVERY).select("doc_id", "idx", "pos", "frame", "field", "score")
+
+
 @query(_SCORED_SQL + ", k AS (SELECT field, count(DISTINCT doc_id) > 1 AS corroborated FROM c GROUP BY field) SELECT field, decision, count(*) AS n FROM (SELECT field, CASE WHEN score >= 85 THEN 'promote' WHEN score >= 65 AND corroborated THEN 'promote' WHEN score >= 45 THEN 'hint' WHEN score >= 35 THEN 'hint' ELSE 'suppress' END AS decision FROM c JOIN k USING (field)) GROUP BY field, decision")
 def h23_tier_decisions(spark: SparkSession, d: str) -> DataFrame:
-    c = cut_lineage(_candidates(spark, d).select("doc_id", "field", "score"))
+    return _decisions(_candidates(spark, d))
+
+
+@query()
+def h23_every_decision(spark: SparkSession, d: str) -> DataFrame:
+    return _decisions(_candidates(spark, d, _EVERY))
+
+
+def _decisions(candidates: DataFrame) -> DataFrame:
+    c = cut_lineage(candidates.select("doc_id", "field", "score"))
     k = c.groupBy("field").agg((F.count_distinct("doc_id") > 1).alias("corroborated"))
     decided = c.join(F.broadcast(k), "field").select("field", R.tier(F.col("score"), F.col("corroborated"), F.lit(False), F.lit(True)).alias("decision"))
     return decided.groupBy("field", "decision").agg(F.count(F.lit(1)).alias("n"))
@@ -135,7 +160,16 @@ def h23_tier_decisions(spark: SparkSession, d: str) -> DataFrame:
 @query(_SCORED_SQL + " SELECT doc_id, field, arg_max(frame, {'s': score, 'o': -(idx * 100000 + pos * 100 + ordinal)}) AS frame, max(score) AS score, count(*) AS merged FROM c GROUP BY doc_id, field")
 def u5_best_candidate(spark: SparkSession, d: str) -> DataFrame:
     """Per document and field the highest score, the first on ties."""
-    c = _candidates(spark, d).withColumn("o", F.col("idx") * 100000 + F.col("pos") * 100 + F.col("ordinal"))
+    return _best(_candidates(spark, d))
+
+
+@query()
+def u5_every_best(spark: SparkSession, d: str) -> DataFrame:
+    return _best(_candidates(spark, d, _EVERY))
+
+
+def _best(candidates: DataFrame) -> DataFrame:
+    c = candidates.withColumn("o", F.col("idx") * 100000 + F.col("pos") * 100 + F.col("ordinal"))
     return c.groupBy("doc_id", "field").agg(F.max_by("frame", F.struct("score", -F.col("o"))).alias("frame"), F.max("score").alias("score"), F.count(F.lit(1)).alias("merged"))
 
 

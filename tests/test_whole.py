@@ -14,3 +14,12 @@ def test_index_holds_every_reference(spark):
     rows = QUERIES["j11_postings"](spark, DATA).collect()
     got = [(r.source, int(k)) for r in rows for k in r.refs.split(",")]
     assert set(got) == want and len(got) == len(want) and max(len(r.refs.split(",")) for r in rows) <= 1024
+
+
+def test_sentences_of_any_label_and_of_list_items(spark, tmp_path):
+    rows = [(1, 0, "paragraph", "en"), (2, 0, "paragraph", "en-US"), (3, 0, "paragraph", None), (4, 0, "list_item", "en"), (5, 0, "heading", "en")]
+    spark.createDataFrame([(*r, "The Buyer shall pay. The Seller agrees.") for r in rows], "doc_id long, idx int, block_type string, lang string, text string").write.parquet(f"{tmp_path}/blocks.parquet")
+    got = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.pos) for r in got("t1_every_sentence")} == {(k, p) for k in (1, 2, 3, 4) for p in (1, 2)}
+    assert {r.doc_id for r in got("h5_every_candidate")} == {r.doc_id for r in got("u5_every_best")} == {1, 2, 3, 4}
+    assert sum(r.n for r in got("h23_every_decision")) == len(got("h5_every_candidate"))
