@@ -97,18 +97,16 @@ def escape(c: Column, style: str) -> Column:
 
 
 def column_letters(n: Column) -> Column:
-    """Spreadsheet column letters of a number from 1, up to three letters."""
-    letter = lambda k: F.chr((k + 65).cast("int"))
-    one = letter((n - 1) % 26)
-    m2 = F.floor((n - 1) / 26)
-    two = letter((m2 - 1) % 26)
-    m3 = F.floor((m2 - 1) / 26)
-    return F.concat(F.when(m3 > 0, letter((m3 - 1) % 26)).otherwise(""), F.when(m2 > 0, two).otherwise(""), one)
+    """Spreadsheet column letters of a number from 1; fourteen reach beyond any long."""
+    whole = lambda k: F.call_function("div", k, F.lit(26).cast("long"))
+    step = lambda acc: F.struct(whole(acc["m"] - 1).alias("m"), F.concat(F.chr(((acc["m"] - 1) % 26 + 65).cast("int")), acc["s"]).alias("s"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(14)), F.struct(n.cast("long").alias("m"), F.lit("").alias("s")), lambda acc, _: F.when(acc["m"] > 0, step(acc)).otherwise(acc), lambda acc: acc["s"])
+    return F.when(n > 0, found)
 
 
 def column_index(c: Column) -> Column:
     """Number of spreadsheet column letters."""
-    return F.aggregate(F.split(F.upper(c), ""), F.lit(0), lambda acc, x: F.when(x == "", acc).otherwise(acc * 26 + F.ascii(x) - 64))
+    return F.aggregate(F.split(F.upper(c), ""), F.lit(0).cast("long"), lambda acc, x: F.when(x == "", acc).otherwise(acc * 26 + (F.ascii(x) - 64)))
 
 
 def keep_case(like: Column, word: Column) -> Column:

@@ -103,6 +103,15 @@ def t19_strip_html(spark: SparkSession, d: str) -> DataFrame:
  replace(replace(replace(replace(title, '&', '\&'), '%', '\%'), '#', '\#'), '_', '\_') AS as_latex FROM refs WHERE title IS NOT NULL AND NOT regexp_matches(title, '[\\{}$~^]')""")
 def t20_escapes(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "refs").where("title IS NOT NULL").where(~F.col("title").rlike(r"[\\{}$~^]"))
+    return _escaped(r)
+
+
+@query()
+def t20_every_escape(spark: SparkSession, d: str) -> DataFrame:
+    return _escaped(table(spark, d, "refs").where("title IS NOT NULL"))
+
+
+def _escaped(r: DataFrame) -> DataFrame:
     return r.select("ref_id", *[T.escape(F.col("title"), s).alias(f"as_{s}") for s in ("xml", "ics", "md", "latex")]).distinct()
 
 
@@ -115,6 +124,14 @@ def t21_column_letters(spark: SparkSession, d: str) -> DataFrame:
     return p.withColumn("back", T.column_index(F.col("letters")).cast("long"))
 
 
+@query()
+def t21_every_column(spark: SparkSession, d: str) -> DataFrame:
+    """All part keys as spreadsheet columns and back; null for a key below 1, which has no letters."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("n")).distinct()
+    p = p.withColumn("letters", T.column_letters(F.col("n")))
+    return p.withColumn("back", T.column_index(F.col("letters")).cast("long"))
+
+
 @query(f"SELECT DISTINCT party_id, regexp_replace(regexp_replace(lower({sql_fold('name')}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, regexp_replace(name, '[^\\p{{L}}\\p{{N}}._-]+', '_', 'g') AS filename FROM parties WHERE name IS NOT NULL")
 def t22_slug_and_filename(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "parties").where("name IS NOT NULL").select("party_id", T.slug(F.col("name")).alias("slug"), T.safe_filename(F.col("name")).alias("filename")).distinct()
