@@ -283,6 +283,34 @@ def h16_case_citations(spark: SparkSession, d: str) -> DataFrame:
     return b.where("first <> ''").groupBy("first", "second").agg(F.count(F.lit(1)).alias("cites"))
 
 
+@query()
+def h13_every_owner(spark: SparkSession, d: str) -> DataFrame:
+    """All owners of a block."""
+    p = F.lit(r"remaining ([0-9.]+)% of the shares is held by ([A-Z][a-z]+ [A-Z][A-Za-z]+)")
+    found = F.arrays_zip(F.regexp_extract_all("text", p, 2).alias("owner"), F.regexp_extract_all("text", p, 1).alias("share"))
+    b = table(spark, d, "blocks").where("text IS NOT NULL").select("doc_id", "idx", F.explode(found).alias("x"))
+    return b.select("doc_id", "idx", "x.owner", F.col("x.share").try_cast("double").alias("share")).distinct()
+
+
+_ACT_NAME = r"[A-Z][A-Za-z0-9]+(?: (?:[A-Z][A-Za-z0-9]*|of|and|the|for|in|to|on)){0,10} Act\b"
+_SECTION = r"\b(?:ss?[.]|[Ss]ections?) ?[0-9]++(?:[.][0-9]++)*+(?:[(][0-9A-Za-z]+[)])*+"
+_OF_ACT = rf" of (?:the )?(?:Act\b|{_ACT_NAME})"
+# Kinds of citations of law.
+CITATIONS = {
+    "case": r"\b[A-Z][a-z]+ [A-Za-z.]+ v[.] [A-Z][a-z]+\b", "neutral": r"\b(?:19|20)[0-9]{2} [A-Z]{2,6} [0-9]+\b|\[(?:19|20)[0-9]{2}\] [A-Z]{2,6}(?: [A-Z][A-Za-z]+)? [0-9]+\b",
+    "canlii": r"\b(?:19|20)[0-9]{2} CanLII [0-9]+\b", "act": rf"\b{_ACT_NAME}", "statute_section": _SECTION + _OF_ACT, "bare_section": rf"{_SECTION}(?!{_OF_ACT})", "rule": r"\b(?:[Rr]ules?|Reg[.]|[Rr]egulations?) ?[0-9]+(?:[.][0-9]+)*(?:[(][0-9A-Za-z]+[)])*",
+}
+
+
+@query()
+def h16_every_citation(spark: SparkSession, d: str) -> DataFrame:
+    """All citations of a block, of every kind, with the times each is cited."""
+    b = table(spark, d, "blocks").where("text IS NOT NULL").select("doc_id", "idx", "text").distinct()
+    kinds = lambda k, p: F.transform(F.regexp_extract_all("text", F.lit(p), 0), lambda c: F.struct(F.lit(k).alias("kind"), c.alias("citation")))
+    found = F.flatten(F.array(*[kinds(k, p) for k, p in CITATIONS.items()]))
+    return b.select(F.explode(found).alias("x")).groupBy("x.kind", "x.citation").agg(F.count(F.lit(1)).alias("cites"))
+
+
 _CELLS = ("Responsible Party", "Obligation", "Due Date", "Status")
 
 

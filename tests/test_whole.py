@@ -34,3 +34,12 @@ def test_columns_of_any_number_and_titles_of_any_sign(spark, tmp_path):
     spark.createDataFrame([(1, "a\\\\b {c} $~^")], "ref_id long, title string").write.parquet(f"{tmp_path}/refs.parquet")
     (row,) = QUERIES["t20_every_escape"](spark, str(tmp_path)).collect()
     assert row.as_latex.count("textbackslash") == 2 and row.as_latex.endswith(r" \{c\} \$\textasciitilde{}\textasciicircum{}")
+
+
+def test_all_citations_and_owners_of_a_block(spark, tmp_path):
+    text = "Doe Ltd v. Roe and Foo Inc. v. Bar, 2004 SCC 12, [2010] EWCA Civ 7, 2003 CanLII 55; section 12(2) of the Sale of Goods Act; s. 14; Rule 5.1. "
+    text += "The remaining 40.5% of the shares is held by Ann Zelby and the remaining 10% of the shares is held by Bob Orbin."
+    spark.createDataFrame([(1, 0, text), (1, 0, text)], "doc_id long, idx int, text string").write.parquet(f"{tmp_path}/blocks.parquet")
+    got = {(r.kind, r.citation): r.cites for r in QUERIES["h16_every_citation"](spark, str(tmp_path)).collect()}
+    assert got == {k: 1 for k in [("case", "Doe Ltd v. Roe"), ("case", "Foo Inc. v. Bar"), ("neutral", "2004 SCC 12"), ("neutral", "[2010] EWCA Civ 7"), ("canlii", "2003 CanLII 55"), ("act", "Sale of Goods Act"), ("statute_section", "section 12(2) of the Sale of Goods Act"), ("bare_section", "s. 14"), ("rule", "Rule 5.1")]}
+    assert {(r.owner, r.share) for r in QUERIES["h13_every_owner"](spark, str(tmp_path)).collect()} == {("Ann Zelby", 40.5), ("Bob Orbin", 10.0)}
