@@ -10,9 +10,12 @@ Words are compared without case, marks, punctuation, spacing and hyphenation
 and with look-alike characters folded: hyphens and apostrophes within a word
 are dropped, also where a hyphen and a line break divide it.
 
+Scripts without spaces have one word per character there, which counts as a
+half (Chinese, Japanese) or a quarter (Thai) of a word of a run.
+
 Defined results: null and empty texts contain nothing; repeated items and
 documents give one row each; an item shorter than fifteen words leaks only if
-it is a passage that stands there whole.
+it is a passage that stands there whole, down to a passage of one word.
 """
 
 from __future__ import annotations
@@ -33,12 +36,16 @@ from lexmill.llm import codepoints as cp
 RUN, SEED = 15, 4
 #: Share of a passage's words that must stand there if some were replaced (one in six), with room for the ends.
 WHOLE = 0.8
-#: A window that is in more items than this proposes none, unless a run would be left without any.
+#: A window that is in more items than this proposes none, unless a run or a passage with words replaced could be left without any.
 COMMON_SEED = 20
+#: Proposals worked on at once.
+PROPOSALS = 1 << 22
 #: Alignments that differ by so many words may be parts of one copy.
 DRIFT = 12
-#: Items indexed at a time; more are scanned in further passes, so the broadcast stays bounded.
-ITEMS_PER_PASS = 20_000
+#: Items and characters of items indexed at a time; more are scanned in further passes, so the broadcast stays bounded.
+ITEMS_PER_PASS, CHARS_PER_PASS = 20_000, 1 << 25
+#: Words that a character of a script without spaces stands for.
+CJK_WORD, THAI_WORD = 0.5, 0.25
 BATCH_CHARS = 1 << 20
 _M = np.uint64(0x9E3779B97F4A7C15)
 _S = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -65,8 +72,8 @@ def _powers() -> np.ndarray:
     return np.cumprod(np.full(64, _M, np.uint64))
 
 
-def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text, first and last character of every normalised word."""
+def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text, first and last character and weight of every normalised word."""
     texts = [t or "" for t in texts]
     for a, b in LIGATURES.items():
         texts = [t.replace(a, b) if a in t else t for t in texts]
@@ -83,35 +90,38 @@ def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     joint = np.flatnonzero((what == 3) | (what == 4))
     joint = joint[(joint > 0) & (joint < n - 1)]
     joint = joint[word[joint - 1]]
-    after = joint + 1
     broken = what[joint] == 3
-    spaces = np.zeros(len(joint), np.int64)
-    saw_break = np.zeros(len(joint), bool)
-    for _ in range(4):
-        here = np.minimum(after + spaces, n - 1)
-        ok = broken & ((what[here] == 5) | (what[here] == 6))
-        saw_break |= ok & (what[here] == 6)
-        spaces += ok
-    spaces = np.where(saw_break, spaces, 0)
-    follows = word[np.minimum(after + spaces, n - 1)]
-    joint, spaces = joint[follows], spaces[follows]
-    drop = np.zeros(n, bool)
-    for k in range(5):
-        drop[joint[spaces >= k] + k] = True
+    after = joint + 1
+    gap = (what == 5) | (what == 6)
+    solid = np.append(np.flatnonzero(~gap), n - 1)
+    beyond = np.minimum(solid[np.searchsorted(solid[:-1], after)], n - 1)
+    breaks = np.concatenate([[0], np.cumsum(what == 6)])
+    over_break = broken & (breaks[beyond] > breaks[after])
+    beyond = np.where(over_break, beyond, after)
+    follows = word[beyond]
+    joint, beyond = joint[follows], beyond[follows]
+    depth = np.zeros(n + 1, np.int32)
+    np.add.at(depth, joint, 1)
+    np.add.at(depth, beyond, -1)
+    drop = np.cumsum(depth[:-1]) > 0
     left = np.flatnonzero(~drop)
     word, codes, keep = word[left], codes[left], keep[left]
-    head = np.flatnonzero(word & ~np.concatenate([[False], word[:-1]]))
+    kinds = cp.class_table()[codes]
+    alone = word & ((kinds & (cp.CJK | cp.THAI)) > 0)
+    inside = word & ~alone
+    head = np.flatnonzero(alone | inside & ~np.concatenate([[False], inside[:-1]]))
     at = np.flatnonzero(word)
     if not len(at):
         none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none, none, none, none.astype(np.float64)
     owner = np.searchsorted(head, at, "right") - 1
     place = np.minimum(at - head[owner], 63)
     first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
     h = np.add.reduceat((fold[codes[at]] + np.uint64(1)) * _powers()[place], first)
     last = at[np.concatenate([first[1:], [len(at)]]) - 1]
     doc = np.searchsorted(starts, keep[head], "right") - 1
-    return h, doc, keep[head] - starts[doc], keep[last] + 1 - starts[doc]
+    weight = np.where(alone[head], np.where((kinds[head] & cp.CJK) > 0, CJK_WORD, THAI_WORD), 1.0)
+    return h, doc, keep[head] - starts[doc], keep[last] + 1 - starts[doc], weight
 
 
 def windows(h: np.ndarray, size: int = SEED) -> np.ndarray:
@@ -133,21 +143,35 @@ class Index:
         self.item = [i for i, _, _ in items]
         self.whole = [part == "passage" for _, part, _ in items]
         self.words: list[np.ndarray] = []
+        self.weights: list[np.ndarray] = []
+        self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for k, (_, _, text) in enumerate(items):
-            h = words([text])[0]
+            h, _, _, _, weight = words([text])
             self.words.append(h)
+            self.weights.append(np.concatenate([[0.0], np.cumsum(weight)]))
+            if self.whole[k] and 0 < len(h) < SEED:
+                self.short[len(h)][int(windows(h, len(h))[0])].append(k)
             for p, w in enumerate(windows(h).tolist()):
                 postings[w].append((k, p))
         owners = {w: len({self.item[k] for k, _ in at}) for w, at in postings.items()}
         keep = {w for w, n in owners.items() if n <= COMMON_SEED}
-        for h in self.words:
+        sound: list[bool] = []
+        for k, h in enumerate(self.words):
             seeds = windows(h).tolist()
             need = RUN - SEED + 1
             for p in range(max(1, len(seeds) - need + 1)):
                 run = seeds[p : p + need]
                 if run and not any(w in keep for w in run):
                     keep.update(run)
+            # Each word replaced takes at most SEED windows away: one must be left.
+            if self.whole[k] and sum(w in keep for w in seeds) <= SEED * self._replaced(len(h)):
+                keep.update(seeds)
+        for h in self.words:
+            sound.append(all(w in keep for w in windows(h).tolist()))
+        # Hits that a leak has at least; where common windows are left out, one.
+        least = [min(RUN - SEED + 1, self._replaced(len(h)) - SEED + 1 if self.whole[k] else RUN) if sound[k] else 1 for k, h in enumerate(self.words)]
+        self.least = np.maximum(np.array(least, np.int64), 1)
         hashes = sorted(keep)
         self.hashes = np.array(hashes, np.uint64)
         self.offset = np.cumsum([0, *(len(postings[w]) for w in hashes)])
@@ -157,31 +181,62 @@ class Index:
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
 
+    @staticmethod
+    def _replaced(n: int) -> int:
+        """Words of a passage of ``n`` that may be replaced."""
+        return int((1 - WHOLE) * n + 1e-9)
+
+    def _whole_short(self, h: np.ndarray, doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[tuple[int, int], tuple[int, float, int, int]]]:
+        """Passages of fewer words than a window, where they stand whole."""
+        for size, table in self.short.items():
+            w = windows(h, size)
+            keys = np.array(sorted(table), np.uint64)
+            spot = np.minimum(np.searchsorted(keys, w), len(keys) - 1)
+            for at in np.flatnonzero((keys[spot] == w) & (doc[: len(w)] == doc[size - 1 :])).tolist():
+                for k in table[int(w[at])]:
+                    yield (int(doc[at]), self.item[k]), (size, 1.0, int(begin[at]), int(end[at + size - 1]))
+
     def scan(self, texts: list[str | None]) -> list[tuple[int, int, int, float, int, int]]:
         """(text, item, longest run, share of the part, span start, span end) of each leak."""
-        h, doc, begin, end = words(texts)
+        h, doc, begin, end, _ = words(texts)
+        best: dict[tuple[int, int], tuple[int, float, int, int]] = {}
+        for at, row in self._whole_short(h, doc, begin, end):
+            if at not in best or row > best[at]:
+                best[at] = row
         w = windows(h)
-        if not len(w) or not len(self.hashes):
-            return []
-        at = np.flatnonzero(self.bits[(w >> np.uint64(44)).astype(np.int64)])
-        spot = np.minimum(np.searchsorted(self.hashes, w[at]), len(self.hashes) - 1)
-        hit = (self.hashes[spot] == w[at]) & (doc[at] == doc[at + SEED - 1])
-        at, spot = at[hit], spot[hit]
+        if len(w) and len(self.hashes):
+            at = np.flatnonzero(self.bits[(w >> np.uint64(44)).astype(np.int64)])
+            spot = np.minimum(np.searchsorted(self.hashes, w[at]), len(self.hashes) - 1)
+            hit = (self.hashes[spot] == w[at]) & (doc[at] == doc[at + SEED - 1])
+            at, spot = at[hit], spot[hit]
+            first = np.searchsorted(doc, np.arange(len(texts) + 1))
+            # Texts by turns, so that windows common to many items cannot make too many proposals at once.
+            per_text = np.bincount(doc[at], self.offset[spot + 1] - self.offset[spot], len(texts)).astype(np.int64)
+            for a, b in cp.slices(per_text, PROPOSALS):
+                lo, hi = np.searchsorted(doc[at], [a, b])
+                self._verify(h, doc, begin, end, first, at[lo:hi], spot[lo:hi], best)
+        return [(d, item, *row) for (d, item), row in best.items()]
+
+    def _verify(self, h: np.ndarray, doc: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.ndarray, at: np.ndarray, spot: np.ndarray, best: dict) -> None:
+        """Puts the leaks among the proposals of these hits into ``best``."""
         if not len(at):
-            return []
+            return
         count = self.offset[spot + 1] - self.offset[spot]
         which = np.repeat(self.offset[spot], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         pos = np.repeat(at, count)
         part, shift = self.part[which], pos - self.place[which]
+        _, pair, hits = np.unique(doc[pos] * len(self.words) + part, return_inverse=True, return_counts=True)
+        enough = hits[pair] >= self.least[part]
+        pos, part, shift = pos[enough], part[enough], shift[enough]
+        if not len(pos):
+            return
         key = np.unique(np.stack([doc[pos], part, shift], 1), axis=0)
         head = np.flatnonzero(np.concatenate([[True], (key[1:, :2] != key[:-1, :2]).any(1), [True]]))
-        first = np.searchsorted(doc, np.arange(len(texts) + 1))
-        best: dict[tuple[int, int], tuple[int, float, int, int]] = {}
         for a, b in zip(head[:-1].tolist(), head[1:].tolist()):
             d, k = int(key[a, 0]), int(key[a, 1])
-            mine = self.words[k]
+            mine, weight = self.words[k], self.weights[k]
             lo, hi = int(first[d]), int(first[d + 1])
-            longest, span = 0, None
+            longest, span = 0.0, None
             covered: list[tuple[int, np.ndarray]] = []
             for shift_now in key[a:b, 2].tolist():
                 i0, i1 = max(0, lo - shift_now), min(len(mine), hi - shift_now)
@@ -189,10 +244,10 @@ class Index:
                 same[i0:i1] = mine[i0:i1] == h[shift_now + i0 : shift_now + i1]
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], same.view(np.int8), [0]])))
                 if len(edge):
-                    runs = edge[1::2] - edge[::2]
+                    runs = weight[edge[1::2]] - weight[edge[::2]]
                     r = int(runs.argmax())
                     if runs[r] > longest:
-                        longest, span = int(runs[r]), (shift_now + int(edge[2 * r]), shift_now + int(edge[2 * r + 1]) - 1)
+                        longest, span = float(runs[r]), (shift_now + int(edge[2 * r]), shift_now + int(edge[2 * r + 1]) - 1)
                 covered.append((shift_now, same))
             share, whole_span = 0.0, None
             if self.whole[k] and len(mine) >= SEED:
@@ -210,10 +265,9 @@ class Index:
                 if longest < RUN or share >= WHOLE and whole_span:
                     span = whole_span
                 item = self.item[k]
-                row = (longest, share, int(begin[span[0]]), int(end[span[1]]))
+                row = (int(longest), share, int(begin[span[0]]), int(end[span[1]]))
                 if row > best.get((d, item), (0, 0.0, 0, 0)):
                     best[d, item] = row
-        return [(d, item, *row) for (d, item), row in best.items()]
 
 
 def _long_runs(same: np.ndarray, least: int) -> np.ndarray:
@@ -243,14 +297,15 @@ def find_leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     ITEMS_PER_PASS. Nothing of the corpus is shuffled.
     """
     spark = df.sparkSession
-    distinct = items.select(item_col, *parts).dropDuplicates([item_col])
-    passes = math.ceil(distinct.count() / ITEMS_PER_PASS)
+    distinct = items.select(item_col, *parts).distinct()
+    size = distinct.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length(F.concat_ws("", *parts))), F.lit(0)).alias("chars")).first()
+    passes = max(math.ceil(size["n"] / ITEMS_PER_PASS), math.ceil(size["chars"] / CHARS_PER_PASS))
     source = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias(id_col), F.col(text_col).alias("__text"))
     id_type, item_type = source.dtypes[0][1], distinct.dtypes[0][1]
     schema = f"`{id_col}` {id_type}, `{item_col}` {item_type}, longest_run int, share double, span_start int, span_end int"
     out = spark.createDataFrame([], schema)
     for k in range(passes):
-        rows = distinct.where(F.pmod(F.xxhash64(item_col), F.lit(passes)) == k).collect()
+        rows = distinct.where(F.pmod(F.xxhash64(item_col, *parts), F.lit(passes)) == k).collect()
         listed = [(r[0], part, r[part]) for r in rows for part in parts if r[part]]
         shared = spark.sparkContext.broadcast(listed)
 

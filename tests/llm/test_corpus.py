@@ -273,3 +273,29 @@ def test_consensus_and_distance():
     votes = [(["a", "b", "c"], 1.0), (["a", "x", "c"], 1.0), (["a", "b", "c", "d"], 1.0), (["a", "b"], 0.25)]
     assert consensus(votes)[:3] == ["a", "b", "c"] and distance(["a", "b"], ["a", "c", "b"]) == 1 and consensus([]) == []
     assert Splitter().cuts([None, ""])[0].tolist() == []
+
+
+def test_passages_of_one_template_all_leak():
+    r = random.Random(4)
+    base = [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(30)]
+    items = []
+    for k in range(60):
+        copy = list(base)
+        for p in r.sample(range(30), 2):
+            copy[p] = f"own{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + p % 26)}"
+        items.append((k, "passage", " ".join(copy)))
+    index = Index(items)
+    for k, (_, _, text) in enumerate(items):
+        changed = text.split()
+        changed[3] = changed[17] = "other"
+        assert k in {item for _, item, *_ in index.scan(["Before it. " + " ".join(changed) + " after it."])}
+
+
+def test_short_passages_and_scripts_without_spaces():
+    zh = "任何一方均可提前书面通知对方解除本合同并要求赔偿因此造成的全部直接损失不得再次延期履行"
+    index = Index([(1, "passage", "rebus sic stantibus"), (2, "passage", "estoppel"), (3, "question", "rebus sic stantibus"), (4, "passage", zh), (5, "question", zh)])
+    got = lambda t: sorted({item for _, item, *_ in index.scan([t])})
+    assert got("The maxim Rebus, sic\nstantibus applies.") == [1]
+    assert got("rebus sic other stantibus") == [] and got("Es-\n          toppel is pleaded") == [2]
+    assert got("双方同意" + zh + "，另有约定除外") == [4, 5]
+    assert got("双方同意" + zh[:20] + "，另有约定除外") == []
