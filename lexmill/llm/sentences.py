@@ -63,7 +63,7 @@ THAI_TITLES = "นาย นาง นางสาว คุณ"
 # Last two letters of the Thai month names.
 THAI_MONTH_ENDS = "คม ยน ธ์"
 
-#: Longest word looked up before or after a mark.
+#: Longest word of the tables; a longer one stands in none of them.
 WORD = 16
 #: Words that may precede the year's abbreviation in an opening date.
 OPENING_DATE_WORDS = 5
@@ -135,6 +135,22 @@ def _member(chars: str) -> np.ndarray:
     return out
 
 
+class _Runs:
+    """Ends of runs of marked places, of any length, by binary search among the places that are not marked."""
+
+    def __init__(self, marked: np.ndarray):
+        self.free = np.flatnonzero(~marked)
+        self.n = len(marked)
+
+    def after(self, p: np.ndarray) -> np.ndarray:
+        """The first place from ``p`` on that is not marked."""
+        return np.append(self.free, self.n)[np.searchsorted(self.free, p)]
+
+    def before(self, p: np.ndarray) -> np.ndarray:
+        """The place after the last one up to ``p`` that is not marked."""
+        return np.concatenate([[-1], self.free])[np.searchsorted(self.free, p, "right")] + 1
+
+
 class Splitter:
     """Cut positions for batches of texts; ``guards`` adds abbreviations of a lexicon."""
 
@@ -150,20 +166,20 @@ class Splitter:
         self.starters, self.carry, self.months = _forward(STARTERS), _forward(CARRY_ON), _forward(MONTHS)
         self.thai_titles = _backward(THAI_TITLES.split())
 
-    def _back(self, at: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _back(self, at: np.ndarray, runs: _Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash, length and dots of the words that end just before ``at``."""
-        h, n, dots = np.zeros(len(at), np.uint64), np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-        live, p = np.arange(len(at)), at - 1
+        h, live, p = np.zeros(len(at), np.uint64), np.arange(len(at)), at - 1
+        head = np.where(at > 0, np.minimum(runs.before(at - 1), at), at)
+        n = at - head
+        dots = self.stops[at] - self.stops[head]
         for _ in range(WORD):
-            ok = more[np.maximum(p, 0)] & (p >= 0)
+            ok = p >= head[live]
             live, p = live[ok], p[ok]
             if not len(live):
                 break
-            c = self.folded[p]
-            h[live] = (h[live] + c + np.uint64(1)) * _MULT
-            n[live] += 1
-            dots[live] += c == 46
+            h[live] = (h[live] + self.folded[p] + np.uint64(1)) * _MULT
             p = p - 1
+        h[n > WORD] = 0
         return h, n, dots
 
     def _ahead(self, at: np.ndarray) -> np.ndarray:
@@ -219,6 +235,9 @@ class Splitter:
         letter = (kind & cp.LETTER) > 0
         word = letter | ((kind & (cp.DIGIT | cp.MARK)) > 0)
         dotted = word | (codes == 46) | (codes == 45)
+        dotted_runs, word_runs = _Runs(dotted), _Runs(word)
+        self.stops = np.concatenate([[0], np.cumsum(codes == 46)])
+        spaces = _Runs(((kind & cp.SPACE) > 0) & ~is_end)
 
         # The transducer over quotation marks and brackets.
         sym = self.symbols[codes]
@@ -261,21 +280,14 @@ class Splitter:
         i = i[~term[at_most(i + 1)] | is_end[at_most(i + 1)]]
         out = []
         if len(i):
-            first = i.copy()
-            for _ in range(8):
-                back = term[np.maximum(first - 1, 0)] & (first > 0)
-                first = np.where(back, first - 1, first)
-            q = i + 1
-            for _ in range(4):
-                q = np.where(closing[at_most(q)] & (q < n), q + 1, q)
+            first = _Runs(term).before(i)
+            q = _Runs(closing).after(i + 1)
             # A closing angle mark may stand after a space.
             gap = (k_at(q) & cp.SPACE) > 0
             far = gap & (c_at(q + 1) == 0xBB) & closing[at_most(q + 1)]
             q = np.where(far, q + 2, q)
             closed = q > i + 1
-            r = q.copy()
-            for _ in range(8):
-                r = np.where((k_at(r) & cp.SPACE) > 0, r + 1, r)
+            r = spaces.after(q)
             gap = r > q
             r = at_most(r)
             open_state = np.concatenate([[0], state])[np.searchsorted(ev, q - 1, "right")]
@@ -296,22 +308,20 @@ class Splitter:
             live = np.flatnonzero(begins & ~is_end[r] & (open_state == 0))
             i, first, q, r, x, closed, gap, nk, opener, upper, lower, digit, caseless, begins, mark, dot, full, dots, open_state = (a[live] for a in (i, first, q, r, x, closed, gap, nk, opener, upper, lower, digit, caseless, begins, mark, dot, full, dots, open_state))
 
-            h, length, inner = self._back(first, dotted)
+            h, length, inner = self._back(first, dotted_runs)
             # Two sentences with nothing between them: the word is what follows the inner stop.
-            h2, length2, _ = self._back(first, word)
+            h2, length2, _ = self._back(first, word_runs)
             at = first - length2 - 1
             apart = (inner > 0) & (length2 > 0) & (c_at(at) == 46) & ((k_at(first - 1) & cp.LETTER) > 0) & (((k_at(at - 1) & cp.DIGIT) > 0) | letter[np.maximum(at - 1, 0)] & letter[np.maximum(at - 2, 0)] & letter[np.maximum(at - 3, 0)])
             h, length, inner = np.where(apart, h2, h), np.where(apart, length2, length), np.where(apart, 0, inner)
             tok = first - length
             start_kind, last_kind = k_at(tok), k_at(first - 1)
-            number = np.ones(len(i), bool)
-            for k in range(1, 7):
-                number &= ((k_at(first - k) & cp.DIGIT) > 0) | (k > length) | (c_at(first - k) == 46)
-            number &= (length > 0) & (length <= 6) & ((last_kind & cp.DIGIT) > 0)
+            others = np.concatenate([[0], np.cumsum(((kind & cp.DIGIT) == 0) & (codes != 46))])
+            number = (others[first] == others[tok]) & (length > 0) & ((last_kind & cp.DIGIT) > 0)
             single = (length == 1) & ((last_kind & cp.LETTER) > 0)
             gap_before = (k_at(tok - 1) & cp.SPACE) > 0
             prior_end = tok - 1 - (c_at(tok - 2) == 46)
-            hp, _, _ = self._back(np.maximum(prior_end, 0), dotted)
+            hp, _, _ = self._back(np.maximum(prior_end, 0), dotted_runs)
             at_start = (tok == 0) | is_end[np.clip(tok - 1, 0, n - 1)] | gap_before & is_end[np.clip(tok - 2, 0, n - 1)]
             low_first = self.folded[np.clip(first - 1, 0, n - 1)]
 
@@ -368,15 +378,12 @@ class Splitter:
         if thai.any():
             s0 = np.flatnonzero(((kind & cp.SPACE) > 0) & ~is_end)
             s0 = s0[(s0 > 0) & ((kind[np.maximum(s0 - 1, 0)] & cp.SPACE) == 0)]
-            r = s0 + 1
-            for _ in range(8):
-                r = np.where((k_at(r) & cp.SPACE) > 0, r + 1, r)
-            r = at_most(r)
+            r = at_most(spaces.after(s0 + 1))
             x = np.where(np.isin(codes[r], (0xAB, 0x201C, 0x201E, 0x22, 0xBF, 0xA1)), r + 1, r)
             x = np.where((k_at(x) & cp.SPACE) > 0, x + 1, x)
             x = at_most(x)
             prev_thai = thai[s0 - 1]
-            h, length, _ = self._back(s0, word)
+            h, length, _ = self._back(s0, word_runs)
             is_year = (length == 4) & (self.folded[np.maximum(s0 - 4, 0)] == ord("2")) & (self.folded[np.maximum(s0 - 3, 0)] == ord("5"))
             for k in range(1, 5):
                 is_year &= (k_at(s0 - k) & cp.DIGIT) > 0

@@ -148,3 +148,12 @@ def test_tables_of_characters():
     codes, starts = cp.join_codes(["ab", None, "c"])
     assert starts.tolist() == [0, 3, 4, 6] and len(codes) == 6
     assert cp.slices(np.array([5, 5, 50, 1]), 10) == [(0, 2), (2, 3), (3, 4)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 9, 12, 40, 3000])
+def test_gaps_marks_and_closers_of_any_length(n):
+    got = lambda t: [t[a:b] for a, b in zip(*Splitter().cuts([t])[1:3])]
+    assert got("It ends now." + " " * n + "The second one.") == ["It ends now.", "The second one."]
+    assert got("It ends now" + "!" * n + " The second one.") == ["It ends now" + "!" * n, "The second one."]
+    assert got("It ends now." + ")" * n + " The second one.") == ["It ends now." + ")" * n, "The second one."]
+    assert got("สัญญานี้มีผลใช้บังคับ" + " " * n + "คู่สัญญาต้องปฏิบัติตาม") == ["สัญญานี้มีผลใช้บังคับ", "คู่สัญญาต้องปฏิบัติตาม"]
