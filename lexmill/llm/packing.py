@@ -1,7 +1,7 @@
 """Filling containers of fixed capacity with documents, by sum-of-squares online packing.
 
 Documents are measured in tokens of a public tokenizer and dealt by hash to
-shards of a bounded number of documents; shards are packed side by side. Each
+shards of about a set number of documents; shards are packed side by side. Each
 item goes to the fill level that makes the sum over levels of the squared
 number of open containers smallest, tracked in one array per level, so no
 level grows many half-filled containers. Equal choices go to the fullest.
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Vocabulary file of the tokenizer; its place is a parameter, never part of this repository.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-#: Documents of a shard, the most that one task packs at a time.
+#: Documents of a shard on average, about what one task packs at a time; the hash spreads them evenly.
 SHARD_DOCS = 25_000
 # Fixed value: how text is divided before byte pairs are merged.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""

@@ -33,6 +33,16 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mention_pairs(resolve(mentions(table(spark, sf_dir, "parties"), refs), cut_lineage, works))
 
 
+def p2_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every mention with its entity, one row per mention."""
+    from lexmill.llm.identity import mentions, resolve
+    from lexmill.llm.works import records, work_groups
+
+    refs = table(spark, sf_dir, "refs")
+    works = work_groups(cut_lineage(records(refs)), cut_lineage)
+    return resolve(mentions(table(spark, sf_dir, "parties"), refs), cut_lineage, works)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The record of each work that supplies its title, authors and DOI."""
     from lexmill.llm.works import best_records
@@ -65,9 +75,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in a container, for each capacity."""
-    from lexmill.llm.packing import pack_documents
+    from lexmill.llm.packing import VOCABULARY, pack_documents
 
-    return pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_specs"), cut_lineage)
+    vocabulary = spark.conf.get("lexmill.vocabulary", VOCABULARY)
+    return pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_specs"), cut_lineage, vocabulary=vocabulary)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +103,7 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_merged": p3_merged, "p4_found": p4_found, "p5_found": p5_found, "p7_pack": p7_pack, "p8_found": p8_found, "p9_found": p9_found, "p9_statistics": p9_statistics}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_merged": p3_merged, "p4_found": p4_found, "p5_found": p5_found, "p7_pack": p7_pack, "p8_found": p8_found, "p9_found": p9_found, "p9_statistics": p9_statistics}
 
 
 def oracle_sql() -> dict[str, str]:

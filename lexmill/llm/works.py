@@ -7,8 +7,10 @@ authors and DOI are chosen by completeness. Ties go to the most trusted
 source, then the latest record.
 
 Distinct token sequences with their weights are what an alignment sees, so a
-work with many copies costs no more than its spellings; records are compared
-by aggregation alone.
+work with many copies costs no more than its spellings. A work with more
+spellings than one portion is voted portion by portion, and the portions'
+consensus sequences, with the weight of all their votes, are voted again until
+one is left. Records are compared by aggregation alone.
 
 Defined results: repeated rows count once; a null or blank title, and one cut
 short without a match, joins no work by title; a work whose titles are all null
@@ -28,8 +30,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lexmill.llm import codepoints as cp
 from lexmill.llm.persons import parse_person
 
-#: Shortest beginning of a title that can stand for the whole.
+#: Letters by which titles cut short are blocked; shorter ones are blocked by their first letter.
 PREFIX = 12
+#: Letters in which the beginnings of titles under one DOI may differ; those of other works share next to none.
+START_ERRORS = 4
+#: Spellings of a title that one task aligns at a time.
+VOTE_PORTION = 256
 #: Weight of a damaged title's vote against an undamaged one's.
 DAMAGED_WEIGHT = 0.25
 #: A group's labels are spread until nothing changes.
@@ -104,11 +110,14 @@ def work_groups(recs: DataFrame, cut) -> DataFrame:
     # One DOI under titles that differ from the start is a mistake in the data.
     by_doi = recs.where("doi IS NOT NULL").withColumn("start", F.substring("key", 1, PREFIX))
     common = by_doi.where("start IS NOT NULL").groupBy("doi", "start").count().groupBy("doi").agg(F.max_by("start", F.struct("count", "start")).alias("usual"))
-    by_doi = by_doi.join(common, "doi", "left").select("ref_id", F.concat(F.lit("d:"), "doi", F.when(F.col("start") != F.col("usual"), F.concat(F.lit("|"), "start")).otherwise("")).alias("k"))
+    by_doi = by_doi.join(common, "doi", "left").select("ref_id", F.concat(F.lit("d:"), "doi", F.when(F.levenshtein("start", "usual") > START_ERRORS, F.concat(F.lit("|"), "start")).otherwise("")).alias("k"))
     # A title cut short joins the one whole title it begins, by an author and year in common.
-    short = recs.where("key IS NOT NULL").withColumn("begin", F.regexp_replace("key", "~$", "")).where(F.length("begin") >= PREFIX)
-    short = short.select("ref_id", "begin", "year", F.explode("surnames").alias("s"), F.substring("begin", 1, PREFIX).alias("p"))
-    full = dated.select("key", F.col("y").alias("year"), F.explode("surnames").alias("s"), F.substring("key", 1, PREFIX).alias("p")).distinct()
+    short = recs.where("key IS NOT NULL").withColumn("begin", F.regexp_replace("key", "~$", "")).where("begin <> ''")
+    short = short.select("ref_id", "begin", "year", F.explode("surnames").alias("s"), F.when(F.length("begin") >= PREFIX, F.substring("begin", 1, PREFIX)).otherwise(F.substring("begin", 1, 1)).alias("p"))
+    # Beginnings under PREFIX letters are cut titles alone: a whole title that short is no part of another's.
+    short = short.join(recs.where("cut").select("ref_id").distinct().withColumn("is_cut", F.lit(True)), "ref_id", "left").where((F.length("begin") >= PREFIX) | F.col("is_cut")).drop("is_cut")
+    starts = F.explode(F.array(F.substring("key", 1, PREFIX), F.substring("key", 1, 1))).alias("p")
+    full = dated.select("key", F.col("y").alias("year"), F.explode("surnames").alias("s")).distinct().select("key", "year", "s", starts)
     near = short.join(full, ["year", "s", "p"]).where(F.expr("startswith(key, begin) AND key <> begin")).groupBy("ref_id").agg(F.min("key").alias("k0"), F.max("key").alias("k1"), F.min("year").alias("year"))
     by_start = near.where("k0 = k1").select("ref_id", F.concat(F.lit("t:"), "k0", F.lit("|"), F.col("year").cast("string")).alias("k"))
     keys = cut(by_title.unionByName(by_doi).unionByName(by_start).distinct())
@@ -174,28 +183,56 @@ def distance(a: list[str], b: list[str]) -> int:
     return row[-1]
 
 
-def best_records(refs: DataFrame, trust: DataFrame, cut) -> DataFrame:
-    """``group_ref_id, field, best_ref_id`` of every work with two or more ref_ids."""
-    recs = cut(records(refs))
-    labels = work_groups(recs, cut)
+def _sequences(keys, weights) -> list[tuple[list[str], float]]:
+    return [(k.rstrip("~").split(), w) for k, w in zip(keys, weights)]
+
+
+def _voted(seqs: list[tuple[list[str], float]]) -> list[str]:
+    """Consensus of the sequences; one that is the beginning of another has lost its end and no vote on it."""
+    order = sorted({tuple(s) for s, _ in seqs})
+    begun = set()
+    for a, b in zip(order, order[1:]):
+        if len(b) > len(a) and b[: len(a)] == a or len(b) >= len(a) and a and b != a and b[: len(a) - 1] == a[:-1] and b[len(a) - 1].startswith(a[-1]):
+            begun.add(a)
+    return consensus([(s, w) for s, w in seqs if tuple(s) not in begun] or seqs)
+
+
+def title_votes(values: DataFrame, cut) -> DataFrame:
+    """``work, voted``: the consensus of each work's title keys (``work, key, weight``)."""
+
+    @F.pandas_udf("string")
+    def vote(groups: pd.Series) -> pd.Series:
+        return pd.Series([" ".join(_voted(_sequences([g["key"] for g in group], [g["weight"] for g in group]))) for group in groups])
+
+    now = values
+    while True:
+        portions = F.ceil(F.col("n") / VOTE_PORTION).cast("int")
+        sizes = now.groupBy("work").agg(F.count(F.lit(1)).alias("n")).select("work", portions.alias("portions"))
+        dealt = now.join(sizes, "work").withColumn("portion", F.pmod(F.xxhash64("key"), F.col("portions")))
+        voted = dealt.groupBy("work", "portion").agg(F.collect_list(F.struct("key", "weight")).alias("v"), F.sum("weight").alias("weight"), F.max("portions").alias("portions"))
+        voted = cut(voted.select("work", vote("v").alias("key"), "weight", "portions"))
+        if not voted.where("portions > 1").limit(1).count():
+            return voted.select("work", F.col("key").alias("voted"))
+        # Portions that agree are one sequence with the weight of both.
+        now = voted.groupBy("work", "key").agg(F.sum("weight").alias("weight"))
+
+
+def best_records(refs: DataFrame, trust: DataFrame, cut, recs: DataFrame | None = None, labels: DataFrame | None = None) -> DataFrame:
+    """``group_ref_id, field, best_ref_id`` of every work with two or more ref_ids; ``recs`` and ``labels`` if at hand."""
+    recs = cut(records(refs)) if recs is None else recs
+    labels = work_groups(recs, cut) if labels is None else labels
     many = labels.groupBy("work").count().where("count > 1").select("work")
-    rank = recs.select("ref_id", F.explode("sources").alias("source")).join(F.broadcast(trust.select("source", "trust_rank")), "source").groupBy("ref_id").agg(F.min("trust_rank").alias("rank"))
+    ranks = F.broadcast(trust.select("source", "trust_rank").groupBy("source").agg(F.min("trust_rank").alias("trust_rank")))
+    rank = recs.select("ref_id", F.explode("sources").alias("source")).join(ranks, "source").groupBy("ref_id").agg(F.min("trust_rank").alias("rank"))
     rows = recs.join(labels, "ref_id").join(many, "work").join(rank, "ref_id", "left").withColumn("rank", F.coalesce("rank", F.lit(1 << 30)))
     rows = cut(rows)
     values = rows.where("key IS NOT NULL").groupBy("work", "key").agg(F.sum(F.when(F.col("damaged"), DAMAGED_WEIGHT).otherwise(1.0)).alias("weight"))
 
-    @F.pandas_udf("array<struct<key string, far int>>")
-    def vote(keys: pd.Series) -> pd.Series:
-        out = []
-        for group in keys:
-            seqs = [(g["key"].rstrip("~").split(), g["weight"]) for g in group]
-            # A sequence that is the beginning of another has lost its end and no vote on it.
-            whole = [(a, w) for a, w in seqs if not any(len(b) > len(a) and b[: len(a)] == a or len(b) >= len(a) and b[: len(a) - 1] == a[:-1] and b[len(a) - 1].startswith(a[-1]) and b != a for b, _ in seqs)]
-            voted = consensus(whole or seqs)
-            out.append([{"key": g["key"], "far": distance(s, voted)} for g, (s, _) in zip(group, seqs)])
-        return pd.Series(out)
-
-    far = values.groupBy("work").agg(F.collect_list(F.struct("key", "weight")).alias("v")).select("work", F.explode(vote("v")).alias("x")).select("work", "x.*")
+    @F.pandas_udf("int")
+    def far_from(keys: pd.Series, voted: pd.Series) -> pd.Series:
+        return pd.Series([distance(s, v.split()) for (s, _), v in zip(_sequences(keys, keys), voted)])
+
+    far = values.select("work", "key").join(title_votes(values, cut), "work").select("work", "key", far_from("key", "voted").alias("far"))
     titled = rows.join(far, ["work", "key"])
     tie: list[Column] = [F.col("rank"), -F.unix_micros("retrieved_at"), F.col("ref_id")]
     best = lambda df, *order: df.groupBy("work").agg(F.min_by("ref_id", F.struct(*[o.alias(f"o{k}") for k, o in enumerate([*order, *tie])])).alias("best"))
@@ -206,15 +243,16 @@ def best_records(refs: DataFrame, trust: DataFrame, cut) -> DataFrame:
 
 
 def merged_records(refs: DataFrame, trust: DataFrame, cut) -> DataFrame:
-    """One surviving record per work: title, authors and DOI each of the best record, sources united."""
+    """One surviving record per work, also of one record: title, authors and DOI each of the best record, sources united."""
     recs = cut(records(refs))
     labels = cut(work_groups(recs, cut))
-    chosen = best_records(refs, trust, cut).withColumnRenamed("best_ref_id", "ref_id")
-    one = refs.dropDuplicates(["ref_id"])
+    one = refs.dropDuplicates(["ref_id"]).where("ref_id IS NOT NULL")
+    chosen = best_records(refs, trust, cut, recs, labels).withColumnRenamed("best_ref_id", "ref_id")
+    # A record alone in its work is its own best record.
+    alone = labels.groupBy("work").agg(F.count(F.lit(1)).alias("n"), F.min("ref_id").alias("ref_id")).where("n = 1").select(F.col("work").alias("group_ref_id"), F.explode(F.array(*map(F.lit, ("title", "authors", "doi")))).alias("field"), "ref_id")
+    chosen = chosen.unionByName(alone)
     wide = chosen.join(one.select("ref_id", "title", "authors", "doi"), "ref_id").groupBy("group_ref_id").agg(
         F.max(F.when(F.col("field") == "title", F.col("title"))).alias("title"), F.max(F.when(F.col("field") == "authors", F.col("authors"))).alias("authors"), F.max(F.when(F.col("field") == "doi", F.col("doi"))).alias("doi")
     )
     united = labels.join(one.select("ref_id", F.explode_outer("sources").alias("s")), "ref_id").groupBy(F.col("work").alias("group_ref_id")).agg(F.sort_array(F.collect_set("s")).alias("sources"), F.countDistinct("ref_id").alias("n_records"))
-    return wide.join(united, "group_ref_id")
-
-
+    return united.join(wide, "group_ref_id", "left").select("group_ref_id", "title", "authors", "doi", "sources", "n_records")

@@ -265,7 +265,7 @@ def test_work_rows(spark, cut):
     got = {tuple(r) for r in best_records(refs, trust, cut).collect()}
     assert got == {(1, "title", 1), (1, "authors", 3), (1, "doi", 2)}
     merged = merged_records(refs, trust, cut).collect()
-    assert len(merged) == 1 and merged[0].sources == ["crossref", "hal"] and merged[0].n_records == 3
+    assert len(merged) == 4 and [(m.sources, m.n_records) for m in merged if m.group_ref_id == 1] == [(["crossref", "hal"], 3)]
     assert best_records(refs.where("false"), trust, cut).count() == 0
 
 
@@ -299,3 +299,27 @@ def test_short_passages_and_scripts_without_spaces():
     assert got("rebus sic other stantibus") == [] and got("Es-\n          toppel is pleaded") == [2]
     assert got("双方同意" + zh + "，另有约定除外") == [4, 5]
     assert got("双方同意" + zh[:20] + "，另有约定除外") == []
+
+
+def test_votes_of_many_spellings_go_by_portions(spark, cut, monkeypatch):
+    from lexmill.llm import works
+
+    monkeypatch.setattr(works, "VOTE_PORTION", 8)
+    r = random.Random(2)
+    base = "good faith in sales of goods lessons from two codes".split()
+    rows = []
+    for k in range(100):
+        t = list(base)
+        t[r.randrange(len(t))] = f"x{k}"
+        rows.append((1, " ".join(t), 1.0))
+    values = spark.createDataFrame([*rows, (2, "short one", 1.0)], "work long, key string, weight double")
+    assert {r.work: r.voted for r in works.title_votes(values, cut).collect()} == {1: " ".join(base), 2: "short one"}
+
+
+def test_titles_cut_very_short_and_records_alone(spark, cut):
+    t = dt.datetime(2024, 1, 1)
+    refs = [(1, "Law of seas", ["Xavik, K."], None, 2001, None, ["hal"], t), (2, "Law of…", ["Xavik, K."], None, 2001, None, ["hal"], t), (3, "Other things", ["Molly, A."], None, 2002, "10.5555/b.1", None, t), (4, None, None, None, None, None, None, None)]
+    refs = spark.createDataFrame(refs, "ref_id long, title string, authors array<string>, author_affils array<string>, year int, doi string, sources array<string>, retrieved_at timestamp")
+    trust = spark.createDataFrame([("hal", 1), ("hal", 2), (None, 3)], "source string, trust_rank int")
+    merged = {r.group_ref_id: (r.title, r.n_records) for r in merged_records(refs, trust, cut).collect()}
+    assert merged == {1: ("Law of seas", 2), 3: ("Other things", 1), 4: (None, 1)}
