@@ -1,18 +1,27 @@
 """Variant spellings of people and companies linked by merge-and-rematch resolution.
 
-Mentions that parse alike become one profile at once, so a name with a third
-of all rows costs one profile per spelling. Then, round by round:
+Each distinct name is parsed once, with what all other names tell about its
+words (``forms``). Mentions that parse alike become one profile at once, so a
+name with a third of all rows costs one profile per spelling. Then, round by
+round:
 
 * profiles are blocked by every spelling they hold and by each spelling with
-  one letter left out, which finds every pair one typing error apart; a
+  one letter left out, which finds every pair one typing error apart; pairs of
+  spellings are found once, later rounds add those of new spellings alone; a
   spelling moves to the best of its blocks that is as frequent or more so, if
   that is far more frequent or their fields agree;
 * the profiles under one name are merged where their given names, initials,
   affiliations, numbers, jurisdictions and legal forms agree, and the merged
-  profile holds the union of them;
+  profile holds the union of them; only names that gained a profile are
+  settled anew;
 * merged profiles re-enter blocking with all their spellings, and with their
   registration numbers, until a round merges nothing.
 
+Under a name, the profiles of one affiliation or number are settled first, each
+affiliation apart. Profiles without one then meet the different sets of given
+names, initials and jurisdictions that these have, not each of them, so a name
+that many people share stays small.
+
 A mention that fits several people of one name is left alone, unless another
 record of the same work names one of them.
 
@@ -23,13 +32,13 @@ ties go to the larger profile, then the smaller key.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from lexmill.llm.persons import parse_company, parse_person
+from lexmill.llm.forms import given_forms, word_hints
+from lexmill.llm.persons import close, parse_company, parse_person
 
 Cut = Callable[[DataFrame], DataFrame]
 
@@ -37,13 +46,15 @@ Cut = Callable[[DataFrame], DataFrame]
 FREQUENT = 2
 #: Letters of a shape from which it stands without an affiliation or number.
 SHORT = 3
+#: Letters of a given name from which one typing error is forgiven.
+GIVEN_TYPO = 5
 #: Mentions of an entity in one portion; larger entities are paired portion by portion, each a key of its own.
 PORTION = 256
 
 _PIECES = ["cls", "core", "ctx", "ini", "soft", "mid", "spelled"]
 
 
-def _parse(kind: str, typed: str | None, what: str | None) -> tuple | None:
+def _parse(kind: str, typed: str | None, what: str | None, given: frozenset, family: frozenset) -> tuple | None:
     """Class, comparable core, context, initial, soft field, middle initial and unfolded core of a mention."""
     if typed is None or not typed.strip():
         return None
@@ -51,7 +62,7 @@ def _parse(kind: str, typed: str | None, what: str | None) -> tuple | None:
     is_company = kind == "party" and (what == "organisation" or what != "person" and company is not None and bool(company.form or company.business or company.serial))
     if is_company and company is not None:
         return ("party-o", company.core, f"{company.business}|{company.serial}", "", company.form, "", company.core)
-    person = parse_person(typed)
+    person = parse_person(typed, given, family)
     if person is None or not person.surname:
         return None
     return ("party-p" if kind == "party" else "author", person.surname, "", person.initial, person.given, person.middle, person.spelled)
@@ -68,14 +79,19 @@ def mentions(parties: DataFrame, refs: DataFrame) -> DataFrame:
     one = refs.where("ref_id IS NOT NULL").dropDuplicates(["ref_id"])
     a = one.select(F.col("ref_id").alias("id"), F.posexplode("authors").alias("pos", "typed"), F.col("author_affils").alias("affils"))
     a = a.select(F.lit("author").alias("kind"), "id", "pos", "typed", F.lit(None).cast("string").alias("what"), _clean(F.get("affils", F.col("pos"))).alias("strong"), F.lit(None).cast("string").alias("place"))
+    every = p.unionByName(a).where("typed IS NOT NULL").withColumn("what", F.coalesce("what", F.lit("")))
 
     @F.pandas_udf(", ".join(f"{c} string" for c in _PIECES))
-    def parse(kind: pd.Series, typed: pd.Series, what: pd.Series) -> pd.DataFrame:
+    def parse(kind: pd.Series, typed: pd.Series, what: pd.Series, given: pd.Series, family: pd.Series) -> pd.DataFrame:
         none = (None,) * len(_PIECES)
-        return pd.DataFrame([_parse(k, t, w) or none for k, t, w in zip(kind, typed, what)], columns=_PIECES)
+        bag = lambda x: frozenset(x) if x is not None else frozenset()
+        return pd.DataFrame([_parse(k, t, w, bag(g), bag(f)) or none for k, t, w, g, f in zip(kind, typed, what, given, family)], columns=_PIECES)
 
-    every = p.unionByName(a).where("typed IS NOT NULL")
-    return every.select("kind", "id", "pos", "strong", "place", parse("kind", "typed", "what").alias("x")).select("kind", "id", "pos", "strong", "place", "x.*").where("cls IS NOT NULL")
+    # Each different name is parsed once.
+    names = every.groupBy("kind", "typed", "what").agg(F.count(F.lit(1)).alias("n"))
+    hints = word_hints(names.where("what <> 'organisation'").groupBy("typed").agg(F.sum("n").alias("n")))
+    parsed = names.join(hints, "typed", "left").select("kind", "typed", "what", parse("kind", "typed", "what", "given", "family").alias("x")).select("kind", "typed", "what", "x.*").where("cls IS NOT NULL")
+    return every.join(parsed, ["kind", "typed", "what"]).drop("typed", "what")
 
 
 def _shapes(core):
@@ -84,29 +100,45 @@ def _shapes(core):
     return F.array_distinct(F.concat(F.array(core), F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.concat(F.substring(core, F.lit(1), k - 1), F.substring(core, k + 1, n)))))
 
 
-def canonical_names(names: DataFrame, cut: Cut) -> DataFrame:
-    """Spellings moved to others at least as frequent: ``cls, ctx, ini, core, to``.
+_BLOCK = ["cls", "ctx", "ini"]
+
+
+def spelling_forms(names: DataFrame) -> DataFrame:
+    """``cls, ctx, ini, form, at``: every spelling of every name, folded and as typed; short ones once per affiliation or number."""
+    forms = names.select(*_BLOCK, "strongs", F.explode(F.array_distinct(F.concat("spells", F.array("core")))).alias("form"))
+    # What is left of a short name says little: there the affiliation or number is part of the block.
+    at = F.when(F.length("form") > SHORT, F.array(F.lit(""))).otherwise(F.concat(F.array(F.lit("")), "strongs"))
+    return forms.select(*_BLOCK, "form", F.explode(at).alias("at")).distinct()
+
+
+def near_spellings(new: DataFrame, every: DataFrame) -> DataFrame:
+    """``cls, ctx, ini, form, near``: spellings one typing error apart, of which the first is in ``new``.
+
+    The spellings that share a shape are at most its places times the letters there are, so no block is large.
+    """
+    shaped = lambda df: df.withColumn("shape", F.explode(_shapes(F.col("form")))).where("shape <> '' AND (at <> '') = (length(shape) < %d)" % SHORT)
+    pairs = shaped(new).join(shaped(every).withColumnRenamed("form", "near"), [*_BLOCK, "shape", "at"]).where((F.col("form") != F.col("near")) & (F.abs(F.length("form") - F.length("near")) <= 1))
+    # Letters at two places differ in some pairs that share a shape: keep one typing error only.
+    swapped = (F.length("form") == F.length("near")) & (F.levenshtein("form", "near") == 2) & (F.array_sort(F.split("form", "")) == F.array_sort(F.split("near", "")))
+    pairs = pairs.where((F.levenshtein("form", "near") <= 1) | swapped)
+    return pairs.select(*_BLOCK, "form", "near").distinct()
+
+
+def canonical_names(names: DataFrame, near: DataFrame, cut: Cut) -> DataFrame:
+    """Names moved to others at least as frequent: ``cls, ctx, ini, core, to``.
 
     ``names`` has ``cls, ctx, ini, core, n, softs, strongs, spells``, one row
-    per spelling; ``spells`` are its forms, folded and as typed, and two are near
-    if any of their forms are. Every spelling is a candidate, whatever its count; it moves to
+    per name; ``spells`` are its forms, folded and as typed, and two are near
+    if any of their forms are. Every name is a candidate, whatever its count; it moves to
     one whose fields do not clash, if that is FREQUENT times as frequent, shares
     an affiliation or number, or knows all of its given names or legal forms.
     """
-    key = ["cls", "ctx", "ini", "shape", "at"]
-    forms = names.select("cls", "ctx", "ini", "core", "strongs", F.explode(F.array_distinct(F.concat("spells", F.array("core")))).alias("form"))
-    forms = forms.withColumn("shape", F.explode(_shapes(F.col("form")))).where(F.length("shape") >= 1)
-    # What is left of a short name says little: there the affiliation or number is part of the block.
-    at = F.when(F.length("shape") >= SHORT, F.array(F.lit(""))).otherwise(F.col("strongs"))
-    blocked = forms.select("cls", "ctx", "ini", "shape", "core", "form", F.explode(at).alias("at"))
-    # Several leaders of a block may suit a spelling; all distinct spellings of a shape are few.
-    leaders = blocked.select(*key, F.col("core").alias("to"), F.col("form").alias("to_form"))
-    pairs = blocked.join(leaders, key).where((F.col("core") != F.col("to")) & (F.abs(F.length("form") - F.length("to_form")) <= 1))
-    # Letters at two places differ in some pairs that share a shape: keep one typing error only.
-    pairs = pairs.where((F.levenshtein("form", "to_form") <= 1) | ((F.length("form") == F.length("to_form")) & (F.levenshtein("form", "to_form") == 2) & (F.array_sort(F.split("form", "")) == F.array_sort(F.split("to_form", "")))))
-    pairs = pairs.select("cls", "ctx", "ini", "core", "to").distinct()
-    stats = names.select("cls", "ctx", "ini", "core", "n", "softs", "strongs")
-    pairs = pairs.join(stats, ["cls", "ctx", "ini", "core"]).join(stats.select("cls", "ctx", "ini", *[F.col(c).alias(x) for c, x in (("core", "to"), ("n", "to_n"), ("softs", "to_softs"), ("strongs", "to_strongs"))]), ["cls", "ctx", "ini", "to"])
+    held = names.select(*_BLOCK, "core", F.explode(F.array_distinct(F.concat("spells", F.array("core")))).alias("form"))
+    other = held.withColumnRenamed("core", "to")
+    pairs = held.join(near, [*_BLOCK, "form"]).drop("form").join(other.withColumnRenamed("form", "near"), [*_BLOCK, "near"]).drop("near")
+    pairs = pairs.unionByName(held.join(other, [*_BLOCK, "form"]).drop("form")).where("core <> to").distinct()
+    stats = names.select(*_BLOCK, "core", "n", "softs", "strongs")
+    pairs = pairs.join(stats, [*_BLOCK, "core"]).join(stats.select(*_BLOCK, *[F.col(c).alias(x) for c, x in (("core", "to"), ("n", "to_n"), ("softs", "to_softs"), ("strongs", "to_strongs"))]), [*_BLOCK, "to"])
     pairs = pairs.where((F.col("to_n") > F.col("n")) | (F.col("to_n") == F.col("n")) & (F.col("to") < F.col("core")))
     shares = lambda a, b: F.arrays_overlap(F.col(a), F.col(b))
     known = (F.size("softs") > 0) & (F.size("to_softs") > 0)
@@ -118,17 +150,18 @@ def canonical_names(names: DataFrame, cut: Cut) -> DataFrame:
     proof = F.coalesce(shares("strongs", "to_strongs"), F.lit(False)).cast("int")
     soft = F.coalesce(shares("softs", "to_softs"), F.lit(False)).cast("int")
     # Two frequent spellings are often two names: that some given name occurs under both says nothing then.
-    held = (F.size("softs") > 0) & (F.size(F.array_except("softs", "to_softs")) == 0)
-    pairs = pairs.where((proof == 1) | held | (F.col("to_n") >= FREQUENT * (F.col("n") - 1)))
-    best = pairs.groupBy("cls", "ctx", "ini", "core").agg(F.max_by("to", F.struct(proof.alias("a"), soft.alias("b"), F.col("to_n").alias("c"), F.col("to").alias("d"))).alias("to"))
+    sure = (F.size("softs") > 0) & (F.size(F.array_except("softs", "to_softs")) == 0)
+    pairs = pairs.where((proof == 1) | sure | (F.col("to_n") >= FREQUENT * (F.col("n") - 1)))
+    best = pairs.groupBy(*_BLOCK, "core").agg(F.max_by("to", F.struct(proof.alias("a"), soft.alias("b"), F.col("to_n").alias("c"), F.col("to").alias("d"))).alias("to"))
     best = cut(best)
     # A leader that itself moves passes its followers on.
-    again = best.select("cls", "ctx", "ini", F.col("core").alias("to"), F.col("to").alias("next"))
-    return best.join(again, ["cls", "ctx", "ini", "to"], "left").select("cls", "ctx", "ini", "core", F.coalesce("next", "to").alias("to"))
+    again = best.select(*_BLOCK, F.col("core").alias("to"), F.col("to").alias("next"))
+    return best.join(again, [*_BLOCK, "to"], "left").select(*_BLOCK, "core", F.coalesce("next", "to").alias("to"))
 
 
 def _given_fit(a: str, b: str) -> bool:
-    return not a or not b or a == b or a.startswith((b + " ", b + "-")) or b.startswith((a + " ", a + "-"))
+    """One is missing, the other's beginning, or one typing error away."""
+    return not a or not b or a == b or a.startswith((b + " ", b + "-")) or b.startswith((a + " ", a + "-")) or min(len(a), len(b)) >= GIVEN_TYPO and close(a, b)
 
 
 def _second(given: str) -> str:
@@ -144,164 +177,203 @@ def _mid_fit(mids: set, givens: set, mid: str, given: str) -> bool:
 
 
 class _Cluster:
-    def __init__(self) -> None:
+    """What profiles that merged hold: ``many`` of them hold just this, told by ``part``."""
+
+    def __init__(self, part: str, givens=(), mids=(), places=(), many: int = 1, n: int = 0) -> None:
+        self.part, self.many, self.n = part, many, n
+        self.givens, self.mids, self.places = set(givens), set(mids), set(places)
         self.rows: list[int] = []
-        self.givens: set = set()
-        self.mids: set = set()
-        self.strongs: set = set()
-        self.places: set = set()
-        self.n = 0
-
-    def fits(self, p: tuple, person: bool) -> bool:
-        given, mid, strong, place = p
-        if strong and self.strongs and strong not in self.strongs:
-            return False
-        if place and self.places and place not in self.places:
-            return False
-        if person:
-            return all(_given_fit(given, g) for g in self.givens) and _mid_fit(self.mids, self.givens, mid, given)
-        return not given or not self.givens or given in self.givens
-
-    def add(self, k: int, p: tuple, n: int) -> None:
-        given, mid, strong, place = p
-        self.rows.append(k)
-        self.n += n
-        for have, value in ((self.givens, given), (self.mids, mid), (self.strongs, strong), (self.places, place)):
-            if value:
-                have.add(value)
-
-    def joins(self, other: _Cluster, person: bool) -> bool:
-        if self.strongs and other.strongs and not self.strongs & other.strongs or self.places and other.places and not self.places & other.places:
+
+    def fits(self, other: _Cluster, person: bool) -> bool:
+        if self.places and other.places and not self.places & other.places:
             return False
         if person:
             return all(_given_fit(a, b) for a in self.givens for b in other.givens) and all(_mid_fit(self.mids, self.givens | other.givens, m, "") for m in other.mids)
         return not self.givens or not other.givens or bool(self.givens & other.givens)
 
+    def take(self, other: _Cluster) -> None:
+        self.n += other.n
+        self.rows += other.rows
+        self.givens |= other.givens
+        self.mids |= other.mids
+        self.places |= other.places
 
-def resolve_name(rows: list[tuple], person: bool) -> list[tuple[int, bool]]:
-    """Cluster and certainty of each profile under one name.
 
-    ``rows`` are (given or form, middle, strong, place, n). Profiles with a
-    strong field merge first; merged profiles are matched again with what
-    they have learned until nothing fits one cluster alone.
-    """
-    order = sorted(range(len(rows)), key=lambda k: (not rows[k][2], not rows[k][0], not rows[k][1], -rows[k][4], rows[k][:4]))
+def _order(c: _Cluster) -> tuple:
+    """The most telling first."""
+    return (-len(c.givens), -len(c.mids), -len(c.places), -c.n, sorted(c.givens), sorted(c.mids), sorted(c.places))
+
+
+def settle_strong(rows: list[tuple], person: bool) -> list[int]:
+    """Cluster number of each profile (given or form, middle, place, n) under one name and one affiliation or number."""
+    profiles = [_Cluster("", *[{x} - {""} for x in r[:3]], n=r[3]) for r in rows]
+    for k, c in enumerate(profiles):
+        c.rows = [k]
     clusters: list[_Cluster] = []
-    by_strong: dict[str, list[_Cluster]] = defaultdict(list)
-    waiting: list[int] = []
-    for k in order:
-        p, n = rows[k][:4], rows[k][4]
-        if p[2]:
-            fit = [c for c in by_strong[p[2]] if c.fits(p, person)]
-            if fit:
-                fit[0].add(k, p, n)
-            else:
-                c = _Cluster()
-                c.add(k, p, n)
-                clusters.append(c)
-                by_strong[p[2]].append(c)
+    for p in sorted(profiles, key=_order):
+        fit = next((c for c in clusters if c.fits(p, person)), None)
+        if fit:
+            fit.take(p)
         else:
-            waiting.append(k)
-    # Profiles without a strong field: alike ones are one profile, matched round by round.
-    groups: dict[tuple, _Cluster] = {}
-    for k in waiting:
-        p = rows[k][:4]
-        groups.setdefault((p[0], p[1], p[3]), _Cluster()).add(k, p, rows[k][4])
-    loose = sorted(groups.values(), key=lambda c: (-len(c.givens), -len(c.mids), -len(c.places), -c.n, sorted(c.givens), sorted(c.mids)))
-    unsure: list[_Cluster] = []
+            clusters.append(p)
+    out = [0] * len(rows)
+    for n, c in enumerate(clusters):
+        for k in c.rows:
+            out[k] = n
+    return out
+
+
+def settle_loose(clusters: list[_Cluster], loose: list[_Cluster], person: bool) -> dict[str, tuple[str, bool]]:
+    """Part and certainty of each loose profile under one name.
+
+    Merged profiles are matched again with what they have learned until none
+    fits one cluster alone.
+    """
+    out: dict[str, tuple[str, bool]] = {}
+    loose = sorted(loose, key=_order)
     moved = True
     while moved and loose:
         moved, rest = False, []
         for g in loose:
-            fit = [c for c in clusters if c.joins(g, person)]
-            if len(fit) == 1:
-                c = fit[0]
-                c.rows += g.rows
-                c.n += g.n
-                for name in ("givens", "mids", "strongs", "places"):
-                    getattr(c, name).update(getattr(g, name))
+            fit = [c for c in clusters if c.fits(g, person)]
+            many = sum(c.many for c in fit)
+            if many == 1:
+                fit[0].take(g)
+                out[g.part] = (fit[0].part, True)
                 moved = True
             elif not fit:
                 clusters.append(g)
+                out[g.part] = (g.part, True)
                 moved = True
             else:
                 rest.append(g)
         loose = rest
-    unsure = loose
-    out: list[tuple[int, bool]] = [(0, True)] * len(rows)
-    for n, c in enumerate(clusters):
-        for k in c.rows:
-            out[k] = (n, True)
-    for n, c in enumerate(unsure):
-        for k in c.rows:
-            out[k] = (len(clusters) + n, False)
-    return out
+    return out | {g.part: (g.part, False) for g in loose}
 
 
-def _profiles_settled(found: DataFrame, cut: Cut) -> DataFrame:
-    """Every mention with the entity its profile falls to under its name, and whether that is sure."""
-    # Mentions that agree in every piece are one profile.
-    profile = ["cls", "name", "ctx", "ini", "soft", "mid", "strong", "place"]
-    profiles = found.groupBy(*profile).agg(F.count(F.lit(1)).alias("n"))
-    # A name without an initial or business word stands with all of its name.
-    schema = "cls string, name string, ctx string, ini string, soft string, mid string, strong string, place string, part int, sure boolean"
+_NAME = ["cls", "name", "ctx", "ini"]
 
-    # The profiles of a name come together in one task's order and are settled as they pass.
-    keys = ["cls", "name", "ctx", "ini"]
 
-    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def done(rows: list[tuple]) -> list[tuple]:
-            got = resolve_name([(r[4], r[5], r[6] or "", r[7] or "", r[8]) for r in rows], rows[0][0] != "party-o")
-            return [(*r[:8], *g) for r, g in zip(rows, got)]
+def _streamed(df: DataFrame, keys: list[str], schema: str, done: Callable[[list[tuple]], list[tuple]]) -> DataFrame:
+    """``done`` run over the rows of each key, one key after the other as sorted rows pass; the keys are the first columns."""
+    names = [x.strip().split(" ")[0] for x in schema.split(",")]
+    k = len(keys)
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
         for pdf in batches:
             out: list[tuple] = []
             for r in pdf.astype(object).where(pdf.notna(), None).itertuples(index=False, name=None):
-                if held and held[0][:4] != r[:4]:
+                if held and held[0][:k] != r[:k]:
                     out += done(held)
                     held = []
                 held.append(r)
-            yield pd.DataFrame(out, columns=[*profile, "part", "sure"])
+            yield pd.DataFrame(out, columns=names)
         if held:
-            yield pd.DataFrame(done(held), columns=[*profile, "part", "sure"])
+            yield pd.DataFrame(done(held), columns=names)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
-    settled = profiles.select(*profile, "n").repartition(*keys).sortWithinPartitions(*keys).mapInPandas(settle, schema)
-    same = [found[c].eqNullSafe(settled[c]) for c in profile]
-    on = same[0]
-    for s in same[1:]:
-        on = on & s
-    placed = found.join(settled, on).select(found["kind"], found["id"], found["pos"], found["core"], found["spelled"], *[found[c] for c in profile], settled["part"], settled["sure"])
-    placed = cut(placed.withColumn("entity", F.concat_ws("|", "cls", "name", "ctx", "ini", F.col("part").cast("string"))))
-    # Companies under one number are one company, however far their spellings.
-    numbered = placed.where("cls = 'party-o' AND strong IS NOT NULL").groupBy("strong").agg(F.min("entity").alias("low"), F.max("entity").alias("high")).where("low <> high")
-    renamed = placed.where("cls = 'party-o' AND strong IS NOT NULL").join(numbered, "strong").where("entity <> low").groupBy("entity").agg(F.min("low").alias("low"))
-    return cut(placed.join(renamed, "entity", "left").withColumn("entity", F.coalesce("low", "entity")).drop("low"))
+
+def _settled(profiles: DataFrame, cut: Cut) -> DataFrame:
+    """The profiles with ``part`` and ``sure``: to which of the entities under its name each falls."""
+    keys = [*_NAME, "strong"]
+    own = profiles.select(*keys, "pid", "soft", "mid", F.coalesce("place", F.lit("")).alias("place"), "n")
+    strong = own.where("strong IS NOT NULL")
+
+    def by_strong(rows: list[tuple]) -> list[tuple]:
+        if len(rows) == 1:
+            return [(rows[0][5], 0)]
+        return list(zip([r[5] for r in rows], settle_strong([r[6:] for r in rows], rows[0][0] != "party-o")))
+
+    at = _streamed(strong, keys, "pid string, number int", by_strong)
+    strong = cut(strong.join(at, "pid").withColumn("part", F.concat(F.lit("s"), "strong", F.lit("|"), F.col("number").cast("string"))))
+    held = lambda c: F.array_sort(F.array_remove(F.collect_set(c), "")).alias(c)
+    # Different people of a name that show the same are one row, with their number.
+    shown = strong.groupBy(*_NAME, "part").agg(held("soft"), held("mid"), held("place"), F.sum("n").alias("n"))
+    shown = shown.groupBy(*_NAME, "soft", "mid", "place").agg(F.count(F.lit(1)).cast("int").alias("many"), F.min("part").alias("part"), F.sum("n").alias("n"))
+    bag = lambda c: F.when(F.col(c) != "", F.array(c)).otherwise(F.array().cast("array<string>")).alias(c)
+    loose = own.where("strong IS NULL").withColumn("part", F.concat_ws("|", F.lit("l"), "soft", "mid", "place"))
+    alike = loose.groupBy(*_NAME, "soft", "mid", "place", "part").agg(F.sum("n").alias("n")).select(*_NAME, bag("soft"), bag("mid"), bag("place"), F.lit(0).alias("many"), "part", "n")
+
+    def by_name(rows: list[tuple]) -> list[tuple]:
+        made = [(r[7], _Cluster(r[8], r[4], r[5], r[6], max(r[7], 1), r[9])) for r in rows]
+        got = settle_loose([c for many, c in made if many], [c for many, c in made if not many], rows[0][0] != "party-o")
+        return [(*rows[0][:4], part, *where) for part, where in got.items()]
+
+    met = alike.select(*_NAME).distinct()
+    rows = shown.join(met, _NAME, "left_semi").unionByName(alike)
+    to = _streamed(rows, _NAME, "cls string, name string, ctx string, ini string, part string, to string, sure boolean", by_name)
+    loose = loose.join(to, [*_NAME, "part"]).select("pid", F.col("to").alias("part"), "sure")
+    return cut(profiles.join(strong.select("pid", "part", F.lit(True).alias("sure")).unionByName(loose), "pid"))
+
+
+def _entities(settled: DataFrame) -> DataFrame:
+    """The settled profiles with their entity; companies under one number are one company, however far their spellings."""
+    named = settled.withColumn("entity", F.concat_ws("|", *_NAME, "part"))
+    numbered = named.where("cls = 'party-o' AND strong IS NOT NULL").groupBy("strong").agg(F.min("entity").alias("low"), F.max("entity").alias("high")).where("low <> high")
+    renamed = named.where("cls = 'party-o' AND strong IS NOT NULL").join(numbered, "strong").where("entity <> low").groupBy("entity").agg(F.min("low").alias("low"))
+    return named.join(renamed, "entity", "left").withColumn("entity", F.coalesce("low", "entity")).drop("low")
 
 
 def _learned(placed: DataFrame) -> DataFrame:
     """One row per name with all that its entities have learned: ``cls, ctx, ini, core, n, softs, strongs, spells``."""
     key = ["cls", "ctx", "ini", "name"]
     known = placed.groupBy("entity").agg(F.collect_set("soft").alias("softs"), F.collect_set("strong").alias("strongs"), F.array_union(F.collect_set("core"), F.collect_set("spelled")).alias("spells"))
-    held = placed.groupBy(*key, "entity").agg(F.count(F.lit(1)).alias("n")).join(known, "entity")
+    held = placed.groupBy(*key, "entity").agg(F.sum("n").alias("n")).join(known, "entity")
     union = lambda c: F.array_distinct(F.flatten(F.collect_set(c)))
     names = held.groupBy(*key).agg(F.sum("n").alias("n"), F.array_remove(union("softs"), "").alias("softs"), union("strongs").alias("strongs"), union("spells").alias("spells"))
     return names.withColumnRenamed("name", "core")
 
 
+_PROFILE = ["cls", "core", "spelled", "ctx", "ini", "soft", "mid", "strong", "place"]
+
+
+def _profiles(found: DataFrame, cut: Cut) -> tuple[DataFrame, DataFrame]:
+    """Mentions with their profile's id, and the profiles: mentions that agree in every piece are one."""
+    pid = F.substring(F.sha2(F.concat_ws("\x01", *[F.coalesce(F.col(c), F.lit("\x02")) for c in _PROFILE]), 256), 1, 32)
+    found = cut(found.withColumn("pid", pid).withColumnRenamed("pid", "pid0"))
+    typed = cut(found.groupBy(F.col("pid0"), *_PROFILE).agg(F.count(F.lit(1)).alias("n")))
+    # Given names that stand for others, learned from people of one surname and affiliation.
+    people = typed.where("cls <> 'party-o'")
+    told = people.join(given_forms(people).withColumnRenamed("form", "soft"), "soft").select("pid0", "stands_for")
+    profiles = typed.join(told, "pid0", "left").withColumn("soft", F.coalesce("stands_for", "soft")).withColumn("ini", F.when(F.col("stands_for").isNotNull(), F.substring("stands_for", 1, 1)).otherwise(F.col("ini"))).drop("stands_for")
+    profiles = cut(profiles.withColumn("pid", pid))
+    at = profiles.select("pid0", "pid")
+    profiles = profiles.groupBy("pid", *_PROFILE).agg(F.sum("n").alias("n"))
+    return found.join(at, "pid0").select("kind", "id", "pos", "pid"), cut(profiles.withColumn("name", F.col("core")))
+
+
 def resolve(found: DataFrame, cut: Cut, works: DataFrame | None = None) -> DataFrame:
     """``kind, id, pos, entity`` of every mention; ``works`` (``ref_id, work``) settles unsure authors.
 
-    Rounds end as soon as no spelling moves. Each move leaves one name less,
+    Rounds end as soon as no name moves. Each move leaves one name less,
     and goes to a name later in one order, so they do end.
     """
-    found = cut(found.withColumn("name", F.col("core")))
+    members, profiles = _profiles(found, cut)
+    settled = _settled(profiles, cut)
+    seen = near = None
     while True:
-        placed = _profiles_settled(found, cut)
-        moves = cut(canonical_names(cut(_learned(placed)), cut))
+        placed = cut(_entities(settled))
+        names = cut(_learned(placed))
+        forms = cut(spelling_forms(names))
+        new = forms if seen is None else cut(forms.join(seen, [*_BLOCK, "form", "at"], "left_anti"))
+        if seen is None:
+            near = cut(near_spellings(new, forms))
+        elif new.limit(1).count():
+            more = near_spellings(new, forms)
+            near = cut(near.unionByName(more).unionByName(more.select(*_BLOCK, F.col("near").alias("form"), F.col("form").alias("near"))).distinct())
+        seen = forms
+        moves = cut(canonical_names(names, near, cut))
         if not moves.limit(1).count():
             break
-        found = cut(found.join(moves.select("cls", "ctx", "ini", F.col("core").alias("name"), "to"), ["cls", "ctx", "ini", "name"], "left").withColumn("name", F.coalesce("to", "name")).drop("to"))
+        moved = settled.join(moves.select(*_BLOCK, F.col("core").alias("name"), "to"), [*_BLOCK, "name"], "left").withColumn("changed", F.col("to").isNotNull()).withColumn("name", F.coalesce("to", "name")).drop("to")
+        moved = cut(moved)
+        # Only names that gained a profile are settled anew.
+        touched = moved.where("changed").select(*_NAME).distinct()
+        again = moved.join(touched, _NAME, "left_semi").drop("changed", "part", "sure")
+        settled = cut(moved.join(touched, _NAME, "left_anti").drop("changed").unionByName(_settled(cut(again), cut)))
+    placed = cut(members.join(placed.select("pid", "name", "ini", "sure", "entity"), "pid").drop("pid"))
     if works is not None:
         # An unsure author is the one this work's other records name.
         at = works.select(F.col("ref_id").alias("id"), "work")

@@ -105,25 +105,46 @@ def _stands_out(lengths: list[int]) -> bool:
     return first >= 9 and first >= second + 3
 
 
-def _is_given(word: str) -> bool:
-    return given_name(word) is not None
+def _clean(typed: str) -> str:
+    return re.sub(r"\s+", " ", re.sub(r"[​-‏⁠﻿­\"“”„]", "", typed)).strip()
+
+
+def _words(text: str) -> list[str]:
+    return re.findall(r"[^\W\d_]+(?:[-'’‑][^\W\d_]+)*", text)
+
+
+def _low(word: str) -> str:
+    return fold(word).replace("’", "'").replace("‑", "-")
+
+
+def _untitled(ws: list[str]) -> list[str]:
+    while len(ws) > 1 and _low(ws[0]) in TITLES and len(ws[0]) > 1:
+        ws = ws[1:]
+    return ws
+
+
+def name_parts(typed: str) -> tuple[list[str], list[str], list[str]]:
+    """Folded words that a comma tells to be surnames, those it tells to be given names, and those it does not tell."""
+    front, _, back = _clean(typed).partition(",")
+    first, second = [[_low(w) for w in _untitled(_words(x)) if len(_low(w).replace("-", "")) > 2] for x in (front, back)]
+    if _words(back):
+        return first, second, []
+    return [], [], first if len(_words(front)) > 1 else []
 
 
 @functools.lru_cache(1 << 17)
-def parse_person(typed: str) -> Person | None:
-    """Surname, full given name if written out, initials; None for unnamed others and blanks."""
-    text = re.sub(r"\s+", " ", re.sub(r"[​-‏⁠﻿­\"“”„]", "", typed)).strip()
+def parse_person(typed: str, given: frozenset[str] = frozenset(), family: frozenset[str] = frozenset()) -> Person | None:
+    """Surname, full given name if written out, initials; None for unnamed others and blanks.
+
+    ``given`` and ``family`` are those of its words that other names show to be such.
+    """
+    text = _clean(typed)
     plain = re.sub(r"[^\w]+", " ", fold(text)).strip()
     if not plain or plain in OTHERS:
         return None
     front, comma, back = text.partition(",")
-    words = lambda s: [w for w in re.findall(r"[^\W\d_]+(?:[-'’‑][^\W\d_]+)*", s)]
-    low = lambda w: fold(w).replace("’", "'").replace("‑", "-")
-
-    def strip(ws: list[str]) -> list[str]:
-        while len(ws) > 1 and low(ws[0]) in TITLES and len(ws[0]) > 1:
-            ws = ws[1:]
-        return ws
+    words, low, strip = _words, _low, _untitled
+    is_given = lambda w: w in given or w not in family and given_name(w) is not None
 
     if comma and words(back):
         last, rest = strip(words(front)), words(back)
@@ -134,7 +155,9 @@ def parse_person(typed: str) -> Person | None:
         else:
             shouted = [k for k, w in enumerate(ws) if len(w) > 3 and w.isupper()]
             long = [k for k, w in enumerate(ws) if len(low(w).replace("-", "")) > 2]
-            names = [k for k in long if not _is_given(low(ws[k]))]
+            names = [k for k in long if not is_given(low(ws[k]))]
+            known = [k for k in names if low(ws[k]) in family]
+            names = known if len(known) == 1 else names
             if shouted and len(shouted) < len(long):
                 pick = shouted[0]
             elif len(names) == 1:

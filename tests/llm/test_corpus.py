@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from lexmill.llm.identity import mention_pairs, mentions, resolve, resolve_name
+from lexmill.llm.identity import _Cluster, mention_pairs, mentions, resolve, settle_loose, settle_strong
 from lexmill.llm.language import Model, automaton, clean_sample, document_languages, language_stretches, relabel
 from lexmill.llm.leaks import Index, find_leaks, remove_leaks, words
 from lexmill.llm.packing import pack_documents, sum_of_squares
@@ -189,9 +189,23 @@ def test_names():
 
 
 def test_one_name_several_people():
-    rows = [("frederic", "", "x", "", 3), ("frederic", "", "y", "", 2), ("", "", "x", "", 1), ("", "", "", "", 1), ("guillaume", "", "", "", 1)]
-    got = resolve_name(rows, True)
-    assert got[0][0] == got[2][0] != got[1][0] and not got[3][1] and got[4][1] and got[4][0] not in (got[0][0], got[1][0])
+    assert settle_strong([("frederic", "", "", 3), ("", "", "", 1), ("guillaume", "", "", 2), ("frederik", "", "", 1)], True) == [0, 0, 1, 0]
+    x, y = _Cluster("x", ["frederic"], n=4), _Cluster("y", ["frederic"], n=2)
+    got = settle_loose([x, y], [_Cluster("a"), _Cluster("b", ["guillaume"]), _Cluster("c", ["guillaume"], ["p"])], True)
+    assert got == {"a": ("a", False), "b": ("c", True), "c": ("c", True)}
+    # People who show the same are one row with their number.
+    assert settle_loose([_Cluster("x", ["anna"], many=2)], [_Cluster("a", ["anna"])], True) == {"a": ("a", False)}
+
+
+def test_given_names_that_stand_for_one_another_are_learned(spark, cut):
+    """Names that no table holds: short forms and the order of words are learned from the other names."""
+    surnames = ["Torzelhunwick", "Kasscudelby", "Meierhof", "Vilrudsen", "Xavikor"]
+    typed = []
+    for s in surnames:
+        typed += [(f"{s}, Zorbalin", f"At {s}")] * 3 + [(f"{s}, Zobi", f"At {s}")]
+    typed += [("Zobi Torzelhunwick", "At Torzelhunwick"), ("Meierhof Zorbalin", "At Meierhof"), ("Zorbalin Quellmundi", "Here"), ("Zobi Quellmundi", "Here")]
+    got = by_name(spark, cut, typed)
+    assert [len(g) for g in got] == [5, 4, 5, 4, 4, 2]
 
 
 def tables(spark):
@@ -244,6 +258,20 @@ def test_a_typing_error_in_an_umlaut_or_a_short_name_is_linked(spark, cut):
     assert by_name(spark, cut, typed) == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9, 10, 11], [12]]
 
 
+def test_no_link_is_lost_when_rows_come_twice(spark, cut):
+    law, sea = "Law, Lamgwen", "Sea, Vilrud"
+    typed = [("Kasscudelby, T.", law)] * 3 + [("Kasscduelby, T.", law), ("Kasscudelby, Thomas", None), ("Kascudelby, Tom", law), ("Kasscudelby, U.", sea)]
+    once = by_name(spark, cut, typed)
+    assert once == [[0, 1, 2, 3, 4, 5], [6]]
+    assert by_name(spark, cut, typed * 2) == [[*g, *(k + 7 for k in g)] for g in once]
+
+
+def test_a_name_of_many_people_is_settled_by_what_they_show(spark, cut):
+    typed = [(f"Orbinsky, {g}", f"Place {k}") for k in range(400) for g in ("Anna", "A.")] + [("Orbinsky, Anna", None), ("Orbinsky, Zoltan", None)]
+    got = by_name(spark, cut, typed)
+    assert sorted(map(len, got)) == [1] * 2 + [2] * 400
+
+
 def test_merged_profiles_rematch_with_all_they_hold(spark, cut):
     # The last spelling is two letters from the name, one from a variant that moved rounds before.
     law = "Law, Lamgwen"
