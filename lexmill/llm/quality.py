@@ -2,14 +2,17 @@
 
 All figures come from array operations over whole Arrow batches: characters,
 space-separated tokens and lines are counted by gathers and segmented sums.
-Each line is then taken as running prose, a list entry, a table row or junk; a
-document is a list, a table or junk if more than half of its characters stand
-in lines that are no prose, and its kind is the largest part of them.
-
-The rules that a document fails are listed by name in ``failures``: those on
-word count, mean word length, symbols, bullets, ellipses, alphabetic words and
-common words follow the published rules for web text (Rae et al. 2021); the
-others are this module's.
+Line statistics are the shares of characters in list entries, table rows and
+lines without sense.
+
+Fixed thresholds on the figures are the rules; those that a document fails are
+listed by name in ``failures``. The rules on word count, mean word length,
+symbols, bullets, ellipses, alphabetic words and common words follow the
+published ones for web text (Rae et al. 2021); the others are this module's. A
+document that fails one of the rules of ``KIND_RULES`` is no running prose: its
+``kind`` is the one whose lines hold most characters, and ``reason`` names the
+statistic that holds most of these, or the rule on words that makes all of it
+junk.
 
 Defined results: null and blank texts have no row; a text of one line is judged
 as one line; ties between kinds go to junk, then table, then list; repeated
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lexmill.llm import codepoints as cp
 
-# Frequent words of the six languages in Latin script.
+# Frequent words of the languages; Chinese and Japanese are counted by character, Thai has no words to count.
 COMMON = """
 the of to and in a is for by at on that this be as or from was were are with any its shall must no not it an which has have been will under if
 de la le les et du des à un une en que qui dans par pour sur au aux est ne pas se ou ce cette son sa
@@ -35,6 +38,10 @@ der die das und von zu den mit im am ist auf bei für nicht ein eine einer nach
 i w z na do nie o oraz się przez od od dnia że jest za po przed kto ze
 el los las del y al con se por para no lo una su es más
 os da do dos das o e a ao com não em no na nos nas até um uma pelo
+и в не на с по к из о что от для при или за у его как это до
+के का की में है और से को पर यह ने कि हैं या एक
+في من على أن إلى عن مع هذا هذه التي الذي أو ما لا كل
+的 了 在 是 不 和 有 之 其 与 为 或 の は に を が と で し て た
 """
 # Marks that open a list entry.
 BULLETS = "•-–—*·●▪◦‣○■□▸►✓"
@@ -54,12 +61,16 @@ WORDS_MIN, WORDS_MAX, MEAN_WORD_MIN, MEAN_WORD_MAX = 50, 100_000, 3.0, 10.0
 SYMBOL_MAX, BULLET_MAX, ELLIPSIS_MAX, ALPHA_MIN, COMMON_MIN = 0.1, 0.9, 0.3, 0.8, 2
 
 KINDS = ("list", "table", "junk")
+#: Rules of which a document that is no running prose fails one at least.
+KIND_RULES = ("not_prose", "repetition", "gibberish")
+#: What makes lines no prose, by kind.
+REASONS = {"list": ("marked_entries", "plain_entries"), "table": ("cells",), "junk": ("broken_encoding", "spaced_letters", "senseless_lines")}
 BATCH_CHARS = 1 << 20
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 SCHEMA = (
     "n_words long, n_distinct_words long, mean_word_length double, symbol_ratio double, digit_ratio double, n_lines long, bullet_share double, ellipsis_share double,"
-    " end_punct_share double, alpha_word_share double, common_word_share double, list_share double, table_share double, junk_share double, kind string, failures array<string>"
+    " end_punct_share double, alpha_word_share double, common_word_share double, list_share double, table_share double, junk_share double, kind string, reason string, failures array<string>"
 )
 
 
@@ -270,6 +281,10 @@ def statistics(texts: list[str | None]) -> dict[str, np.ndarray]:
 
     by_doc = lambda w: np.bincount(line_doc, np.where(full, w, 0), n_docs)
     chars = by_doc(n_solid)
+    causes = {
+        "marked_entries": entry & list_line, "plain_entries": list_line & ~entry, "cells": table_line,
+        "broken_encoding": broken, "spaced_letters": spaced & ~broken, "senseless_lines": junk_line & ~broken & ~spaced,
+    }
     safe = np.maximum(chars, 1)
     junk, rows, items = by_doc(n_solid * junk_line) / safe, by_doc(n_solid * table_line) / safe, by_doc(n_solid * list_line) / safe
     repeats = (n_words >= MANY_WORDS) & ((distinct <= FEW_WORDS) | (distinct <= 30) & (n_words >= 25 * distinct))
@@ -278,6 +293,13 @@ def statistics(texts: list[str | None]) -> dict[str, np.ndarray]:
     rows, items = np.where(junk >= 1, 0, rows), np.where(junk >= 1, 0, items)
     none = junk + rows + items > DECISIVE
     choice = np.where((junk >= rows) & (junk >= items), 2, np.where(rows >= items, 1, 0))
+    parts = {name: by_doc(n_solid * line) for name, line in causes.items()}
+    reason = np.full(n_docs, None, object)
+    for k, of in enumerate(KINDS):
+        mine = np.flatnonzero(none & (choice == k))
+        most = np.stack([parts[x][mine] for x in REASONS[of]]).argmax(0)
+        reason[mine] = np.array(REASONS[of], object)[most]
+    reason[none & gibberish], reason[none & repeats] = "gibberish", "repetition"
     n_lines = np.bincount(line_doc, full, n_docs)
     lines = np.maximum(n_lines, 1)
     ellipsis = (codes[last_solid] == 0x2026) | (codes[last_solid] == 46) & (codes[np.maximum(last_solid - 1, 0)] == 46)
@@ -289,7 +311,7 @@ def statistics(texts: list[str | None]) -> dict[str, np.ndarray]:
         "blank": chars == 0, "n_words": n_words.astype(np.int64), "n_distinct_words": distinct.astype(np.int64), "mean_word_length": word_chars / np.maximum(n_words, 1), "symbol_ratio": symbols / np.maximum(n_words, 1),
         "digit_ratio": np.bincount(tok_doc, t_digit, n_docs) / safe, "n_lines": n_lines.astype(np.int64), "bullet_share": np.bincount(line_doc, bullet, n_docs) / lines, "ellipsis_share": np.bincount(line_doc, ellipsis & full, n_docs) / lines,
         "end_punct_share": np.bincount(line_doc, ends_text, n_docs) / lines, "alpha_word_share": alpha, "common_word_share": n_common / np.maximum(n_words, 1), "n_common": n_common,
-        "list_share": items, "table_share": rows, "junk_share": junk, "kind": np.where(none, choice, -1), "repeats": repeats, "gibberish": gibberish, "n_latin": n_latin,
+        "list_share": items, "table_share": rows, "junk_share": junk, "kind": np.where(none, choice, -1), "reason": reason, "not_prose": none, "repeats": repeats, "gibberish": gibberish, "n_latin": n_latin,
     }
 
 
@@ -299,12 +321,18 @@ def failures(s: dict[str, np.ndarray]) -> list[tuple[str, np.ndarray]]:
         ("too_few_words", s["n_words"] < WORDS_MIN), ("too_many_words", s["n_words"] > WORDS_MAX),
         ("short_words", s["mean_word_length"] < MEAN_WORD_MIN), ("long_words", s["mean_word_length"] > MEAN_WORD_MAX),
         ("symbols", s["symbol_ratio"] > SYMBOL_MAX), ("bullets", s["bullet_share"] > BULLET_MAX), ("ellipses", s["ellipsis_share"] > ELLIPSIS_MAX),
-        ("few_alphabetic_words", s["alpha_word_share"] < ALPHA_MIN), ("few_common_words", (s["n_common"] < COMMON_MIN) & (s["n_latin"] > 0.5 * s["n_words"])),
-        ("repetition", s["repeats"]), ("gibberish", s["gibberish"]),
+        ("few_alphabetic_words", s["alpha_word_share"] < ALPHA_MIN), ("few_common_words", s["n_common"] < COMMON_MIN),
+        ("not_prose", s["not_prose"]), ("repetition", s["repeats"]), ("gibberish", s["gibberish"]),
         ("mostly_list", s["list_share"] > DECISIVE), ("mostly_table", s["table_share"] > DECISIVE), ("mostly_junk", s["junk_share"] > DECISIVE),
     ]
 
 
+def not_prose(figures: DataFrame) -> DataFrame:
+    """The documents that fail a rule on kinds of text, with the rules they fail."""
+    rules = F.array(*map(F.lit, KIND_RULES))
+    return figures.where(F.arrays_overlap("failures", rules)).withColumn("failed", F.array_intersect("failures", rules))
+
+
 def text_quality(df: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:
     """One row of figures per text that is not blank; a narrow operator without shuffle."""
     source = df.where(F.col(text_col).isNotNull()).select(*id_cols, F.col(text_col).alias("__text"))
@@ -320,8 +348,9 @@ def text_quality(df: DataFrame, id_cols: list[str], text_col: str = "text") -> D
                 rules = failures(s)
                 why = pa.array([[name for name, bad in rules if bad[k]] for k in keep], pa.list_(pa.string()))
                 kinds = pa.array([None if k < 0 else KINDS[k] for k in s["kind"][keep]], pa.string())
-                cols = [pa.array(s[f][keep]) for f in fields[:-2]]
-                yield pa.RecordBatch.from_arrays([*[batch.column(k).take(pa.array(keep + a)) for k in range(k_ids)], *cols, kinds, why], names=[*id_cols, *fields])
+                cols = [pa.array(s[f][keep]) for f in fields[:-3]]
+                reasons = pa.array(s["reason"][keep].tolist(), pa.string())
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).take(pa.array(keep + a)) for k in range(k_ids)], *cols, kinds, reasons, why], names=[*id_cols, *fields])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in source.dtypes[:k_ids])
     return source.mapInArrow(run, f"{schema}, {SCHEMA}")

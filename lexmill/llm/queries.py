@@ -90,9 +90,9 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are for more than half of their characters no running prose."""
-    from lexmill.llm.quality import text_quality
+    from lexmill.llm.quality import not_prose, text_quality
 
-    return text_quality(table(spark, sf_dir, "documents"), ["doc_id"]).where("kind is not null").select("doc_id", "kind").distinct()
+    return not_prose(text_quality(table(spark, sf_dir, "documents"), ["doc_id"])).select("doc_id", "kind").distinct()
 
 
 def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,9 +102,37 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_quality(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def p9_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are no running prose, by kind, reason and failed rule."""
+    from lexmill.llm.quality import not_prose, text_quality
+
+    rows = not_prose(text_quality(table(spark, sf_dir, "documents"), ["doc_id"]))
+    return rows.select("kind", "reason", F.explode("failed").alias("rule")).groupBy("kind", "reason", "rule").agg(F.count(F.lit(1)).alias("documents"))
+
+
+def p9_line_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with text, and how many of them end in a sentence's mark or in an ellipsis."""
+    from lexmill.llm.quality import text_quality
+
+    rows = text_quality(table(spark, sf_dir, "documents"), ["doc_id"])
+    number = lambda c: F.round(F.col(c) * F.col("n_lines")).cast("long")
+    return rows.select("doc_id", "n_lines", number("end_punct_share").alias("ended"), number("ellipsis_share").alias("trailing"))
+
+
+#: White space and characters that show nothing, as the operators take them.
+_NOTHING = r"[\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}\p{Cf}\x{034F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{3164}\x{FFA0}\x{FE00}-\x{FE0F}]"
+P9_LINE_FIGURES_SQL = rf"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, regexp_replace(line, '{_NOTHING}+$', '') AS line FROM l)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (regexp_matches(line, '[.!?…。！？।؟]["''”’»)\]」』“]{{0,2}}$') AND NOT regexp_matches(line, '^["''”’»)\]」』“]$')) AS ended,
+  count(*) FILTER (regexp_matches(line, '(…|[.][.])$')) AS trailing
+FROM s WHERE line <> '' GROUP BY doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_merged": p3_merged, "p4_found": p4_found, "p5_found": p5_found, "p7_pack": p7_pack, "p8_found": p8_found, "p9_found": p9_found, "p9_statistics": p9_statistics}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_merged": p3_merged, "p4_found": p4_found, "p5_found": p5_found, "p7_pack": p7_pack, "p8_found": p8_found, "p9_found": p9_found, "p9_statistics": p9_statistics, "p9_reasons": p9_reasons, "p9_line_figures": p9_line_figures}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p9_line_figures": P9_LINE_FIGURES_SQL}

@@ -157,3 +157,24 @@ def test_gaps_marks_and_closers_of_any_length(n):
     assert got("It ends now" + "!" * n + " The second one.") == ["It ends now" + "!" * n, "The second one."]
     assert got("It ends now." + ")" * n + " The second one.") == ["It ends now." + ")" * n, "The second one."]
     assert got("สัญญานี้มีผลใช้บังคับ" + " " * n + "คู่สัญญาต้องปฏิบัติตาม") == ["สัญญานี้มีผลใช้บังคับ", "คู่สัญญาต้องปฏิบัติตาม"]
+
+
+def test_every_document_that_is_no_prose_has_its_rule_and_reason(spark):
+    from lexmill.llm.quality import KIND_RULES, REASONS, not_prose
+
+    docs = spark.createDataFrame([(1, "- one item\n- two items\n- three items\n"), (2, "a | b | c\nd | e | f\n"), (3, "na " * 200), (4, "The Buyer shall pay the price in full before the end of the month."), (5, "x7#q 9$%k @@1z ~~3 q0q0 %%% 8zz #### zz9"), (6, None), (7, " \n ")], "doc_id long, text string")
+    figures = text_quality(docs, ["doc_id"])
+    got = {r.doc_id: (r.kind, r.reason, set(r.failed)) for r in not_prose(figures).collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: "list", 2: "table", 3: "junk", 5: "junk"}
+    assert got[1][1] == "marked_entries" and got[2][1] == "cells" and got[3][1] == "repetition"
+    for kind, reason, failed in got.values():
+        assert failed <= set(KIND_RULES) and failed and reason in (*REASONS[kind], "repetition", "gibberish")
+    assert {r.doc_id for r in figures.where("kind IS NOT NULL").collect()} == set(got)
+
+
+def test_line_figures_equal_sql(spark):
+    from lexmill.llm import queries
+    from tests.compare import DATA, duck_rows, spark_rows
+
+    for name, sql in queries.oracle_sql().items():
+        assert spark_rows(queries.queries()[name](spark, DATA)) == duck_rows(sql)
