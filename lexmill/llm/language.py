@@ -7,12 +7,14 @@ language whose automaton needs the fewest phrases, normalised by the logarithm
 of its training length, wins. All sentences of a batch are parsed in lock step
 as array gathers, against all languages at once. Languages whose training text
 is in another script than the sentence are no candidates, since every
-character of it would be a phrase of its own.
+character of it would be a phrase of its own; that count, one phrase a letter,
+stands for all of them and for languages without any text.
 
 Defined results: null and blank texts, and texts without letters, have no
-language; a tie goes to the language of the label if that is among the best,
-else to the first in alphabetical order; confidence is 1 - best / second, or 1
-where one candidate remains.
+language; sentences in a script of which no language has text are ``und``, with
+confidence 0; a tie goes to the language of the label if that is among the best,
+else to the first in alphabetical order; confidence is 1 - best / second, where
+one phrase a letter is the last candidate.
 """
 
 from __future__ import annotations
@@ -46,11 +48,13 @@ NOTATIONS = {
 }
 CODES = {name: code for code, names in NOTATIONS.items() for name in names.split()}
 
-#: Bound of the training sample: blocks looked at, and characters kept of each language.
-SAMPLE_ROWS = 8000
+#: Bound of the training sample: blocks drawn, and characters kept, of each language.
+SAMPLE_ROWS = 700
 TRAIN_CHARS = 24000
 #: Longest text taken into the sample, so that its size is bounded in bytes too.
 SAMPLE_TEXT = 4000
+#: Language of sentences in a script of which no language has text.
+UNKNOWN = "und"
 #: A script other than Latin decides if it has this share of a sentence's letters; names are often Latin.
 SCRIPT_SHARE = 0.25
 #: A language is in a document if it holds this share of the characters.
@@ -85,9 +89,9 @@ def _letters() -> np.ndarray:
 
 @functools.cache
 def _script_index() -> np.ndarray:
-    """Place in SCRIPTS plus one per code point; 0 for characters of none."""
+    """Place in SCRIPTS plus one per code point, one more for letters of other scripts; 0 for other characters."""
     kinds = cp.class_table()
-    out = np.zeros(cp.LIMIT + 1, np.uint8)
+    out = np.where((kinds & cp.LETTER) > 0, len(SCRIPTS) + 1, 0).astype(np.uint8)
     for k, bit in enumerate(SCRIPTS):
         out[((kinds & bit) > 0) & ((kinds & (cp.LETTER | cp.MARK)) > 0)] = k + 1
     return out
@@ -138,7 +142,7 @@ class Model:
         folded = {}
         for lang, text in sorted(texts.items()):
             raw = cp.clip(np.frombuffer(text.encode("utf-32-le"), np.uint32))
-            counts = np.bincount(scripts[raw], minlength=len(SCRIPTS) + 1)
+            counts = np.bincount(scripts[raw], minlength=len(SCRIPTS) + 2)
             script = self._script(counts[None, 1:])[0]
             self.by_script[int(script)].append(lang)
             folded[lang] = letters[raw]
@@ -147,8 +151,6 @@ class Model:
         self.script_counts = scripts
         self.tables: dict[int, tuple] = {}
         for script, langs in self.by_script.items():
-            if len(langs) == 1:
-                continue
             used = Counter()
             for lang in langs:
                 used.update(folded[lang].tolist())
@@ -181,7 +183,7 @@ class Model:
         return np.where(total == 0, -1, np.where(share >= SCRIPT_SHARE, other, 0))
 
     def phrases(self, script: int, codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Phrases that each language of the script needs for each span."""
+        """Phrases that each language of the script needs for each span; last, one for each letter and gap."""
         langs, of, size, table, bases, _ = self.tables[script]
         seq = of[codes]
         # Runs of characters that are no letters count as one.
@@ -207,37 +209,37 @@ class Model:
             miss = step == 0
             count[:, :live] += miss
             state = np.where(miss, first[:, s], step).astype(np.int64)
-        out = np.empty((len(b), len(langs)), np.float64)
-        out[order] = count.T + 1
+        out = np.empty((len(b), len(langs) + 1), np.float64)
+        out[order, :-1] = count.T + 1
+        out[order, -1] = n
         return out
 
     def classify(self, codes: np.ndarray, begin: np.ndarray, end: np.ndarray, hint: list[str | None]) -> tuple[np.ndarray, np.ndarray, list]:
-        """Language of each span (index into ``langs``, -1 unknown), its confidence, and the scores by script."""
+        """Language of each span (index into ``langs``, -1 none, their number if no language has the script), its confidence, and the scores by script."""
         index = {lang: k for k, lang in enumerate(self.langs)}
         scripts = self.script_counts[codes]
-        counts = np.zeros((len(begin), len(SCRIPTS)), np.int64)
-        for k in range(len(SCRIPTS)):
+        counts = np.zeros((len(begin), len(SCRIPTS) + 1), np.int64)
+        for k in range(len(SCRIPTS) + 1):
             if k == 0 or (scripts == k + 1).any():
                 total = np.concatenate([[0], np.cumsum(scripts == k + 1)])
                 counts[:, k] = total[end] - total[begin]
         script = self._script(counts)
-        lang, sure = np.full(len(begin), -1, np.int64), np.zeros(len(begin))
+        lang, sure = np.where(script < 0, -1, len(self.langs)), np.zeros(len(begin))
         scores = np.full((len(begin), len(self.langs)), np.inf)
         for s in np.unique(script):
             which = np.flatnonzero(script == s)
             langs = self.by_script.get(int(s), [])
             if s < 0 or not langs:
                 continue
-            if len(langs) == 1:
-                lang[which], sure[which] = index[langs[0]], 1.0
-                scores[which, index[langs[0]]] = 1
-                continue
             norm = self.tables[int(s)][5]
-            got = self.phrases(int(s), codes, begin[which], end[which]) * norm[None, :]
+            got = self.phrases(int(s), codes, begin[which], end[which])
+            letters = got[:, -1] * norm.mean()
+            got = got[:, :-1] * norm[None, :]
             cols = np.array([index[x] for x in langs])
             scores[which[:, None], cols[None, :]] = got
             best = got.min(1)
-            second = np.partition(got, 1, axis=1)[:, 1]
+            second = np.minimum(np.partition(got, 1, axis=1)[:, 1], letters) if len(langs) > 1 else letters
+            second = np.maximum(second, best)
             lang[which] = cols[got.argmin(1)]
             sure[which] = 1 - best / second
             for k in np.flatnonzero(second == best).tolist():
@@ -268,20 +270,22 @@ def clean_sample(rows: list[tuple[str, str]]) -> dict[str, str]:
     for lang, text in rows:
         _, begin, end, _ = split.cuts([text])
         kept += [(lang, text[a:b]) for a, b in zip(begin, end)]
-    grams = [Counter(_trigrams(s)) for _, s in kept]
-    use = list(range(len(kept)))
-    for _ in range(2):
-        total: dict[str, Counter] = defaultdict(Counter)
-        for k in use:
-            total[kept[k][0]].update(grams[k])
-        sums = {lang: sum(c.values()) for lang, c in total.items()}
-        good = []
-        for k, (lang, _) in enumerate(kept):
-            own = grams[k]
-            score = {x: sum(n * math.log((c.get(g, 0) + 0.1) / (sums[x] + 2000)) for g, n in own.items()) for x, c in total.items()}
-            if max(score, key=score.__getitem__) == lang:
-                good.append(k)
-        use = good
+    number: dict[str, int] = {}
+    grams = [[number.setdefault(g, len(number)) for g in _trigrams(s)] for _, s in kept]
+    kept, grams = [k for k, g in zip(kept, grams) if g], [g for g in grams if g]
+    langs = sorted({lang for lang, _ in kept})
+    own = np.array([langs.index(lang) for lang, _ in kept], np.int64)
+    sizes = np.array([len(g) for g in grams], np.int64)
+    flat = np.array([x for g in grams for x in g], np.int64)
+    of, first = np.repeat(np.arange(len(kept)), sizes), np.cumsum(sizes) - sizes
+    good = np.ones(len(kept), bool)
+    for _ in range(2 if len(kept) else 0):
+        use = good[of]
+        total = np.bincount(flat[use] * len(langs) + own[of[use]], minlength=len(number) * len(langs)).reshape(-1, len(langs))
+        weight = np.log((total + 0.1) / (total.sum(0) + 2000))
+        score = np.add.reduceat(weight[flat], first)
+        good = score[np.arange(len(kept)), own] >= score.max(1)
+    use = np.flatnonzero(good).tolist()
     out: dict[str, list[str]] = defaultdict(list)
     size: Counter = Counter()
     for k in use:
@@ -293,15 +297,18 @@ def clean_sample(rows: list[tuple[str, str]]) -> dict[str, str]:
 
 
 def fit(blocks: DataFrame, label: str = "lang", text: str = "text", key: tuple[str, ...] = ("doc_id", "idx")) -> tuple[tuple[str, str], ...]:
-    """Training text per language from at most about SAMPLE_ROWS labelled rows.
+    """Training text per language from at most about SAMPLE_ROWS labelled rows of each.
 
     The sample is drawn by a hash of the key, so it is the same in every run;
-    its size does not grow with the table.
+    its size does not grow with the table, and a rare language has as much as
+    a frequent one where it has so many rows.
     """
-    share = min(1.0, SAMPLE_ROWS / max(blocks.count(), 1))
-    drawn = blocks.where(F.pmod(F.xxhash64(*key), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    drawn = drawn.select(label_code(F.col(label)).alias("l"), F.col(text).alias("t"), F.xxhash64(*key).alias("h"))
-    rows = drawn.where(F.col("l").isNotNull() & F.length("t").between(20, SAMPLE_TEXT)).collect()
+    rows = blocks.select(label_code(F.col(label)).alias("l"), F.col(text).alias("t"), F.xxhash64(*key).alias("h")).where(F.col("l").isNotNull() & F.length("t").between(20, SAMPLE_TEXT))
+    counts = {r.l: r.n for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return ()
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, int(min(1.0, SAMPLE_ROWS / n) * (1 << 20)) + 1)])
+    rows = rows.where(F.pmod("h", F.lit(1 << 20)) < F.element_at(share, F.col("l"))).collect()
     rows.sort(key=lambda r: (r.l, r.h, r.t))
     budget: Counter = Counter()
     picked = []
@@ -312,11 +319,12 @@ def fit(blocks: DataFrame, label: str = "lang", text: str = "text", key: tuple[s
     return tuple(sorted(clean_sample(picked).items()))
 
 
-def language_stretches(df: DataFrame, id_cols: list[str], trained: tuple[tuple[str, str], ...], text_col: str = "text", label_col: str = "lang") -> DataFrame:
+def language_stretches(df: DataFrame, id_cols: list[str], trained: tuple[tuple[str, str], ...], text_col: str = "text", label_col: str = "lang", unknown: bool = True) -> DataFrame:
     """One row per stretch of neighbouring sentences in one language.
 
     Columns: the ids, ``label`` (two-letter code or null), ``seg_no``, ``lang``,
-    ``seg_start``, ``seg_end``, ``n_chars`` and ``confidence``. Narrow.
+    ``seg_start``, ``seg_end``, ``n_chars`` and ``confidence``. Narrow. Without
+    ``unknown`` sentences of no known language are passed over.
     """
     source = df.where(F.col(text_col).isNotNull()).select(*id_cols, label_code(F.col(label_col)).alias("__label"), F.col(text_col).alias("__text"))
     names = [*id_cols, "label", "seg_no", "lang", "seg_start", "seg_end", "n_chars", "confidence"]
@@ -324,8 +332,7 @@ def language_stretches(df: DataFrame, id_cols: list[str], trained: tuple[tuple[s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, m = splitter(), model(trained)
-        lang_names = pa.array(m.langs)
-        index = {x: k for k, x in enumerate(m.langs)}
+        lang_names = pa.array([*m.langs, UNKNOWN])
         for batch in batches:
             texts, labels = batch.column(k_ids + 1).to_pylist(), batch.column(k_ids).to_pylist()
             for a, b in cp.slices(np.fromiter(map(len, texts), np.int64, len(texts)), BATCH_CHARS):
@@ -338,14 +345,14 @@ def language_stretches(df: DataFrame, id_cols: list[str], trained: tuple[tuple[s
                 # Weak sentences follow a neighbour that is nearly as good; those without letters follow any.
                 first = np.concatenate([[True], row[1:] != row[:-1]])
                 final = np.concatenate([row[1:] != row[:-1], [True]])
-                weak = np.flatnonzero((sure < WEAK_LEAD) & ~(first & final))
+                weak = np.flatnonzero((sure < WEAK_LEAD) & (lang < len(m.langs)) & ~(first & final))
                 for k in weak.tolist():
                     for other in ([k - 1] if not first[k] else []) + ([k + 1] if not final[k] else []):
                         near = lang[other]
-                        if near >= 0 and (lang[k] < 0 or scores[k, near] <= scores[k].min() * (1 + WEAK_LEAD)):
+                        if 0 <= near < len(m.langs) and (lang[k] < 0 or scores[k, near] <= scores[k].min() * (1 + WEAK_LEAD)):
                             lang[k] = near
                             break
-                known = lang >= 0
+                known = (lang >= 0) & (unknown | (lang < len(m.langs)))
                 row, begin, end, lang, sure = row[known], begin[known], end[known], lang[known], sure[known]
                 if not len(row):
                     continue
@@ -362,7 +369,6 @@ def language_stretches(df: DataFrame, id_cols: list[str], trained: tuple[tuple[s
                     [*[batch.column(k).take(at) for k in range(k_ids + 1)], pa.array(number.astype(np.int32)), lang_names.take(pa.array(lang[head])), pa.array(begin[head].astype(np.int32)), pa.array(end[tail].astype(np.int32)), pa.array((end[tail] - begin[head]).astype(np.int32)), pa.array(trust)],
                     names=names,
                 )
-        del index
 
     schema = ", ".join(f"`{c}` {t}" for c, t in source.dtypes[:k_ids])
     return source.mapInArrow(run, f"{schema}, label string, seg_no int, lang string, seg_start int, seg_end int, n_chars int, confidence double")
@@ -385,7 +391,7 @@ def relabel(blocks: DataFrame, documents: DataFrame, cut) -> DataFrame:
 
     ``cut`` writes the stretches to the shared folder, as both halves read them.
     """
-    seen = language_stretches(blocks, ["doc_id", "idx"], fit(blocks)).dropDuplicates(["doc_id", "idx", "seg_no"])
+    seen = language_stretches(blocks, ["doc_id", "idx"], fit(blocks), unknown=False).dropDuplicates(["doc_id", "idx", "seg_no"])
     seen = cut(seen)
     several = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "idx")) > 1
     of_blocks = seen.withColumn("__several", several).where(F.col("label").isNull() | (F.col("label") != F.col("lang")) | F.col("__several"))

@@ -351,3 +351,22 @@ def test_titles_cut_very_short_and_records_alone(spark, cut):
     trust = spark.createDataFrame([("hal", 1), ("hal", 2), (None, 3)], "source string, trust_rank int")
     merged = {r.group_ref_id: (r.title, r.n_records) for r in merged_records(refs, trust, cut).collect()}
     assert merged == {1: ("Law of seas", 2), 3: ("Other things", 1), 4: (None, 1)}
+
+
+def test_every_script_meets_an_automaton_and_unknown_ones_stay(spark):
+    m = Model(dict(TRAINED))
+    codes = np.frombuffer("Каждая сторона вправе расторгнуть договор.".encode("utf-32-le"), np.uint32)
+    other = np.frombuffer("Щоб юнкер Гаврюха зʼїв їжу, ґаздиня ждала.".encode("utf-32-le"), np.uint32)
+    (own,), (far,) = (m.classify(c, np.array([0]), np.array([len(c)]), [None])[1] for c in (codes, other))
+    assert 0 < far < own < 1
+    blocks = spark.createDataFrame([(1, 0, None, "우리는 계약을 해지할 수 있다."), (1, 1, "en", "The Buyer shall deliver the goods. 우리는 계약을 해지한다.")], "doc_id long, idx int, lang string, text string")
+    rows = sorted((r.idx, r.seg_no, r.lang, r.confidence > 0) for r in language_stretches(blocks, ["doc_id", "idx"], TRAINED).collect())
+    assert rows == [(0, 0, "und", False), (1, 0, "en", True), (1, 1, "und", False)]
+
+
+def test_a_rare_language_is_learned(spark):
+    from lexmill.llm.language import fit
+
+    rows = [(k, 0, "en", EN) for k in range(3000)] + [(k, 0, "fra", FR) for k in range(3000, 3003)]
+    assert {lang for lang, _ in fit(spark.createDataFrame(rows, "doc_id long, idx int, lang string, text string"))} == {"en", "fr"}
+    assert fit(spark.createDataFrame([], "doc_id long, idx int, lang string, text string")) == ()
