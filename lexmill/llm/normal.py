@@ -39,6 +39,8 @@ EQUAL_LOOKS = {"\u2010": "-", "\u2011": "-", "\u06a9": "\u0643", "\u06cc": "\u06
 ALIKE = ("<wide>", "<narrow>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>", "<font>")
 BATCH_CHARS = 1 << 20
 VIRAMA = 0x094D
+# First Hangul syllable and the bases of its leading, vowel and trailing letters.
+HANGUL, HANGUL_L, HANGUL_V, HANGUL_T = 0xAC00, 0x1100, 0x1161, 0x11A7
 
 
 def _replacement(c: int) -> str | None:
@@ -94,6 +96,10 @@ class Tables:
         self.flat = np.array(flat, np.uint32)
         self.pair_keys = np.array(sorted(pairs), np.int64)
         self.pair_to = np.array([pairs[k] for k in sorted(pairs)], np.uint32)
+        #: Characters of no combining class that join the character before them: vowel parts and Hangul letters.
+        self.joins = np.zeros(n, bool)
+        self.joins[[k & 0x1FFFFF for k in pairs if not self.ccc[k & 0x1FFFFF]]] = True
+        self.joins[HANGUL_V : HANGUL_V + 21] = self.joins[HANGUL_T + 1 : HANGUL_T + 28] = True
         self.d_length = np.ones(n, np.uint8)
         self.d_base = np.zeros(n, np.int32)
         d_flat: list[int] = []
@@ -114,7 +120,7 @@ class Tables:
         self.to = (to_latin, to_cyrillic, to_greek)
         self.alike = (to_cyrillic != np.arange(n)) | (to_greek != np.arange(n)) | (to_latin != np.arange(n))
         #: Characters for which a row is looked at.
-        self.flag = self.mapped | (self.ccc > 0) | ((self.kinds & (cp.CYRILLIC | cp.GREEK)) > 0)
+        self.flag = self.mapped | (self.ccc > 0) | self.joins | ((self.kinds & (cp.CYRILLIC | cp.GREEK)) > 0)
         self.ascii = to_latin.copy()
         for c in (*range(0x2010, 0x2016), 0x2212):
             self.ascii[c] = 0x2D
@@ -198,6 +204,33 @@ def _compose(codes: np.ndarray, source: np.ndarray, t: Tables, dirty: list[np.nd
     return codes, source
 
 
+def _join_starters(codes: np.ndarray, source: np.ndarray, t: Tables, dirty: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Vowel parts and Hangul letters of no combining class composed with the character right before them."""
+    while True:
+        b = np.flatnonzero(t.joins[np.minimum(codes, cp.LIMIT)])
+        b = b[b > 0]
+        if not len(b):
+            return codes, source
+        one, two = codes[b - 1].astype(np.int64), codes[b].astype(np.int64)
+        key = (one << 21) | two
+        at = np.minimum(np.searchsorted(t.pair_keys, key), len(t.pair_keys) - 1)
+        made = np.where(t.pair_keys[at] == key, t.pair_to[at].astype(np.int64), 0)
+        syllable, tail = HANGUL + ((one - HANGUL_L) * 21 + two - HANGUL_V) * 28, one + two - HANGUL_T
+        made = np.where((one >= HANGUL_L) & (one < HANGUL_L + 19) & (two >= HANGUL_V) & (two < HANGUL_V + 21), syllable, made)
+        made = np.where((one >= HANGUL) & (one < HANGUL + 11172) & ((one - HANGUL) % 28 == 0) & (two > HANGUL_T) & (two < HANGUL_T + 28), tail, made)
+        hit = made > 0
+        # Of a run of such characters the first goes first.
+        hit &= ~np.concatenate([[False], hit[:-1] & (np.diff(b) == 1)])
+        if not hit.any():
+            return codes, source
+        codes = codes.copy()
+        codes[b[hit] - 1] = made[hit]
+        dirty += [source[b[hit]], source[b[hit] - 1]]
+        keep = np.ones(len(codes), bool)
+        keep[b[hit]] = False
+        codes, source = codes[keep], source[keep]
+
+
 def _one_script(codes: np.ndarray, source: np.ndarray, t: Tables, dirty: list[np.ndarray], ends: np.ndarray) -> np.ndarray:
     """Letters of each word brought to the word's script."""
     kind = t.kinds[np.minimum(codes, cp.LIMIT)]
@@ -284,6 +317,7 @@ def normalise(texts: list[str | None], ascii_only: bool = False) -> tuple[list[s
     if which.any():
         codes, source = _expand(codes, source, t.length, t.base, t.flat, which & (codes < cp.LIMIT))
     codes, source = _compose(codes, source, t, dirty)
+    codes, source = _join_starters(codes, source, t, dirty)
     end_now = is_end[source]
     codes = _one_script(codes, source, t, dirty, end_now)
     codes, source = _compose(codes, source, t, dirty)

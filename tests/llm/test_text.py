@@ -178,3 +178,10 @@ def test_line_figures_equal_sql(spark):
 
     for name, sql in queries.oracle_sql().items():
         assert spark_rows(queries.queries()[name](spark, DATA)) == duck_rows(sql)
+
+
+def test_letters_without_a_class_compose_too():
+    texts = ["각", "한글", "ொர", "ೋ", "각x", "ᅡᆨ", "áᅡ", "ဦ", "plain"]
+    form, changed = normalise(texts)
+    assert form == [unicodedata.normalize("NFC", t) for t in texts]
+    assert changed.tolist() == [f != t for f, t in zip(form, texts)]
