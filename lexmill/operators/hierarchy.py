@@ -11,13 +11,19 @@ an aggregation over all nodes at once:
    other node heads a chain. Doubling along chains gives head and position.
 3. A path crosses at most log2(n) chains, so doubling over chain heads gives
    depth, root and pre-order number of each head; a node adds its position.
-   Descendants of a node are the interval ``[first, first + n_below]``.
+   Descendants of a node are the interval ``[first, first + n_below]``. The
+   trees on a cycle are numbered one after the other, the cycle as their root.
+4. Nodes of several parents tie trees together. In the trees so tied, and in
+   them alone, the pairs of nodes of which one is reached from the other are
+   worked out by doubling; they are as many as the ``n_below`` of these trees.
 
 Defined results: a null or empty node is no node; a null parent makes a root,
-unless another row names a parent; of several parents the smallest is kept,
-a node's own name first; repeated rows count once. A node on a cycle has the
-smallest name on the cycle as root and depth -1, a node below one that root
-and depth -2; neither has a pre-order number or a path.
+unless another row names a parent; repeated rows count once. A node of several
+parents counts below each of them; depth, root and path follow the smallest
+parent, a node's own name first. A node on a cycle has the smallest name on the
+cycle as root and depth -1, a node below one that root and depth -2; neither
+has a path. Nodes of tied trees have no pre-order number: their descendants are
+the pairs of ``tied_pairs``.
 """
 
 from __future__ import annotations
@@ -26,6 +32,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from lexmill.operators.ordered import running_sum
+
 #: Siblings are numbered in so many buckets side by side, so no parent's children meet in one task.
 SIBLING_BUCKETS = 64
 #: Headings of a document are ordered in runs of so many places.
@@ -120,14 +128,74 @@ def _cycles(rest: DataFrame, cut: Cut) -> tuple[DataFrame, DataFrame]:
     return low, of
 
 
-def hierarchy(links: DataFrame, cut: Cut, node: str = "node", parent: str = "parent", with_path: bool = False) -> DataFrame:
+def _rows(links: DataFrame, node: str, parent: str) -> DataFrame:
+    rows = links.select(F.col(node).cast("string").alias("node"), F.col(parent).cast("string").alias("parent")).where("node IS NOT NULL AND node <> ''")
+    return rows.withColumn("parent", F.when(F.col("parent") != "", F.col("parent")))
+
+
+def _tied(tree: DataFrame, edges: DataFrame, several: DataFrame, cut: Cut) -> DataFrame:
+    """``above, below``: pairs of which the second is reached from the first, in trees that nodes of several parents tie together."""
+    of = tree.select("node", "root")
+    ends = edges.join(several, "node", "left_semi")
+    roots = cut(ends.select("node").unionByName(ends.select(F.col("parent").alias("node"))).distinct().join(of, "node").select("root").distinct())
+    inside = of.join(roots, "root", "left_semi").select("node")
+    reach = cut(edges.join(inside, "node", "left_semi").select(F.col("parent").alias("above"), F.col("node").alias("below")).distinct())
+    n = reach.count()
+    while True:
+        on = reach.select(F.col("above").alias("via"), F.col("below").alias("next"))
+        further = reach.join(on, F.col("below") == F.col("via")).select("above", F.col("next").alias("below"))
+        reach = cut(reach.unionByName(further).distinct())
+        now = reach.count()
+        if now == n:
+            return reach
+        n = now
+
+
+def _retie(tree: DataFrame, reach: DataFrame) -> DataFrame:
+    """The tree with depth, root and ``n_below`` of tied nodes taken from their pairs."""
+    back = reach.select(F.col("below").alias("above"), F.col("above").alias("below"))
+    ring = reach.join(back, ["above", "below"]).groupBy(F.col("above").alias("node")).agg(F.min("below").alias("ring_low"))
+    under = reach.join(ring.select(F.col("node").alias("above"), "ring_low"), "above").groupBy(F.col("below").alias("node")).agg(F.min("ring_low").alias("under_low"))
+    many = reach.where("above <> below").groupBy(F.col("above").alias("node")).agg(F.count(F.lit(1)).cast("int").alias("tied_below"))
+    tied = reach.select(F.col("above").alias("node")).unionByName(reach.select(F.col("below").alias("node"))).distinct().withColumn("tied", F.lit(True))
+    joined = tree.join(tied, "node", "left").join(ring, "node", "left").join(under, "node", "left").join(many, "node", "left")
+    low = F.coalesce("ring_low", "under_low")
+    depth = F.when(F.col("ring_low").isNotNull(), -1).when(F.col("under_low").isNotNull(), -2).otherwise(F.col("depth")).cast("int")
+    return joined.select(
+        "node", "parent", F.coalesce(low, "root").alias("root"), depth.alias("depth"), F.when(F.col("tied"), F.coalesce("tied_below", F.lit(0))).otherwise(F.col("n_below")).cast("int").alias("n_below"),
+        F.when(F.col("tied").isNull(), F.col("first")).alias("first"), F.when(low.isNull(), F.col("path")).alias("path"),
+    )
+
+
+def _several(rows: DataFrame) -> DataFrame:
+    return rows.where("parent IS NOT NULL").groupBy("node").agg(F.min("parent").alias("p0"), F.max("parent").alias("p1")).where("p0 <> p1").select("node")
+
+
+def tied_pairs(links: DataFrame, cut: Cut, node: str = "node", parent: str = "parent") -> DataFrame:
+    """``above, below``: the descendants of each node in trees that nodes of several parents tie together."""
+    rows = _rows(links, node, parent)
+    edges = cut(rows.where("parent IS NOT NULL").distinct())
+    return _tied(cut(_single(rows, cut, False, False)), edges, cut(_several(edges)), cut).where("above <> below")
+
+
+def hierarchy(links: DataFrame, cut: Cut, node: str = "node", parent: str = "parent", with_path: bool = False, with_first: bool = True) -> DataFrame:
     """``node, parent, root, depth, n_below, first, path`` for every node of the links.
 
     ``cut`` writes a table to the shared folder and reads it again; each round's
-    table is cut, so no plan grows with the rounds. ``path`` is null unless asked for.
+    table is cut, so no plan grows with the rounds. ``path`` is null unless asked
+    for, and so is ``first`` of nodes on and below cycles.
     """
-    rows = links.select(F.col(node).cast("string").alias("node"), F.col(parent).cast("string").alias("parent")).where("node IS NOT NULL AND node <> ''")
-    rows = rows.withColumn("parent", F.when(F.col("parent") != "", F.col("parent")))
+    rows = _rows(links, node, parent)
+    several = cut(_several(rows))
+    tree = _single(rows, cut, with_path, with_first)
+    if not several.limit(1).count():
+        return tree
+    tree, edges = cut(tree), cut(rows.where("parent IS NOT NULL").distinct())
+    return _retie(tree, _tied(tree, edges, several, cut))
+
+
+def _single(rows: DataFrame, cut: Cut, with_path: bool, with_first: bool) -> DataFrame:
+    """The hierarchy by each node's smallest parent, its own name first."""
     every = rows.unionByName(rows.where("parent IS NOT NULL").select(F.col("parent").alias("node"), F.lit(None).cast("string").alias("parent")))
     choice = F.struct((F.col("parent") != F.col("node")).alias("k"), "parent")
     nodes = every.groupBy("node").agg(F.min(F.when(F.col("parent").isNotNull(), choice)).alias("c")).select("node", F.col("c.parent").alias("parent"))
@@ -144,16 +212,26 @@ def hierarchy(links: DataFrame, cut: Cut, node: str = "node", parent: str = "par
     found = trees.select("node", "size").join(loose, "node").join(of.select("node", F.col("parent").alias("owner")), "node")
     whole = found.where("ring").groupBy("low").agg(F.sum("size").alias("total"))
     found = found.join(whole, "low", "left")
+    found = found.withColumn("first", F.lit(None).cast("long"))
+    if with_first:
+        # The trees of a cycle's nodes, one after the other.
+        numbers = _forest(cut(trees), cut, False).select("node", F.col("root").alias("head"), F.col("first").alias("inner"))
+        heads = found.where("ring").select("low", F.col("node").alias("head"), "size").withColumn("bucket", F.pmod(F.xxhash64("head"), F.lit(SIBLING_BUCKETS)))
+        heads = running_sum(heads, "low", ["head"], F.col("bucket"), F.col("size"), "offset", own=False).select("head", "offset")
+        numbers = numbers.join(heads, "head").select("node", (F.col("offset") + F.col("inner")).alias("place"))
+        found = found.join(numbers, "node").withColumn("first", F.col("place")).drop("place")
     on_cycle = found.select(
         "node", F.col("owner").alias("parent"), F.col("low").alias("root"), F.when(F.col("ring"), -1).otherwise(-2).cast("int").alias("depth"), (F.when(F.col("ring"), F.col("total")).otherwise(F.col("size")) - 1).cast("int").alias("n_below"),
-        F.lit(None).cast("long").alias("first"), F.lit(None).cast("array<string>").alias("path"),
+        "first", F.lit(None).cast("array<string>").alias("path"),
     )
     return out.unionByName(on_cycle)
 
 
 def descendants(tree: DataFrame) -> DataFrame:
-    """``root, node, first, last``: a node's descendants are those of its root numbered after ``first`` up to ``last``."""
-    return tree.where("first IS NOT NULL").select("root", "node", "first", (F.col("first") + F.col("n_below")).alias("last"))
+    """``root, node, place, first, last``: a node's descendants are the others of its root with a place from ``first`` to ``last``."""
+    cycle = F.col("depth") == -1
+    first = F.when(cycle, F.lit(0)).otherwise(F.col("first")).cast("long")
+    return tree.where("first IS NOT NULL").select("root", "node", F.col("first").alias("place"), first.alias("first"), (first + F.col("n_below")).alias("last"))
 
 
 def clean_name(name):

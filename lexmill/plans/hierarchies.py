@@ -7,13 +7,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lexmill.operators.hierarchy import descendants, heading_parents, hierarchy, ownership
 from lexmill.session import cut_lineage, table
 
+#: Places of a tree whose figures are taken together.
+RUN = 1024
 
-def _both(spark: SparkSession, sf_dir: str, with_path: bool = False) -> DataFrame:
+
+def _both(spark: SparkSession, sf_dir: str, with_path: bool = False, with_first: bool = False) -> DataFrame:
     """Company and heading hierarchies in one run, told apart by a letter before each name."""
     own = ownership(table(spark, sf_dir, "ownership_links"))
     heads = heading_parents(table(spark, sf_dir, "blocks"))
     mark = lambda df, m: df.select(F.concat(F.lit(m), "node").alias("node"), F.concat(F.lit(m), "parent").alias("parent"))
-    return hierarchy(mark(own, "c").unionByName(mark(heads, "h")), cut_lineage, with_path=with_path)
+    return hierarchy(mark(own, "c").unionByName(mark(heads, "h")), cut_lineage, with_path=with_path, with_first=with_first)
 
 
 def _strip(col: str):
@@ -36,9 +39,26 @@ def p6_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pre-order interval of every company's descendants."""
-    own = hierarchy(ownership(table(spark, sf_dir, "ownership_links")), cut_lineage)
-    return descendants(own)
+    """Place and interval of descendants of every company and heading; a cycle's nodes have all that hangs on the cycle."""
+    tree = descendants(_both(spark, sf_dir, with_first=True))
+    return tree.select(_kind().alias("kind"), _strip("root").alias("root"), _strip("node").alias("node"), "place", "first", "last")
+
+
+def p6_below(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands beneath each heading and each owner, by the intervals: their number, the least and the greatest."""
+    rows = p6_intervals(spark, sf_dir)
+    spans = rows.where("last > first").select("kind", "root", "node", "place", "first", "last")
+    # Places are cut into runs, so a large tree is many keys; an interval meets whole runs by their figures.
+    run = lambda c: F.floor(F.col(c) / RUN)
+    at = rows.select("kind", "root", F.col("node").alias("below"), F.col("place").alias("at")).withColumn("run", run("at"))
+    at = cut_lineage(at)
+    whole = at.groupBy("kind", "root", "run").agg(F.min("below").alias("low"), F.max("below").alias("high"))
+    ends = spans.select("*", F.explode(F.array_distinct(F.array(run("first"), run("last")))).alias("run"))
+    inner = spans.where(run("last") - run("first") > 1).select("*", F.explode(F.sequence(run("first") + 1, run("last") - 1)).alias("run"))
+    by_row = ends.join(at, ["kind", "root", "run"]).where("at BETWEEN first AND last AND below <> node").select("kind", "node", F.col("below").alias("low"), F.col("below").alias("high"))
+    by_run = inner.join(whole, ["kind", "root", "run"]).select("kind", "node", "low", "high")
+    found = by_row.unionByName(by_run).groupBy("kind", "node").agg(F.min("low").alias("least"), F.max("high").alias("greatest"))
+    return found.join(spans.select("kind", "node", (F.col("last") - F.col("first")).cast("int").alias("n_below")), ["kind", "node"])
 
 
 _LINKS = r"""
@@ -53,35 +73,38 @@ hlink AS (
   FROM heads a JOIN heads b ON a.doc_id = b.doc_id AND b.idx < a.idx AND b.level < a.level GROUP BY a.doc_id, a.idx
 ), edges AS (SELECT 'link' AS kind, node, parent FROM link UNION ALL SELECT 'heading', node, parent FROM hlink),
 every AS (SELECT 'link' AS kind, node FROM names UNION ALL SELECT 'heading', doc_id || ':' || idx FROM heads),
-up AS (
-  SELECT kind, node, node AS top, 0 AS steps FROM every
+pairs AS (
+  SELECT kind, node, parent AS top FROM edges
   UNION
-  SELECT up.kind, up.node, edges.parent, steps + 1 FROM up JOIN edges ON edges.kind = up.kind AND edges.node = up.top WHERE steps < 60
-)
+  SELECT pairs.kind, pairs.node, edges.parent FROM pairs JOIN edges ON edges.kind = pairs.kind AND edges.node = pairs.top
+),
+ring AS (SELECT kind, node FROM pairs WHERE node = top),
+low AS (SELECT p.kind, p.node, min(p.top) AS low FROM pairs p JOIN ring r ON r.kind = p.kind AND r.node = p.top GROUP BY p.kind, p.node),
+deep AS (SELECT kind, node, count(*) AS depth FROM pairs GROUP BY kind, node),
+tops AS (SELECT p.kind, p.node, min(p.top) AS root FROM pairs p ANTI JOIN edges ON edges.kind = p.kind AND edges.node = p.top GROUP BY p.kind, p.node)
 """
 
 P6_FOUND_SQL = (
     _LINKS
     + """,
-ring AS (SELECT DISTINCT kind, node FROM up WHERE node = top AND steps > 0),
-pairs AS (SELECT DISTINCT kind, node, top FROM up WHERE steps > 0),
-below AS (SELECT kind, top AS node, count(*) FILTER (WHERE node <> top) AS n_below FROM pairs GROUP BY kind, top),
-low AS (SELECT p.kind, p.node, min(p.top) AS low FROM pairs p JOIN ring r ON r.kind = p.kind AND r.node = p.top GROUP BY p.kind, p.node),
-deep AS (SELECT kind, node, max(steps) AS depth, max_by(top, steps) AS root FROM up GROUP BY kind, node)
-SELECT e.kind, e.node, coalesce(low.low, deep.root) AS root,
-  CAST(CASE WHEN ring.node IS NOT NULL THEN -1 WHEN low.low IS NOT NULL THEN -2 ELSE deep.depth END AS INTEGER) AS depth,
+below AS (SELECT kind, top AS node, count(*) FILTER (WHERE node <> top) AS n_below FROM pairs GROUP BY kind, top)
+SELECT e.kind, e.node, coalesce(low.low, tops.root, e.node) AS root,
+  CAST(CASE WHEN ring.node IS NOT NULL THEN -1 WHEN low.low IS NOT NULL THEN -2 ELSE coalesce(deep.depth, 0) END AS INTEGER) AS depth,
   CAST(coalesce(below.n_below, 0) AS INTEGER) AS n_below
-FROM every e JOIN deep USING (kind, node) LEFT JOIN ring USING (kind, node) LEFT JOIN low USING (kind, node) LEFT JOIN below USING (kind, node)
+FROM every e LEFT JOIN deep USING (kind, node) LEFT JOIN tops USING (kind, node) LEFT JOIN ring USING (kind, node) LEFT JOIN low USING (kind, node) LEFT JOIN below USING (kind, node)
 """
 )
 
 P6_PATHS_SQL = (
     _LINKS
     + """,
-looped AS (SELECT DISTINCT kind, node FROM up WHERE steps >= 60)
-SELECT kind, node, string_agg(top, ' > ' ORDER BY steps DESC) AS path FROM up ANTI JOIN looped USING (kind, node) GROUP BY kind, node
+steps AS (SELECT kind, node, top FROM pairs UNION ALL SELECT kind, node, node FROM every)
+SELECT s.kind, s.node, string_agg(s.top, ' > ' ORDER BY coalesce(deep.depth, 0)) AS path
+FROM steps s LEFT JOIN deep ON deep.kind = s.kind AND deep.node = s.top ANTI JOIN low ON low.kind = s.kind AND low.node = s.node GROUP BY s.kind, s.node
 """
 )
 
-QUERIES = {"p6_found": p6_found, "p6_paths": p6_paths, "p6_intervals": p6_intervals}
-SQL = {"p6_found": P6_FOUND_SQL, "p6_paths": P6_PATHS_SQL}
+P6_BELOW_SQL = _LINKS + "SELECT kind, top AS node, min(node) AS least, max(node) AS greatest, CAST(count(*) AS INTEGER) AS n_below FROM pairs WHERE node <> top GROUP BY kind, top"
+
+QUERIES = {"p6_found": p6_found, "p6_paths": p6_paths, "p6_intervals": p6_intervals, "p6_below": p6_below}
+SQL = {"p6_found": P6_FOUND_SQL, "p6_paths": P6_PATHS_SQL, "p6_below": P6_BELOW_SQL}

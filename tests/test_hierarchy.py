@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from lexmill.operators.hierarchy import descendants, heading_parents, hierarchy, ownership
+from lexmill.operators.hierarchy import descendants, heading_parents, hierarchy, ownership, tied_pairs
 
 
 def walk(parents):
@@ -38,13 +38,61 @@ def test_random_forests_with_cycles(spark, cut, seed):
     assert got == walk(parents)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_descendants_of_forests_with_cycles(spark, cut, seed):
+    r = random.Random(seed)
+    parents = {f"n{k:03}": f"n{r.randrange(150):03}" for k in range(1, 140)}
+    tree = hierarchy(spark.createDataFrame(list(parents.items()), "node string, parent string"), cut)
+    rows = {x.node: x for x in descendants(tree).collect()}
+    want = {n: b for n, _, _, b in walk(parents)}
+    assert set(rows) == set(want)
+    for n, x in rows.items():
+        under = {m for m, y in rows.items() if y.root == x.root and x.first <= y.place <= x["last"] and m != n}
+        assert len(under) == want[n]
+        for m in under:
+            seen, y = set(), m
+            while y is not None and y not in seen:
+                seen.add(y)
+                y = parents.get(y)
+            assert n in seen
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_nodes_of_several_parents_count_below_each(spark, cut, seed):
+    r = random.Random(seed)
+    edges = {(f"n{k:02}", f"n{r.randrange(k):02}") for k in range(1, 40)} | {(f"n{r.randrange(40):02}", f"n{r.randrange(40):02}") for _ in range(1 + 2 * seed)} | {("solo", "alone"), ("b", "a"), ("b", "c")}
+    links = spark.createDataFrame(sorted(edges), "node string, parent string")
+    got = {x.node: x for x in hierarchy(links, cut).collect()}
+    nodes = {x for e in edges for x in e}
+    reach = {n: set() for n in nodes}
+    for n in nodes:
+        todo = [n]
+        while todo:
+            x = todo.pop()
+            new = {c for c, p in edges if p == x} - reach[n]
+            reach[n] |= new
+            todo += new
+    for n in nodes:
+        assert got[n].n_below == len(reach[n] - {n})
+        rings = {a for a in nodes if n in reach[a] and a in reach[a]}
+        if n in reach[n]:
+            assert got[n].depth == -1 and got[n].root == min(a for a in reach[n] if n in reach[a])
+        elif rings:
+            assert got[n].depth == -2 and got[n].root in rings
+        else:
+            assert got[n].depth >= 0
+    assert got["a"].n_below == got["c"].n_below == 1 and got["b"].root == "a" and got["alone"].first == 0
+    pairs = {(x.above, x.below) for x in tied_pairs(links, cut).collect()}
+    assert {("a", "b"), ("c", "b")} <= pairs and all(b in reach[a] for a, b in pairs) and not any("alone" in p for p in pairs)
+
+
 def test_long_chain_paths_and_intervals(spark, cut):
     df = spark.createDataFrame([(f"c{k:02}", f"c{k - 1:02}") for k in range(1, 40)] + [("x", "c05"), ("y", "c05"), ("z", "x")], "node string, parent string")
     tree = hierarchy(df, cut, with_path=True)
     rows = {r.node: r for r in tree.collect()}
     assert rows["c39"].depth == 39 and rows["c39"].path[0] == "c00" and len(rows["c39"].path) == 40
     assert rows["z"].path == ["c00", "c01", "c02", "c03", "c04", "c05", "x", "z"]
-    span = {r.node: (r.first, r["last"]) for r in descendants(tree).collect()}
+    span = {r.node: (r.place, r["last"]) for r in descendants(tree).collect()}
     under = lambda a: {n for n, (f, _) in span.items() if span[a][0] < f <= span[a][1]}
     assert under("x") == {"z"} and under("c37") == {"c38", "c39"} and len(under("c05")) == 37
     assert sorted(f for f, _ in span.values()) == list(range(len(span)))
