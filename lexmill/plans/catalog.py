@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.plans import files, hierarchies, mining, more, special, tables, texts
+from lexmill.plans import files, hierarchies, mining, more, scanner, special, tables, texts
 
 FLAGSHIP = "p6_found"
-_PARTS = (hierarchies, texts, tables, mining, files, special, more)
+_PARTS = (hierarchies, texts, tables, mining, files, special, more, scanner)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
