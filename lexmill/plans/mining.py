@@ -81,17 +81,14 @@ def _split(c):
 
 
 _SPLIT_SQL = rf"string_split(regexp_replace(regexp_replace(text, '(^|[^A-Za-z]){_GUARD}[.]', '\1\2' || chr(1), 'g'), '([.!?]) +([A-Z“\"])', '\1' || chr(2) || '\2', 'g'), chr(2))"
-_BLOCKS_SQL = "(SELECT DISTINCT doc_id, idx, text FROM blocks WHERE block_type = 'paragraph' AND lang = 'en' AND text IS NOT NULL)"
+#: Labels of language are missing or wrong in part, so every text is looked at.
+_TEXTS = "block_type IN ('paragraph', 'list_item') AND text IS NOT NULL"
+_BLOCKS_SQL = f"(SELECT DISTINCT doc_id, idx, text FROM blocks WHERE {_TEXTS})"
 _SENT_SQL = f"(SELECT doc_id, idx, generate_subscripts(s, 1) AS pos, replace(unnest(s), chr(1), '.') AS sentence FROM (SELECT doc_id, idx, {_SPLIT_SQL} AS s FROM {_BLOCKS_SQL}))"
 
 
-_ENGLISH = "block_type = 'paragraph' AND lang = 'en' AND text IS NOT NULL"
-#: Labels of language are missing or wrong in part, so whole queries look at every text.
-_EVERY = "block_type IN ('paragraph', 'list_item') AND text IS NOT NULL"
-
-
-def _sentences(spark: SparkSession, d: str, of: str = _ENGLISH) -> DataFrame:
-    b = table(spark, d, "blocks").where(of).select("doc_id", "idx", "text").distinct()
+def _sentences(spark: SparkSession, d: str) -> DataFrame:
+    b = table(spark, d, "blocks").where(_TEXTS).select("doc_id", "idx", "text").distinct()
     return b.select("doc_id", "idx", F.posexplode(_split(F.col("text"))).alias("pos", "sentence")).withColumn("pos", F.col("pos") + 1)
 
 
@@ -100,12 +97,6 @@ def t1_plain_sentences(spark: SparkSession, d: str) -> DataFrame:
     return _sentences(spark, d)
 
 
-@query()
-def t1_every_sentence(spark: SparkSession, d: str) -> DataFrame:
-    """Of paragraphs and list items, however labelled."""
-    return _sentences(spark, d, _EVERY)
-
-
 # Frames in order, with the field each fills and its score in hundredths.
 FRAMES = (
     R.Frame("negative_duty", "obligation", 76, r"(undertakes not to|shall not|may not)"), R.Frame("positive_duty", "obligation", 72, r"(agrees to|shall|must keep|must deliver)"),
@@ -115,6 +106,10 @@ FRAMES = (
     R.Frame("ownership", "ownership", 70, r"[0-9.]+% of the shares"), R.Frame("payment", "transfer", 66, r"(payable|Fees are capped|Interest accrues|costs of)"),
     R.Frame("authority", "authority", 68, r" v[.] [A-Z]"), R.Frame("statute", "authority", 56, r"(of the Act|See Reg[.])"),
 )
+#: The frame whose candidates stay hints whatever their score, as mentions found by capitals do.
+HINTS_ALONE = "deadline"
+#: A document with fewer candidates is sparse.
+SPARSE = 5
 # Wording that weakens or strengthens a candidate.
 ANTI_SIGNALS = ("hesitated", "whether", "pleaded but not pressed")
 SIGNALS = {"dated": (12, r"(19|20)[0-9]{2}"), "amount": (8, r"[$£€] ?[0-9]"), "party_role": (10, r"the (Buyer|Seller|Lessee|Licensor|Guarantor|Distributor|Operator|Carrier)")}
@@ -123,8 +118,8 @@ _SCORE_SQL = "least(greatest(base + " + " + ".join(f"{w} * CAST(regexp_matches(s
 _SCORED_SQL = f"WITH s AS {_SENT_SQL}, c AS (SELECT *, {_SCORE_SQL} AS score FROM {_CAND_SQL})"
 
 
-def _candidates(spark: SparkSession, d: str, of: str = _ENGLISH) -> DataFrame:
-    c = R.match_frames(_sentences(spark, d, of), "sentence", FRAMES)
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    c = R.match_frames(_sentences(spark, d), "sentence", FRAMES)
     boost = sum((w * F.col("sentence").rlike(p).cast("int") for w, p in SIGNALS.values()), F.lit(0))
     anti = sum((F.col("sentence").contains(w).cast("int") for w in ANTI_SIGNALS), F.lit(0))
     return c.withColumn("score", F.least(F.greatest(F.col("base") + boost - F.least(F.lit(28), 7 * anti), F.lit(0)), F.lit(100)))
@@ -135,25 +130,17 @@ def h5_frame_candidates(spark: SparkSession, d: str) -> DataFrame:
     return _candidates(spark, d).select("doc_id", "idx", "pos", "frame", "field", "score")
 
 
-@query()
-def h5_every_candidate(spark: SparkSession, d: str) -> DataFrame:
-    return _candidates(spark, d, _EVERY).select("doc_id", "idx", "pos", "frame", "field", "score")
-
-
-@query(_SCORED_SQL + ", k AS (SELECT field, count(DISTINCT doc_id) > 1 AS corroborated FROM c GROUP BY field) SELECT field, decision, count(*) AS n FROM (SELECT field, CASE WHEN score >= 85 THEN 'promote' WHEN score >= 65 AND corroborated THEN 'promote' WHEN score >= 45 THEN 'hint' WHEN score >= 35 THEN 'hint' ELSE 'suppress' END AS decision FROM c JOIN k USING (field)) GROUP BY field, decision")
+@query(_SCORED_SQL + ", k AS (SELECT field, count(DISTINCT doc_id) > 1 AS corroborated FROM c GROUP BY field), sp AS (SELECT doc_id, count(*) < 5 AS sparse FROM c GROUP BY doc_id) SELECT field, decision, count(*) AS n FROM (SELECT field, CASE WHEN score >= 85 AND frame <> 'deadline' THEN 'promote' WHEN score >= 65 AND corroborated AND frame <> 'deadline' THEN 'promote' WHEN score >= 45 THEN 'hint' WHEN sparse AND score >= 35 THEN 'hint' ELSE 'suppress' END AS decision FROM c JOIN k USING (field) JOIN sp USING (doc_id)) GROUP BY field, decision")
 def h23_tier_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions by score, corroboration and how sparse the document is; a frame of hints alone never promotes."""
     return _decisions(_candidates(spark, d))
 
 
-@query()
-def h23_every_decision(spark: SparkSession, d: str) -> DataFrame:
-    return _decisions(_candidates(spark, d, _EVERY))
-
-
 def _decisions(candidates: DataFrame) -> DataFrame:
-    c = cut_lineage(candidates.select("doc_id", "field", "score"))
+    c = cut_lineage(candidates.select("doc_id", "field", "frame", "score"))
+    sparse = c.groupBy("doc_id").agg((F.count(F.lit(1)) < SPARSE).alias("sparse"))
     k = c.groupBy("field").agg((F.count_distinct("doc_id") > 1).alias("corroborated"))
-    decided = c.join(F.broadcast(k), "field").select("field", R.tier(F.col("score"), F.col("corroborated"), F.lit(False), F.lit(True)).alias("decision"))
+    decided = c.join(F.broadcast(k), "field").join(sparse, "doc_id").select("field", R.tier(F.col("score"), F.col("corroborated"), F.col("frame") == HINTS_ALONE, F.col("sparse")).alias("decision"))
     return decided.groupBy("field", "decision").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -163,11 +150,6 @@ def u5_best_candidate(spark: SparkSession, d: str) -> DataFrame:
     return _best(_candidates(spark, d))
 
 
-@query()
-def u5_every_best(spark: SparkSession, d: str) -> DataFrame:
-    return _best(_candidates(spark, d, _EVERY))
-
-
 def _best(candidates: DataFrame) -> DataFrame:
     c = candidates.withColumn("o", F.col("idx") * 100000 + F.col("pos") * 100 + F.col("ordinal"))
     return c.groupBy("doc_id", "field").agg(F.max_by("frame", F.struct("score", -F.col("o"))).alias("frame"), F.max("score").alias("score"), F.count(F.lit(1)).alias("merged"))
@@ -269,24 +251,13 @@ def h26_warning_codes(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(has, "doc_id", "left").select("doc_id", F.array_join(codes, ",").alias("codes")).where("codes <> ''")
 
 
-@query(r"SELECT doc_id, idx, owner, TRY_CAST(share AS DOUBLE) AS share FROM (SELECT DISTINCT doc_id, idx, regexp_extract(text, 'remaining ([0-9.]+)% of the shares is held by ([A-Z][a-z]+ [A-Z][A-Za-z]+)', 2) AS owner, regexp_extract(text, 'remaining ([0-9.]+)% of the shares is held by ([A-Z][a-z]+ [A-Z][A-Za-z]+)', 1) AS share FROM blocks) WHERE owner <> ''")
-def h13_ownership(spark: SparkSession, d: str) -> DataFrame:
-    p = r"remaining ([0-9.]+)% of the shares is held by ([A-Z][a-z]+ [A-Z][A-Za-z]+)"
-    b = table(spark, d, "blocks").select("doc_id", "idx", F.regexp_extract("text", p, 2).alias("owner"), F.regexp_extract("text", p, 1).try_cast("double").alias("share"))
-    return b.where("owner <> ''").distinct()
-
+_OWNER = r"remaining ([0-9.]+)% of the shares is held by ([A-Z][a-z]+ [A-Z][A-Za-z]+)"
 
-@query(r"SELECT first, second, count(*) AS cites FROM (SELECT DISTINCT doc_id, idx, regexp_extract(text, '([A-Z][a-z]+) [A-Za-z.]+ v[.] ([A-Z][a-z]+) ', 1) AS first, regexp_extract(text, '([A-Z][a-z]+) [A-Za-z.]+ v[.] ([A-Z][a-z]+) ', 2) AS second FROM blocks) WHERE first <> '' GROUP BY first, second")
-def h16_case_citations(spark: SparkSession, d: str) -> DataFrame:
-    p = r"([A-Z][a-z]+) [A-Za-z.]+ v[.] ([A-Z][a-z]+) "
-    b = table(spark, d, "blocks").select("doc_id", "idx", F.regexp_extract("text", p, 1).alias("first"), F.regexp_extract("text", p, 2).alias("second")).distinct()
-    return b.where("first <> ''").groupBy("first", "second").agg(F.count(F.lit(1)).alias("cites"))
 
-
-@query()
+@query(f"SELECT DISTINCT doc_id, idx, owner, TRY_CAST(share AS DOUBLE) AS share FROM (SELECT doc_id, idx, unnest(regexp_extract_all(text, '{_OWNER}', 2)) AS owner, unnest(regexp_extract_all(text, '{_OWNER}', 1)) AS share FROM blocks WHERE text IS NOT NULL)")
 def h13_every_owner(spark: SparkSession, d: str) -> DataFrame:
     """All owners of a block."""
-    p = F.lit(r"remaining ([0-9.]+)% of the shares is held by ([A-Z][a-z]+ [A-Z][A-Za-z]+)")
+    p = F.lit(_OWNER)
     found = F.arrays_zip(F.regexp_extract_all("text", p, 2).alias("owner"), F.regexp_extract_all("text", p, 1).alias("share"))
     b = table(spark, d, "blocks").where("text IS NOT NULL").select("doc_id", "idx", F.explode(found).alias("x"))
     return b.select("doc_id", "idx", "x.owner", F.col("x.share").try_cast("double").alias("share")).distinct()
@@ -302,7 +273,14 @@ CITATIONS = {
 }
 
 
-@query()
+_PLAIN_SECTION = _SECTION.replace("++", "+").replace("*+", "*")
+_CITED_SQL = " UNION ALL ".join(
+    [f"SELECT doc_id, idx, '{k}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS citation FROM b" for k, p in CITATIONS.items() if "section" not in k]
+    + [f"SELECT doc_id, idx, CASE WHEN regexp_matches(x, '{_OF_ACT}$') THEN 'statute_section' ELSE 'bare_section' END, x FROM (SELECT doc_id, idx, unnest(regexp_extract_all(text, '{_PLAIN_SECTION}(?:{_OF_ACT})?')) AS x FROM b)"]
+)
+
+
+@query(f"WITH b AS (SELECT DISTINCT doc_id, idx, text FROM blocks WHERE text IS NOT NULL) SELECT kind, citation, count(*) AS cites FROM ({_CITED_SQL}) GROUP BY kind, citation")
 def h16_every_citation(spark: SparkSession, d: str) -> DataFrame:
     """All citations of a block, of every kind, with the times each is cited."""
     b = table(spark, d, "blocks").where("text IS NOT NULL").select("doc_id", "idx", "text").distinct()

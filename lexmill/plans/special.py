@@ -47,12 +47,12 @@ EDIT_RULES = [spans.EditRule("quotes", "quotes", ""), spans.EditRule("ligature",
 @query()
 def h41_span_edits(spark: SparkSession, d: str) -> DataFrame:
     """Edited French paragraphs with the number of edits by rule."""
-    b = table(spark, d, "blocks").where("block_type = 'paragraph' AND lang IN ('fr', 'FR') AND text IS NOT NULL").select("doc_id", "idx", "text").distinct()
+    b = table(spark, d, "blocks").where("block_type = 'paragraph' AND startswith(lower(lang), 'fr') AND text IS NOT NULL").select("doc_id", "idx", "text").distinct()
     out = spans.apply_rules(b, "text", EDIT_RULES)
     return out.select("doc_id", "idx", "edited", F.size("ledger").alias("edits"))
 
 
-@query("SELECT doc_id, idx, 0 AS further FROM (SELECT DISTINCT doc_id, idx FROM blocks WHERE block_type = 'paragraph' AND lang IN ('fr', 'FR') AND text IS NOT NULL)")
+@query("SELECT doc_id, idx, 0 AS further FROM (SELECT DISTINCT doc_id, idx FROM blocks WHERE block_type = 'paragraph' AND starts_with(lower(lang), 'fr') AND text IS NOT NULL)")
 def h42_idempotent_edits(spark: SparkSession, d: str) -> DataFrame:
     """A second run over edited text finds nothing more to edit."""
     again = spans.apply_rules(h41_span_edits(spark, d).select("doc_id", "idx", F.col("edited").alias("text")), "text", EDIT_RULES)
@@ -66,7 +66,7 @@ REFERENCES = {"article": r"\bart\. \d+(?: al\. \d+)?", "decision": r"n° \d+-\d+
 @query()
 def h34_references(spark: SparkSession, d: str) -> DataFrame:
     """References with fifty characters around each, numbered by kind within the document."""
-    b = table(spark, d, "blocks").where("lang = 'fr' AND text IS NOT NULL").select("doc_id", "idx", "text").distinct()
+    b = table(spark, d, "blocks").where("startswith(lower(lang), 'fr') AND text IS NOT NULL").select("doc_id", "idx", "text").distinct()
     return spans.find_spans(b, "text", REFERENCES).select("doc_id", "idx", "kind", "start", "end", "match", "around")
 
 

@@ -156,8 +156,10 @@ def a13_bibliography(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "refs").where("title IS NOT NULL AND year IS NOT NULL").select("ref_id", "title", "year", "doc_type").distinct()
     one = r.groupBy(F.lower("title").alias("k")).agg(F.min_by(F.struct("ref_id", "title", "year", "doc_type"), "ref_id").alias("r")).select("r.*")
     s = one.withColumn("section", F.when(F.col("doc_type") == "THESE", 1).when(F.col("doc_type") == "OUV", 2).otherwise(3))
-    order = Window.partitionBy("section").orderBy(F.when(F.col("section") == 1, -F.col("year")), F.lower("title"), "ref_id")
-    return s.select("section", F.row_number().over(order).alias("pos"), "ref_id", "title")
+    # Theses stand by year, then title; numbers come from counts of portions, so no section is one task.
+    portion = F.struct(F.when(F.col("section") == 1, -F.col("year")).alias("y"), F.substring("k", 1, 2).alias("a"))
+    rows = s.withColumn("k", F.lower("title")).withColumn("neg", F.when(F.col("section") == 1, -F.col("year")))
+    return ordered.running_number(rows, "section", ["neg", "k", "ref_id"], portion, "pos").select("section", F.col("pos").cast("int").alias("pos"), "ref_id", "title")
 
 
 @query("SELECT event_type, CAST(count(*) AS BIGINT) AS occurrences, array_to_string(list_sort(list_distinct(list(user_id)))[1:3], ',') AS examples FROM events GROUP BY event_type")
@@ -171,9 +173,14 @@ def a14_groups_with_examples(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT d.source, doc_id, n_chars FROM documents d JOIN (SELECT source, median(n_chars) AS m, count(*) AS k FROM documents WHERE text IS NOT NULL GROUP BY source) s USING (source) WHERE text IS NOT NULL AND k >= 3 AND n_chars < 0.5 * m")
 def a15_short_outliers(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of less than half their source's median length. The median is exact: lengths are counted, and the counts summed in portions."""
     docs = table(spark, d, "documents").where("text IS NOT NULL").select("source", "doc_id", "n_chars")
-    m = docs.groupBy("source").agg(F.median("n_chars").alias("m"), F.count(F.lit(1)).alias("k")).where("k >= 3")
-    return docs.join(F.broadcast(m), "source").where("n_chars < 0.5 * m").select("source", "doc_id", "n_chars")
+    counts = docs.where("n_chars IS NOT NULL").groupBy("source", "n_chars").agg(F.count(F.lit(1)).alias("n"))
+    upto = ordered.running_sum(counts, "source", ["n_chars"], F.floor(F.col("n_chars") / 256), F.col("n"), "upto")
+    size = docs.groupBy("source").agg(F.count(F.lit(1)).alias("k"), F.count("n_chars").alias("filled")).where("k >= 3").withColumnRenamed("source", "s")
+    at = lambda place: F.min(F.when(F.col("upto") >= place, F.col("n_chars")))
+    m = upto.join(size, F.col("source") == F.col("s")).groupBy("source").agg(((at(F.floor((F.col("filled") + 1) / 2)) + at(F.floor(F.col("filled") / 2) + 1)) / 2).alias("m"))
+    return docs.join(m, "source").where("n_chars < 0.5 * m").select("source", "doc_id", "n_chars")
 
 
 @query("SELECT doc_id, arg_max(level, {'n': n, 'f': -first}) AS level FROM (SELECT doc_id, level, count(*) AS n, min(idx) AS first FROM (SELECT DISTINCT doc_id, idx, level FROM blocks WHERE block_type = 'heading') GROUP BY doc_id, level) GROUP BY doc_id")
@@ -309,13 +316,13 @@ def l5_newest_per_source(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("source IS NOT NULL").withColumn("k", F.row_number().over(w)).where("k <= 5").select("source", "doc_id")
 
 
-@query()
+@query("SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS k, count(*) OVER (PARTITION BY source) AS n FROM documents WHERE source IS NOT NULL) WHERE k <= CASE WHEN n <= 5 THEN n ELSE 5 + ceil(n * 0.1) END")
 def l6_stratified_sample(spark: SparkSession, d: str) -> DataFrame:
     """Of each source five rows and a tenth, all of small ones; the same rows in every run."""
     docs = table(spark, d, "documents").where("source IS NOT NULL").select("source", "doc_id")
     size = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    hashed = docs.withColumn("h", F.xxhash64("doc_id"))
-    numbered = ordered.running_number(hashed, "source", ["h", "doc_id"], F.shiftright("h", 56), "k")
+    hashed = docs.withColumn("h", F.md5(F.col("doc_id").cast("string")))
+    numbered = ordered.running_number(hashed, "source", ["h", "doc_id"], F.substring("h", 1, 2), "k")
     return numbered.join(size, "source").where(F.col("k") <= F.when(F.col("n") <= 5, F.col("n")).otherwise(5 + F.ceil(F.col("n") * 0.1))).select("source", "doc_id")
 
 
@@ -411,12 +418,6 @@ def j10_alias_ranking(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", best["alias"].alias("alias"), (-best["neg"]).alias("score")).where("score > 0")
 
 
-@query("SELECT source, array_to_string(list_sort(list(DISTINCT ref_id)), ',') AS refs FROM (SELECT ref_id, unnest(sources) AS source FROM refs WHERE year = 2004) GROUP BY source")
-def j11_inverted_index(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "refs").where("year = 2004").select("ref_id", F.explode("sources").alias("source")).distinct()
-    return r.groupBy("source").agg(F.array_join(F.array_sort(F.collect_list("ref_id")), ",").alias("refs"))
-
-
 #: Reference ids in one posting of the index at most.
 POSTING = 1024
 

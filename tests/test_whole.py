@@ -20,19 +20,19 @@ def test_sentences_of_any_label_and_of_list_items(spark, tmp_path):
     rows = [(1, 0, "paragraph", "en"), (2, 0, "paragraph", "en-US"), (3, 0, "paragraph", None), (4, 0, "list_item", "en"), (5, 0, "heading", "en")]
     spark.createDataFrame([(*r, "The Buyer shall pay. The Seller agrees.") for r in rows], "doc_id long, idx int, block_type string, lang string, text string").write.parquet(f"{tmp_path}/blocks.parquet")
     got = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
-    assert {(r.doc_id, r.pos) for r in got("t1_every_sentence")} == {(k, p) for k in (1, 2, 3, 4) for p in (1, 2)}
-    assert {r.doc_id for r in got("h5_every_candidate")} == {r.doc_id for r in got("u5_every_best")} == {1, 2, 3, 4}
-    assert sum(r.n for r in got("h23_every_decision")) == len(got("h5_every_candidate"))
+    assert {(r.doc_id, r.pos) for r in got("t1_plain_sentences")} == {(k, p) for k in (1, 2, 3, 4) for p in (1, 2)}
+    assert {r.doc_id for r in got("h5_frame_candidates")} == {r.doc_id for r in got("u5_best_candidate")} == {1, 2, 3, 4}
+    assert sum(r.n for r in got("h23_tier_decisions")) == len(got("h5_frame_candidates"))
 
 
 def test_columns_of_any_number_and_titles_of_any_sign(spark, tmp_path):
     keys = [0, 1, 26, 27, 702, 703, 18278, 18279, 475254, 475255, 2**53 + 1, 2**63 - 1]
     spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
-    got = {r.n: (r.letters, r.back) for r in QUERIES["t21_every_column"](spark, str(tmp_path)).collect()}
-    assert {n: back for n, (_, back) in got.items()} == {k: k or None for k in keys}
+    got = {r.n: (r.letters, r.back) for r in QUERIES["t21_column_letters"](spark, str(tmp_path)).collect()}
+    assert all(got[k][1] == (k or None) for k in keys)
     assert [got[k][0] for k in keys[:10]] == [None, "A", "Z", "AA", "ZZ", "AAA", "ZZZ", "AAAA", "ZZZZ", "AAAAA"]
     spark.createDataFrame([(1, "a\\\\b {c} $~^")], "ref_id long, title string").write.parquet(f"{tmp_path}/refs.parquet")
-    (row,) = QUERIES["t20_every_escape"](spark, str(tmp_path)).collect()
+    (row,) = QUERIES["t20_escapes"](spark, str(tmp_path)).where("ref_id = 1").collect()
     assert row.as_latex.count("textbackslash") == 2 and row.as_latex.endswith(r" \{c\} \$\textasciitilde{}\textasciicircum{}")
 
 
