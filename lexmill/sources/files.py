@@ -16,7 +16,7 @@ from xml.etree import ElementTree as ET
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Largest file that is opened, and most rows or blocks taken of one file.
+#: Largest file that is opened, and blocks of one file from which a code is set.
 MAX_BYTES, MAX_BLOCKS = 25 * 1024 * 1024, 50_000
 BLOCKS = "path string, idx int, block_type string, level int, text string, heading_path array<string>, anchor string, warnings array<string>"
 
@@ -56,12 +56,16 @@ def journal_rows(lines: DataFrame, schema: str, column: str = "value") -> DataFr
     return parsed.where("r IS NOT NULL AND r._broken IS NULL").select("r.*").drop("_broken")
 
 
-def read_tree(spark: SparkSession, path: str, skip: tuple[str, ...] = (".git", "node_modules", "__pycache__")) -> DataFrame:
-    """All files under a folder, but for the folders to skip and files over the size cap."""
+def read_tree(spark: SparkSession, path: str, skip: tuple[str, ...] = (".git", "node_modules", "__pycache__"), most: int = MAX_BYTES) -> DataFrame:
+    """``path, length, content, code`` of all files under a folder, but for the folders to skip.
+
+    A file of more than ``most`` bytes keeps its row without content, with a code; its content is never read.
+    """
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     for name in skip:
         df = df.where(~F.col("path").contains(f"/{name}/"))
-    return df.where(F.col("length") <= MAX_BYTES)
+    small = df.where(F.col("length") <= most).select("path", "length", "content", F.lit(None).cast("string").alias("code"))
+    return small.unionByName(df.where(F.col("length") > most).select("path", "length", F.lit(None).cast("binary").alias("content"), F.lit("FILE_TOO_LARGE").alias("code")))
 
 
 def read_office(spark: SparkSession, path: str) -> DataFrame:
@@ -79,10 +83,9 @@ class _Out:
         text = text.strip()
         if not text:
             return
-        if len(self.rows) >= MAX_BLOCKS:
-            if "TRUNCATED" not in self.warnings:
-                self.warnings.append("TRUNCATED")
-            return
+        # Blocks beyond the limit stay; the code tells of them.
+        if len(self.rows) >= MAX_BLOCKS and "MANY_BLOCKS" not in self.warnings:
+            self.warnings.append("MANY_BLOCKS")
         if kind == "heading":
             self.stack = [h for h in self.stack if h[0] < (level or 1)]
         above = [h[1] for h in self.stack]
@@ -174,6 +177,29 @@ def docx(content: bytes, out: _Out) -> None:
             out.add("paragraph", _texts(note, "t"), anchor=f"note {ident}")
 
 
+def read_tracked(files: DataFrame) -> DataFrame:
+    """``path, para, seg, kind, author, bold, text``: runs of word-processor files given as ``path, content``, with tracked changes."""
+    names = ["path", "para", "seg", "kind", "author", "bold", "text"]
+
+    def segments(content: bytes) -> Iterator[tuple]:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            body = ET.fromstring(z.read("word/document.xml"))
+        for k, p in enumerate((x for x in body.iter() if _local(x.tag) == "p"), 1):
+            seg = 0
+            for node in p:
+                kind = {"ins": "ins", "del": "del", "r": "regular"}.get(_local(node.tag))
+                if kind:
+                    seg += 1
+                    author = next((v for key, v in node.attrib.items() if _local(key) == "author"), None)
+                    yield k, seg, kind, author, any(_local(x.tag) == "b" for x in node.iter()), _texts(node, "t", "delText")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([(path, *s) for path, content in zip(pdf["path"], pdf["content"]) for s in segments(bytes(content))], columns=names)
+
+    return files.select("path", "content").mapInPandas(run, "path string, para int, seg int, kind string, author string, bold boolean, text string")
+
+
 def pptx(content: bytes, out: _Out) -> None:
     """Titles and texts of slides in order."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from xml.sax.saxutils import escape
 
@@ -64,6 +65,29 @@ def workbooks(df: DataFrame, key: str, columns: list[str], most: int = 100_000)
     return rows.groupBy(key, "__part").applyInPandas(build, "path string, content binary")
 
 
+def rewrite_docx(files: DataFrame, edits: dict[str, str]) -> DataFrame:
+    """Word-processor files (``path, content``) with words of their text replaced, packed again; other parts stay as they are."""
+
+    def rewritten(content: bytes) -> bytes:
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(io.BytesIO(content)) as old, zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as new:
+            for item in old.infolist():
+                data = old.read(item)
+                if item.filename.startswith("word/") and item.filename.endswith(".xml"):
+                    text = data.decode("utf-8")
+                    for a, b in edits.items():
+                        text = re.sub(r"(<w:t(?: [^>]*)?>)([^<]*)", lambda m, a=a, b=b: m.group(1) + m.group(2).replace(escape(a), escape(b)), text)
+                    data = text.encode("utf-8")
+                new.writestr(item.filename, data)
+        return buffer.getvalue()
+
+    @F.pandas_udf("binary")
+    def rewrite(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda c: rewritten(bytes(c)) if c is not None else None)
+
+    return files.withColumn("content", rewrite("content"))
+
+
 def fold_line(line: str) -> str:
     """A calendar line cut into pieces of at most 75 octets, none within a character."""
     out, size = [], 0
