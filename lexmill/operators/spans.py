@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 from typing import NamedTuple
 
 import pandas as pd
@@ -61,19 +60,22 @@ def apply_rules(df: DataFrame, text_col: str, rules: list[EditRule], off: frozen
     return df.withColumn("__r", run(text_col)).select("*", "__r.*").drop("__r")
 
 
-def find_spans(df: DataFrame, text_col: str, patterns: dict[str, str], context: int = 50, keep: Callable[[str], bool] | None = None) -> DataFrame:
-    """One row per match: ``kind, start, end, match, around``, with ``context`` characters on both sides."""
-    compiled = [(k, re.compile(p)) for k, p in patterns.items()]
+def find_spans(df: DataFrame, text_col: str, patterns: list[tuple[str, str]], context: int = 50) -> DataFrame:
+    """One row per match: ``kind, start, end, match, around``, with ``context`` characters on both sides.
 
-    @F.pandas_udf("array<struct<kind string, start int, end int, match string, around string>>")
-    def run(texts: pd.Series) -> pd.Series:
-        def one(t):
-            hits = [(m.start(), m.end(), k, m.group(0)) for k, p in compiled for m in p.finditer(t or "") if keep is None or keep(m.group(0))]
-            return [{"kind": k, "start": a, "end": b, "match": x, "around": t[max(0, a - context) : b + context]} for a, b, k, x in sorted(hits)]
+    What stands between the matches tells where they are, so all of it is expressions.
+    """
+    text = F.col(text_col)
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda acc, x: acc + F.length(x))
 
-        return texts.map(one)
+    def one(kind: str, pattern: str):
+        found, between = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern)
+        return F.transform(found, lambda m, k: F.struct(F.lit(kind).alias("kind"), (total(F.slice(between, F.lit(1), k + 1)) + total(F.slice(found, F.lit(1), k))).alias("start"), m.alias("match")))
 
-    return df.withColumn("__s", F.explode(run(text_col))).select("*", "__s.*").drop("__s")
+    rows = df.withColumn("__s", F.explode(F.concat(*[one(*p) for p in patterns]))).select("*", "__s.*").drop("__s")
+    rows = rows.withColumn("end", F.col("start") + F.length("match"))
+    first = F.greatest(F.col("start") - context, F.lit(0))
+    return rows.withColumn("around", F.substring(text, first + 1, F.col("end") + context - first))
 
 
 def pair_within(left: list[tuple[int, int]], right: list[tuple[int, int]], reach: int) -> list[tuple[int, int]]:
