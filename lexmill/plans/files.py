@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from lexmill.functions import dates as D
 from lexmill.operators.ordered import idle_sessions
 from lexmill.plans.common import fixture, values
-from lexmill.session import shared_dir, table
+from lexmill.session import scratch, table
 from lexmill.sources import files as S, sinks as K
 from lexmill.streaming.sessions import run_once, stream_sessions
 
@@ -31,29 +30,35 @@ def query(sql: str | None = None):
 
 def _put(spark: SparkSession, lines: list[str]) -> str:
     """A small text file in the shared folder."""
-    path = f"{shared_dir(spark).rstrip('/')}/lexmill/{uuid.uuid4().hex}"
+    path = scratch(spark)
     spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
     return path
 
 
-_CSV = [("1", "a;b", "3"), ("2", "", "x")]
+_CSV_LINES = ["id;name;hours", '1;"a;b";3', '2;"";x', "3;plain;4"]
 
 
-@query(f"SELECT id, name, hours FROM {values(_CSV, 'id, name, hours')}")
+@query(f"SELECT regexp_extract(line, '^([^;]*);', 1) AS id, regexp_extract(line, '^[^;]*;(?:\"([^\"]*)\"|([^;]*));', 1) || regexp_extract(line, '^[^;]*;(?:\"([^\"]*)\"|([^;]*));', 2) AS name, regexp_extract(line, ';([^;]*)$', 1) AS hours FROM {values([(x,) for x in _CSV_LINES[1:]], 'line')}")
 def s1_delimited(spark: SparkSession, d: str) -> DataFrame:
-    df = S.read_delimited(spark, _put(spark, ["id;name;hours", '1;"a;b";3', '2;"";x']))
+    df = S.read_delimited(spark, _put(spark, _CSV_LINES))
     return df.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in df.columns])
 
 
-@query(f"SELECT id, name FROM {values([(1, 'x'), (2, 'y')], 'id, name')}")
+_RECORDS = '{"records": [{"id": 1, "name": "x"}, {"id": 2, "name": "y"}], "total": 2}'
+
+
+@query(f"SELECT CAST(json_extract_string(r, '$.id') AS INTEGER) AS id, json_extract_string(r, '$.name') AS name FROM (SELECT unnest(json_extract({values([(_RECORDS,)], 'x').replace('SELECT *', 'SELECT x')}, '$.records[*]')) AS r)")
 def s2_json_rows(spark: SparkSession, d: str) -> DataFrame:
-    return S.read_json_rows(spark, _put(spark, ['{"records": [{"id": 1, "name": "x"}, {"id": 2, "name": "y"}], "total": 2}'])).select(F.col("id").cast("int").alias("id"), "name")
+    return S.read_json_rows(spark, _put(spark, [_RECORDS])).select(F.col("id").cast("int").alias("id"), "name")
+
+
+_ENTRIES = ['{"ref": "r1", "tool": "hal", "supports": true}', "not json", "", '{"ref": "r2", "tool": "openalex"}']
 
 
-@query(f"SELECT ref, tool, supports FROM {values([('r1', 'hal', True), ('r2', 'openalex', None)], 'ref, tool, supports')}")
+@query(f"SELECT json_extract_string(x, '$.ref') AS ref, json_extract_string(x, '$.tool') AS tool, CAST(json_extract_string(x, '$.supports') AS BOOLEAN) AS supports FROM {values([(x,) for x in _ENTRIES], 'x')} WHERE json_valid(x)")
 def s26_journal(spark: SparkSession, d: str) -> DataFrame:
     """Broken and blank lines are left out; a missing answer stays unknown."""
-    return S.read_journal(spark, _put(spark, ['{"ref": "r1", "tool": "hal", "supports": true}', "not json", "", '{"ref": "r2", "tool": "openalex"}']), "ref string, tool string, supports boolean")
+    return S.read_journal(spark, _put(spark, _ENTRIES), "ref string, tool string, supports boolean")
 
 
 _MD = "# One\n\nWrapped\nline here.\n\n- first\n- second\n\n## Two\n| A | B |\n|---|---|\n| 1 | 2 |\n```\n# no heading\n```\nEnd.\n"
@@ -74,6 +79,19 @@ def s9_plain_text(spark: SparkSession, d: str) -> DataFrame:
     return _blocks(spark, "a.txt", b"TERMS\n\nSome text\non two lines.\n\nNotices:\n\nSend them.\n")
 
 
+_WS = r"[\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}]"
+
+
+@query(rf"""WITH p AS (SELECT doc_id, generate_subscripts(s, 1) AS k, trim(regexp_replace(unnest(s), '{_WS}+', ' ', 'g')) AS one FROM (SELECT doc_id, string_split_regex(text, '\n{_WS}*\n') AS s FROM documents WHERE length(text) > 0)), q AS (SELECT doc_id, one, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS idx, length(one) <= 80 AND (ends_with(one, ':') OR upper(one) = one AND lower(one) <> one) AS head FROM p WHERE one <> ''),
+ r AS (SELECT *, CASE WHEN head THEN rtrim(one, ':') ELSE one END AS text FROM q)
+ SELECT doc_id, CAST(idx AS INTEGER) AS idx, CASE WHEN head THEN 'heading' ELSE 'paragraph' END AS block_type, text, CASE WHEN head THEN '' ELSE coalesce(last_value(CASE WHEN head THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY idx), '') END AS above FROM r""")
+def s9_plain_documents(spark: SparkSession, d: str) -> DataFrame:
+    """All documents read as plain text files: paragraphs between blank lines, short ones in capitals or with a colon as headings."""
+    docs = table(spark, d, "documents").where("length(text) > 0")
+    b = S.parse_documents(docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.encode("text", "utf-8").alias("content")))
+    return b.where("text IS NOT NULL").select(F.split_part("path", F.lit("."), F.lit(1)).cast("long").alias("doc_id"), "idx", "block_type", "text", F.array_join("heading_path", "/").alias("above"))
+
+
 _W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 _A = 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main"'
 
@@ -103,7 +121,7 @@ def s10_docx(spark: SparkSession, d: str) -> DataFrame:
     return _blocks(spark, "a.docx", docx_fixture())
 
 
-@query(f"SELECT * FROM {values([(0, 'heading', 1, 'Title 1', ''), (1, 'paragraph', None, 'Body 1', 'Title 1'), (2, 'heading', 1, 'Title 2', ''), (3, 'paragraph', None, 'Body 2', 'Title 2')], 'idx, block_type, level, text, above')}")
+@query("SELECT CAST(2 * k - 2 + t AS INTEGER) AS idx, CASE t WHEN 0 THEN 'heading' ELSE 'paragraph' END AS block_type, CASE t WHEN 0 THEN 1 END AS level, CASE t WHEN 0 THEN 'Title ' ELSE 'Body ' END || k AS text, CASE t WHEN 0 THEN '' ELSE 'Title ' || k END AS above FROM range(1, 3) r(k), range(0, 2) s(t)")
 def s15_pptx(spark: SparkSession, d: str) -> DataFrame:
     return _blocks(spark, "a.pptx", pptx_fixture())
 
@@ -155,7 +173,7 @@ _SESSIONS = """(SELECT user_id, min(ts) AS began, max(ts) AS ended, count(*) AS
 @query(f"SELECT * FROM {_SESSIONS} WHERE ended + INTERVAL 60 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE")
 def r4_stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Sessions of the events read as a stream; those the watermark has not passed are still open."""
-    folder = f"{shared_dir(spark).rstrip('/')}/lexmill/{uuid.uuid4().hex}"
+    folder = scratch(spark)
     e = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id")
     e.write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(e.schema).parquet(f"{folder}/in")

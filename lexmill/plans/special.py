@@ -123,7 +123,10 @@ def t24_all_typography(spark: SparkSession, d: str) -> DataFrame:
 _PAIRS = [(1, "Alpha v. Beta [2020] UKSC 1 and Gamma v. Delta [2019] EWCA 22"), (2, "[2018] EWHC 3 stands alone"), (3, "Alpha v. Beta, a case of long standing that nobody cites by number any more, [2020] UKSC 1")]
 
 
-@query(f"SELECT * FROM {values([(1, 'Alpha v. Beta', '[2020] UKSC 1'), (1, 'Gamma v. Delta', '[2019] EWCA 22')], 'id, name, cite')}")
+_NEAR = r"([A-Z][a-z]+ v\. [A-Z][a-z]+).{0,50}?(\[[0-9]{4}\] [A-Z]+ [0-9]+)"
+
+
+@query(f"SELECT id, unnest(regexp_extract_all(x, '{_NEAR}', 1)) AS name, unnest(regexp_extract_all(x, '{_NEAR}', 2)) AS cite FROM {values(_PAIRS, 'id, x')}")
 def j13_name_citation_pairs(spark: SparkSession, d: str) -> DataFrame:
     @F.pandas_udf("array<struct<name string, cite string>>")
     def pair(texts: pd.Series) -> pd.Series:
@@ -140,7 +143,12 @@ def j13_name_citation_pairs(spark: SparkSession, d: str) -> DataFrame:
 _PLAN = [("a", 3, []), ("b", 2, [("a", "FS", 0)]), ("c", 4, [("a", "SS", 1)]), ("d", 1, [("b", "FS", 0), ("c", "FF", 2)])]
 
 
-@query(f"SELECT * FROM {values([('a', 0, 0, 0), ('b', 3, 4, 1), ('c', 1, 1, 0), ('d', 6, 6, 0)], 'task, earliest, latest, slack')}")
+_LINKS = [(before, n, kind, lag) for n, _, links in _PLAN for before, kind, lag in links]
+
+
+@query(f"""WITH RECURSIVE t AS {values([(n, length) for n, length, _ in _PLAN], 'task, days')}, l AS (SELECT a, b, lag + CASE kind WHEN 'FS' THEN ta.days WHEN 'SS' THEN 0 ELSE ta.days - tb.days END AS shift FROM {values(_LINKS, 'a, b, kind, lag')} k JOIN t ta ON ta.task = k.a JOIN t tb ON tb.task = k.b),
+ f AS (SELECT task, 0 AS at FROM t UNION ALL SELECT b, f.at + shift FROM f JOIN l ON l.a = f.task), e AS (SELECT task, CAST(max(f.at) AS INTEGER) AS earliest FROM f GROUP BY task), fin AS (SELECT max(earliest + days) AS done FROM e JOIN t USING (task)),
+ g AS (SELECT task, done - days AS at FROM t, fin UNION ALL SELECT a, g.at - shift FROM g JOIN l ON l.b = g.task), h AS (SELECT task, CAST(min(g.at) AS INTEGER) AS latest FROM g GROUP BY task) SELECT task, earliest, latest, latest - earliest AS slack FROM e JOIN h USING (task)""")
 def w17_critical_path(spark: SparkSession, d: str) -> DataFrame:
     rows = [("p", n, length, [list(map(str, x)) for x in before]) for n, length, before in _PLAN]
 

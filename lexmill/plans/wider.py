@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -12,7 +10,7 @@ from lexmill.operators.ordered import running_number
 from lexmill.plans import harvest as H
 from lexmill.plans.common import fixture, sql_fold, values
 from lexmill.plans.files import _W, _zip
-from lexmill.session import shared_dir, table
+from lexmill.session import put_file, scratch, table
 from lexmill.sources import files as S, sinks as K
 from lexmill.streaming.sessions import append_new, new_lines, run_once
 
@@ -38,10 +36,6 @@ def _list(xs) -> str:
     return ", ".join(map(_q, xs))
 
 
-def _folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/lexmill/{uuid.uuid4().hex}"
-
-
 # ---- office files
 
 _RUNS = [
@@ -91,7 +85,7 @@ def k9_rewritten_docx(spark: SparkSession, d: str) -> DataFrame:
 def k1_text_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """The suppliers written as delimited text and as JSON, and read back by the readers that tell the format."""
     s = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("s_suppkey"), "s_name")
-    path = _folder(spark)
+    path = scratch(spark)
     K.write_delimited(s, f"{path}/csv", ";")
     K.write_json(s, f"{path}/json")
     got = S.read_delimited(spark, f"{path}/csv").withColumn("format", F.lit("csv")).unionByName(spark.read.schema(s.schema).json(f"{path}/json").withColumn("format", F.lit("json")))
@@ -512,26 +506,19 @@ def w15_next_batch(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT * FROM " + values([("one.txt", "text", None), ("two.md", "# T", None), ("big.txt", None, "FILE_TOO_LARGE")], "name, text, code"))
 def s18_file_tree(spark: SparkSession, d: str) -> DataFrame:
     """Files of a tree but for folders to skip; one over the cap keeps its row and gets a code."""
-    path = _folder(spark)
+    path = scratch(spark)
     for name, text in (("a/one.txt", "text"), ("a/.git/config", "no"), ("b/two.md", "# T"), ("b/big.txt", "x" * 64)):
-        _write(f"{path}/{name}", text)
+        put_file(spark, f"{path}/{name}", text.encode())
     t = S.read_tree(spark, path, most=32)
     return t.select(F.substring_index("path", "/", -1).alias("name"), F.decode("content", "utf-8").alias("text"), "code")
 
 
-def _write(path: str, text: str) -> None:
-    local = path.removeprefix("file:")
-    os.makedirs(os.path.dirname(local), exist_ok=True)
-    with open(local, "w") as f:
-        f.write(text)
-
-
 @query("SELECT * FROM " + values([("close", 1), ("open", 2)], "command, files"))
 def r1_command_folder(spark: SparkSession, d: str) -> DataFrame:
     """New command files of a folder as a stream, each taken once."""
-    path = _folder(spark)
+    path = scratch(spark)
     for k, command in enumerate(("open", "close", "open")):
-        _write(f"{path}/in/{k}.json", f'{{"command": "{command}"}}\n')
+        put_file(spark, f"{path}/in/{k}.json", f'{{"command": "{command}"}}\n'.encode())
     run_once(new_lines(spark, f"{path}/in", "command string"), f"{path}/out", f"{path}/state")
     return spark.read.schema("command string").parquet(f"{path}/out").groupBy("command").agg(F.count(F.lit(1)).cast("int").alias("files"))
 
@@ -539,9 +526,9 @@ def r1_command_folder(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
 def r2_journal_stream(spark: SparkSession, d: str) -> DataFrame:
     """The events written as an append-only journal of JSON lines, read as a stream; a broken line is passed over."""
-    path = _folder(spark)
+    path = scratch(spark)
     table(spark, d, "events").select("user_id", "event_id").write.json(f"{path}/in")
-    _write(f"{path}/in/broken.json", "not json\n")
+    put_file(spark, f"{path}/in/broken.json", b"not json\n")
     run_once(new_lines(spark, f"{path}/in", "user_id long, event_id long"), f"{path}/out", f"{path}/state")
     return spark.read.schema("user_id long, event_id long").parquet(f"{path}/out").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -549,7 +536,7 @@ def r2_journal_stream(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT DISTINCT ref_id FROM refs WHERE ref_id IS NOT NULL")
 def r3_state_table(spark: SparkSession, d: str) -> DataFrame:
     """Batches appended to a state table, each key once however often it comes."""
-    path = _folder(spark)
+    path = scratch(spark)
     r = table(spark, d, "refs").where("ref_id IS NOT NULL").select("ref_id")
     for batch in (r.where("ref_id % 2 = 0"), r.where("ref_id % 3 = 0"), r):
         append_new(batch, path, "ref_id").write.mode("append").parquet(path)

@@ -24,7 +24,7 @@ def test_tree_and_journal(spark, tmp_path):
     (tmp_path / ".git").mkdir()
     (tmp_path / ".git" / "x").write_text("no")
     (tmp_path / "a.txt").write_text("yes")
-    assert [r.path.rsplit("/", 1)[1] for r in S.read_tree(spark, str(tmp_path)).collect()] == ["a.txt"]
+    assert [(r.path.rsplit("/", 1)[1], r.code) for r in S.read_tree(spark, str(tmp_path)).collect()] == [("a.txt", None)]
     lines = spark.createDataFrame([('{"a": 1}',), ("{bad",), (None,)], "value string")
     assert [r.a for r in S.journal_rows(lines, "a int").collect()] == [1]
 
