@@ -259,11 +259,11 @@ def _scored(f: Harvest, anti: Column) -> Column:
     return F.least(F.greatest(score, F.lit(0)), F.lit(100))
 
 
-def candidates(sents: DataFrame, frames: list[Harvest]) -> DataFrame:
-    """``frame, field, score`` of each sentence and frame that fits it."""
+def candidates(sents: DataFrame, frames: list[Harvest], keep: tuple[str, ...] = ()) -> DataFrame:
+    """``frame, field, score`` of each sentence and frame that fits it, with the columns to keep."""
     anti = F.least(F.lit(28), 7 * sum((F.col("low").rlike(p).cast("int") for p in ANTI.values()), F.lit(0)))
     hits = [F.when(_all([F.col("lang") == f.lang, F.col("low").rlike(f.pattern), *[_fits(p) for p in f.needs], *[~_fits(p) for p in f.never]]), F.struct(F.lit(f.frame).alias("frame"), F.lit(f.field).alias("field"), _scored(f, anti).alias("score"))) for f in frames]
-    return sents.select("doc_id", "idx", "pos", F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("x")).select("doc_id", "idx", "pos", "x.*")
+    return sents.select("doc_id", "idx", "pos", *keep, F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("x")).select("doc_id", "idx", "pos", *keep, "x.*")
 
 
 def clean_party(c: Column) -> Column:
@@ -299,9 +299,9 @@ def _score_sql(f: Harvest) -> str:
     return f"CAST(least(greatest({score}, 0), 100) AS INTEGER)"
 
 
-def _frames_sql(frames: list[Harvest]) -> str:
+def _frames_sql(frames: list[Harvest], keep: str = "") -> str:
     return f"WITH {_SENTENCES_SQL} " + " UNION ALL ".join(
-        f"SELECT doc_id, idx, CAST(pos AS INTEGER) AS pos, '{f.frame}' AS frame, '{f.field}' AS field, {_score_sql(f)} AS score FROM s WHERE lang = '{f.lang}' AND {' AND '.join([f'regexp_matches(low, {_q(f.pattern)})', *map(_fits_sql, f.needs), *[f'NOT {_fits_sql(p)}' for p in f.never]])}" for f in frames
+        f"SELECT doc_id, idx, CAST(pos AS INTEGER) AS pos{keep}, '{f.frame}' AS frame, '{f.field}' AS field, {_score_sql(f)} AS score FROM s WHERE lang = '{f.lang}' AND {' AND '.join([f'regexp_matches(low, {_q(f.pattern)})', *map(_fits_sql, f.needs), *[f'NOT {_fits_sql(p)}' for p in f.never]])}" for f in frames
     )
 
 

@@ -67,7 +67,7 @@ def h28_gate_rules(spark: SparkSession, d: str) -> DataFrame:
     bad = F.col("op").isNull() | ~F.col("op").isin(*OPS) | F.col("path").isNull() | F.col("op").isin("add", "replace") & F.col("value").isNull()
     v1 = p.where(~listed).select("id", F.lit(0).alias("no")).unionByName(o.where(bad).select("id", "no")).withColumn("rule", F.lit("V1"))
     t = F.split("path", "/")
-    g = o.join(F.broadcast(v1.select("id").distinct()), "id", "left_anti")
+    g = o.join(v1.select("id").distinct(), "id", "left_anti")
     j = lambda c, path: F.get_json_object(c, path)
     g = g.select("*", F.get(t, F.lit(1)).alias("top"), F.get(t, F.lit(2)).try_cast("int").alias("at"), F.get(t, F.lit(3)).alias("sub"), (F.size(t) - 1).alias("depth"), F.col("value").startswith("{").alias("whole"))
     g = g.withColumn("have", F.coalesce(*[F.when(F.col("top") == f, F.size(F.from_json(j("doc", f"$.{f}"), "array<string>"))) for f in (*ENTITIES, "hierarchy")], F.lit(0)))
@@ -216,7 +216,7 @@ def dispute_rows(cells: DataFrame) -> DataFrame:
     """Rows under the header of the first sheet that is no disclaimer, with a number in the first column."""
     c = cells.where(~F.lower("sheet").contains("disclaimer"))
     head = c.where(F.array_contains("cells", "NO.") & F.array_contains("cells", "SHORT CASE NAME")).groupBy("sheet").agg(F.min("row_no").alias("head"))
-    r = c.join(F.broadcast(head), "sheet").where("row_no > head")
+    r = c.join(head, "sheet").where("row_no > head")
     at = lambda k: F.coalesce(F.get("cells", F.lit(k)), F.lit(""))
     return r.select(at(0).try_cast("double").cast("int").alias("no"), at(1).alias("name"), at(2).alias("status"), at(3).alias("follow_on"), at(4).alias("decisions")).where("no IS NOT NULL")
 

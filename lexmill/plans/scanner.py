@@ -244,7 +244,7 @@ def all_findings(spark: SparkSession, d: str) -> DataFrame:
 
 def kept_findings(spark: SparkSession, d: str) -> DataFrame:
     baseline = R.with_fingerprint(fixture(spark, ACCEPTED, "path string, line_no int, rule string"), "path", "line_no", "rule")
-    return R.less_baseline(all_findings(spark, d), F.broadcast(baseline))
+    return R.less_baseline(all_findings(spark, d), baseline)
 
 
 _COUNTS_SQL = "count(*) FILTER (severity = 0) AS low, count(*) FILTER (severity = 1) AS medium, count(*) FILTER (severity = 2) AS high, count(*) FILTER (severity = 3) AS critical, count(*) AS total"

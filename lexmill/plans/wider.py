@@ -372,6 +372,58 @@ def w3_candidate_ids(spark: SparkSession, d: str) -> DataFrame:
     return numbered.select("doc_id", "idx", "pos", "frame", "field", code("C").alias("candidate"), code("E").alias("evidence"))
 
 
+# What an entity of each field must have, and what it has by default.
+BUILDERS = {
+    "obligations": ("party", "status=open"), "deadlines": ("timing", "party=unspecified"), "transfers": ("amount", "to_party=unspecified"), "claim_classes": ("", "claim_type=waterfall"), "conditions": ("", "responsible_party=unspecified"), "communications": ("party", "comm_type=notice"), "controls": ("", "owner=unspecified"), "decision_points": ("", "yes_path=permitted/approved"),
+    "documents": ("", "type=deliverable"), "relationships": ("party", "to_entity=unspecified"), "events": ("timing", "actor=unspecified"), "concepts": ("", "concept_type=representation"),
+}
+_SUBJECT_SQL = H._clean_sql(f"regexp_extract(sent, {_q(H._SUBJECT)}, 1)")
+_KEEP_SQL = f", {_SUBJECT_SQL} AS party, regexp_extract(low, {_q(H.MONEY['en'])}, 0) AS amount, coalesce({', '.join(f'nullif(trim(regexp_extract(low, {_q(p)}, 0)), {chr(39) * 2})' for p in _STEPS)}, '') AS timing"
+
+
+@query(f"SELECT doc_id, idx, pos, field, frame, score, CASE WHEN score < 65 THEN 'hint' WHEN CASE need WHEN 'party' THEN party WHEN 'timing' THEN timing WHEN 'amount' THEN amount ELSE 'x' END = '' THEN 'hint' ELSE 'entity' END AS state, need AS required, CASE WHEN party = '' THEN 'unspecified' ELSE party END AS party, defaults FROM ({H._frames_sql(H.FRAMES, _KEEP_SQL)}) JOIN {values([(f, *v) for f, v in BUILDERS.items()], 'f, need, defaults')} ON f = field")
+def h24_builders(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates as entities of their field with its defaults; one without what its field requires, or too weak, stays a hint."""
+    s = H.sentences(spark, d)
+    timing = F.coalesce(*[F.nullif(F.trim(F.regexp_extract("low", p, 0)), F.lit("")) for p in _STEPS], F.lit(""))
+    s = s.withColumn("party", H.clean_party(F.regexp_extract("sent", H._SUBJECT, 1))).withColumn("amount", F.regexp_extract("low", H.MONEY["en"], 0)).withColumn("timing", timing)
+    c = H.candidates(s, H.FRAMES, ("party", "amount", "timing"))
+    to = fixture(spark, [(f, *v) for f, v in BUILDERS.items()], "field string, required string, defaults string")
+    c = c.join(F.broadcast(to), "field")
+    value = F.when(F.col("required") == "party", F.col("party")).when(F.col("required") == "timing", F.col("timing")).when(F.col("required") == "amount", F.col("amount")).otherwise("x")
+    state = F.when((F.col("score") < 65) | (value == ""), "hint").otherwise("entity")
+    return c.select("doc_id", "idx", "pos", "field", "frame", "score", state.alias("state"), "required", F.when(F.col("party") == "", "unspecified").otherwise(F.col("party")).alias("party"), "defaults")
+
+
+@query(f"WITH {H._SENTENCES_SQL} SELECT doc_id, idx, CAST(pos AS INTEGER) AS pos, {_SUBJECT_SQL} AS subject FROM s WHERE regexp_matches(sent, {_q(H._SUBJECT)})")
+def t10_clause_subjects(spark: SparkSession, d: str) -> DataFrame:
+    """Who a clause is about: what stands before its verb of duty, cleaned."""
+    s = H.sentences(spark, d).where(F.col("sent").rlike(H._SUBJECT))
+    return s.select("doc_id", "idx", "pos", H.clean_party(F.regexp_extract("sent", H._SUBJECT, 1)).alias("subject"))
+
+
+_LAWS = [
+    (1, "Przepis stanowi: Art. 5. Zmieniony tekst. Art. 5. 1. Pierwszy ustęp. 2. Drugi ustęp. Art. 6. Dalej.", "5", ""), (2, "Wstęp, który jest na tyle długi, że cytat nie sięga do niego wcale, bo ma on mieć ponad sto dwadzieścia znaków aż do końca tego zdania. Art. 5. 1. Pierwszy ustęp. 2. Drugi ustęp. Art. 6. Dalej.", "5", "2"), (3, "Art. 1. Jeden. § 2. Dwa.", "1", ""), (4, "Art. 1. Jeden.", "9", ""), (5, "W „ Art. 3. cytat ” i dalej bez końca", "3", ""), (6, "Art. 7. 1. Tylko jeden.", "7", "4"),
+]
+_QUOTED = r"""[„"']|stanowi[ąa][ :„"']"""
+
+
+@query(f"""WITH l AS (SELECT *, 'Art. ' || art || '.' AS sep FROM {values(_LAWS, 'id, x, art, part')}), p AS (SELECT *, string_split(x, sep) AS s FROM l), k AS (SELECT *, list_filter(range(1, len(s)), lambda k: NOT regexp_matches(right(replace(array_to_string(s[1:k], chr(1)), chr(1), sep), 120), {_q(_QUOTED)}))[1] AS at FROM p),
+ b AS (SELECT id, part, CASE WHEN k.at IS NOT NULL THEN sep || regexp_extract(replace(array_to_string(s[k.at + 1:], chr(1)), chr(1), sep) || ' § 0', '(?s)^(.*?)(?:Art[.] [0-9]|§ ?[0-9])', 1) END AS body FROM k)
+ SELECT id, CASE WHEN part = '' THEN trim(body) ELSE nullif(trim(regexp_extract(substr(body, 8) || ' 0. ', '(?s)(?:^|[^0-9])(' || part || '[.] .*?)[0-9]+[.] ', 1)), '') END AS article FROM b""")
+def h35_article_parts(spark: SparkSession, d: str) -> DataFrame:
+    """An article up to the next, or a part of it; a heading with a quotation in the 120 characters before it is another act's."""
+    l = fixture(spark, _LAWS, "id int, x string, art string, part string").withColumn("sep", F.concat(F.lit("Art. "), "art", F.lit("."))).withColumn("s", F.expr("split(x, concat('Art[.] ', art, '[.]'))"))  # noqa: E741
+    before = lambda k: F.array_join(F.slice("s", F.lit(1), k), "\x00")
+    # A heading is as long as its separator, so the last 120 characters are taken with it put back.
+    k = F.get(F.filter(F.sequence(F.lit(1), F.size("s")), lambda k: (k < F.size("s")) & ~F.right(F.replace(before(k), F.lit("\x00"), F.col("sep")), F.lit(120)).rlike(_QUOTED)), F.lit(0))
+    b = l.withColumn("k", k).withColumn("rest", F.replace(F.array_join(F.slice("s", F.col("k") + 1, F.greatest(F.size("s"), F.lit(1))), "\x00"), F.lit("\x00"), F.col("sep")))
+    body = F.when(F.col("k").isNotNull(), F.concat("sep", F.regexp_extract(F.concat("rest", F.lit(" § 0")), r"(?s)^(.*?)(?:Art[.] [0-9]|§ ?[0-9])", 1)))
+    b = b.withColumn("body", body)
+    part = F.expr("regexp_extract(concat(substring(body, 8), ' 0. '), concat('(?s)(?:^|[^0-9])(', part, '[.] .*?)[0-9]+[.] '), 1)")
+    return b.select("id", F.when(F.col("part") == "", F.trim("body")).otherwise(F.nullif(F.trim(part), F.lit(""))).alias("article"))
+
+
 # Fields that a result has.
 ALL_FIELDS = "parties obligations conditions deadlines transfers communications controls documents decision_points relationships ownership_links entities events legal_authorities concepts claim_classes risk_items data_flows process_steps ip_assets states transitions phases tasks negotiation_issues investigation_steps reference_points".split()
 _ROWS_ALL = "SELECT field, max(score) AS best FROM (" + H._frames_sql(H.FRAMES) + ") GROUP BY field"
