@@ -30,7 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Observation, Window, functions as F
 
 from lexmill.operators.ordered import running_sum
 
@@ -44,15 +44,20 @@ LEVELS_MAX = 64
 Cut = Callable[[DataFrame], DataFrame]
 
 
-def _double(state: DataFrame, cut: Cut) -> tuple[DataFrame, DataFrame | None]:
+def _counted(df: DataFrame, cut: Cut) -> tuple[DataFrame, int]:
+    """The table written, and how many of its rows still point upwards, counted as they are written."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count_if(F.col("up").isNotNull()).alias("n")))
+    return out, seen.get["n"]
+
+
+def _double(state: DataFrame, left: int, cut: Cut) -> tuple[DataFrame, DataFrame | None]:
     """Descendant counts of all nodes that reach a root; the table of those that do not, or None."""
-    left = state.where("up IS NOT NULL").count()
     while left:
         below = state.where("up IS NOT NULL").groupBy(F.col("up").alias("node")).agg(F.sum("size").alias("more"))
         above = state.select(F.col("node").alias("up"), F.col("up").alias("next"))
         state = state.join(below, "node", "left").join(above, "up", "left")
-        state = cut(state.select("node", "parent", F.col("next").alias("up"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
-        now = state.where("up IS NOT NULL").count()
+        state, now = _counted(state.select("node", "parent", F.col("next").alias("up"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")), cut)
         if now == left:
             return state.where("up IS NULL").select("node", "parent", "size"), state.where("up IS NOT NULL").select("node", "parent", "up")
         left = now
@@ -68,15 +73,15 @@ def _forest(sized: DataFrame, cut: Cut, with_path: bool) -> DataFrame:
     chain = chain.withColumn("head", F.coalesce("up", "node")).withColumn("pos", F.col("up").isNotNull().cast("long"))
     if with_path:
         chain = chain.withColumn("segment", F.array("node"))
-    chain = cut(chain)
-    while chain.where("up IS NOT NULL").limit(1).count():
+    chain, left = _counted(chain, cut)
+    while left:
         above = chain.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("head").alias("next_head"), F.col("pos").alias("next_pos"), *([F.col("segment").alias("next_segment")] if with_path else []))
         joined = chain.join(above, "up", "left")
         chain = joined.select(
             "node", "parent", "size", F.col("next").alias("up"), F.coalesce("next_head", "head").alias("head"), (F.col("pos") + F.coalesce("next_pos", F.lit(0))).alias("pos"),
             *([F.when(F.col("next_segment").isNull(), F.col("segment")).otherwise(F.concat("next_segment", "segment")).alias("segment")] if with_path else []),
         )
-        chain = cut(chain)
+        chain, left = _counted(chain, cut)
     # Pre-order of a head: after its parent, the parent's heavy subtree and its earlier siblings.
     light = chain.where("parent IS NOT NULL AND node = head").select("node", "parent", "size", F.pmod(F.xxhash64("node"), F.lit(SIBLING_BUCKETS)).alias("bucket"))
     inside = Window.partitionBy("parent", "bucket").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
@@ -89,15 +94,15 @@ def _forest(sized: DataFrame, cut: Cut, with_path: bool) -> DataFrame:
     hop = light.join(at, "parent").select("node", F.col("parent_head").alias("up"), (F.col("parent_pos") + 1).alias("steps"), (F.col("parent_pos") + 1 + F.col("heavy_size") + F.col("start") + F.col("bucket_start")).alias("first"), *(["parent_segment"] if with_path else []))
     tops = chain.where("parent IS NULL").select("node", F.lit(None).cast("string").alias("up"), F.lit(0).cast("long").alias("steps"), F.lit(0).cast("long").alias("first"), *([F.array().cast("array<string>").alias("parent_segment")] if with_path else []))
     heads = hop.unionByName(tops).withColumn("root", F.coalesce("up", "node"))
-    heads = cut(heads)
-    while heads.where("up IS NOT NULL").limit(1).count():
+    heads, left = _counted(heads, cut)
+    while left:
         above = heads.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("root").alias("next_root"), F.col("steps").alias("more"), F.col("first").alias("more_first"), *([F.col("parent_segment").alias("more_segment")] if with_path else []))
         joined = heads.join(above, "up", "left")
         heads = joined.select(
             "node", F.col("next").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), (F.col("first") + F.coalesce("more_first", F.lit(0))).alias("first"), F.coalesce("next_root", "root").alias("root"),
             *([F.when(F.col("more_segment").isNull(), F.col("parent_segment")).otherwise(F.concat("more_segment", "parent_segment")).alias("parent_segment")] if with_path else []),
         )
-        heads = cut(heads)
+        heads, left = _counted(heads, cut)
     heads = heads.select(F.col("node").alias("head"), "root", "steps", F.col("first").alias("head_first"), *(["parent_segment"] if with_path else []))
     out = chain.join(heads, "head")
     path = F.concat("parent_segment", "segment") if with_path else F.lit(None).cast("array<string>")
@@ -167,15 +172,12 @@ def _retie(tree: DataFrame, reach: DataFrame) -> DataFrame:
     )
 
 
-def _several(rows: DataFrame) -> DataFrame:
-    return rows.where("parent IS NOT NULL").groupBy("node").agg(F.min("parent").alias("p0"), F.max("parent").alias("p1")).where("p0 <> p1").select("node")
-
-
 def tied_pairs(links: DataFrame, cut: Cut, node: str = "node", parent: str = "parent") -> DataFrame:
     """``above, below``: the descendants of each node in trees that nodes of several parents tie together."""
     rows = _rows(links, node, parent)
+    tree, several = _single(rows, cut, False, False)
     edges = cut(rows.where("parent IS NOT NULL").distinct())
-    return _tied(cut(_single(rows, cut, False, False)), edges, cut(_several(edges)), cut).where("above <> below")
+    return _tied(cut(tree), edges, several, cut).where("above <> below")
 
 
 def hierarchy(links: DataFrame, cut: Cut, node: str = "node", parent: str = "parent", with_path: bool = False, with_first: bool = True) -> DataFrame:
@@ -186,29 +188,30 @@ def hierarchy(links: DataFrame, cut: Cut, node: str = "node", parent: str = "par
     for, and so is ``first`` of nodes on and below cycles.
     """
     rows = _rows(links, node, parent)
-    several = cut(_several(rows))
-    tree = _single(rows, cut, with_path, with_first)
+    tree, several = _single(rows, cut, with_path, with_first)
     if not several.limit(1).count():
         return tree
     tree, edges = cut(tree), cut(rows.where("parent IS NOT NULL").distinct())
     return _retie(tree, _tied(tree, edges, several, cut))
 
 
-def _single(rows: DataFrame, cut: Cut, with_path: bool, with_first: bool) -> DataFrame:
-    """The hierarchy by each node's smallest parent, its own name first."""
+def _single(rows: DataFrame, cut: Cut, with_path: bool, with_first: bool) -> tuple[DataFrame, DataFrame]:
+    """The hierarchy by each node's smallest parent, its own name first; and the nodes that have several."""
     every = rows.unionByName(rows.where("parent IS NOT NULL").select(F.col("parent").alias("node"), F.lit(None).cast("string").alias("parent")))
     choice = F.struct((F.col("parent") != F.col("node")).alias("k"), "parent")
-    nodes = every.groupBy("node").agg(F.min(F.when(F.col("parent").isNotNull(), choice)).alias("c")).select("node", F.col("c.parent").alias("parent"))
-    state = cut(nodes.select("node", "parent", F.col("parent").alias("up"), F.lit(1).cast("long").alias("size")))
-    sized, rest = _double(state, cut)
+    nodes = every.groupBy("node").agg(F.min(F.when(F.col("parent").isNotNull(), choice)).alias("c"), F.min("parent").alias("p0"), F.max("parent").alias("p1"))
+    nodes = nodes.select("node", F.col("c.parent").alias("parent"), (F.col("p0") != F.col("p1")).alias("several"))
+    state, left = _counted(nodes.select("node", "parent", F.col("parent").alias("up"), F.lit(1).cast("long").alias("size"), "several"), cut)
+    several = state.where("several").select("node")
+    sized, rest = _double(state.drop("several"), left, cut)
     out = _forest(sized, cut, with_path)
     if rest is None:
-        return out
+        return out, several
     low, of = _cycles(rest, cut)
     ring = low.select("node", F.lit(True).alias("ring"))
     loose = of.join(ring, "node", "left").select("node", F.when(F.col("ring").isNull(), F.col("parent")).alias("parent"), "low", F.coalesce("ring", F.lit(False)).alias("ring"))
     loose = cut(loose)
-    trees, _ = _double(cut(loose.select("node", "parent", F.col("parent").alias("up"), F.lit(1).cast("long").alias("size"))), cut)
+    trees, _ = _double(*_counted(loose.select("node", "parent", F.col("parent").alias("up"), F.lit(1).cast("long").alias("size")), cut), cut)
     found = trees.select("node", "size").join(loose, "node").join(of.select("node", F.col("parent").alias("owner")), "node")
     whole = found.where("ring").groupBy("low").agg(F.sum("size").alias("total"))
     found = found.join(whole, "low", "left")
@@ -224,7 +227,7 @@ def _single(rows: DataFrame, cut: Cut, with_path: bool, with_first: bool) -> Dat
         "node", F.col("owner").alias("parent"), F.col("low").alias("root"), F.when(F.col("ring"), -1).otherwise(-2).cast("int").alias("depth"), (F.when(F.col("ring"), F.col("total")).otherwise(F.col("size")) - 1).cast("int").alias("n_below"),
         "first", F.lit(None).cast("array<string>").alias("path"),
     )
-    return out.unionByName(on_cycle)
+    return out.unionByName(on_cycle), several
 
 
 def descendants(tree: DataFrame) -> DataFrame:
