@@ -7,10 +7,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lexmill.operators.hierarchy import descendants, heading_parents, hierarchy, ownership
 from lexmill.session import cut_lineage, table
 
-#: Places of a tree whose figures are taken together.
-RUN = 1024
-
-
 def _both(spark: SparkSession, sf_dir: str, with_path: bool = False, with_first: bool = False) -> DataFrame:
     """Company and heading hierarchies in one run, told apart by a letter before each name."""
     own = ownership(table(spark, sf_dir, "ownership_links"))
@@ -45,20 +41,33 @@ def p6_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_below(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What stands beneath each heading and each owner, by the intervals: their number, the least and the greatest."""
-    rows = p6_intervals(spark, sf_dir)
-    spans = rows.where("last > first").select("kind", "root", "node", "place", "first", "last")
-    # Places are cut into runs, so a large tree is many keys; an interval meets whole runs by their figures.
-    run = lambda c: F.floor(F.col(c) / RUN)
-    at = rows.select("kind", "root", F.col("node").alias("below"), F.col("place").alias("at")).withColumn("run", run("at"))
-    at = cut_lineage(at)
-    whole = at.groupBy("kind", "root", "run").agg(F.min("below").alias("low"), F.max("below").alias("high"))
-    ends = spans.select("*", F.explode(F.array_distinct(F.array(run("first"), run("last")))).alias("run"))
-    inner = spans.where(run("last") - run("first") > 1).select("*", F.explode(F.sequence(run("first") + 1, run("last") - 1)).alias("run"))
-    by_row = ends.join(at, ["kind", "root", "run"]).where("at BETWEEN first AND last AND below <> node").select("kind", "node", F.col("below").alias("low"), F.col("below").alias("high"))
-    by_run = inner.join(whole, ["kind", "root", "run"]).select("kind", "node", "low", "high")
-    found = by_row.unionByName(by_run).groupBy("kind", "node").agg(F.min("low").alias("least"), F.max("high").alias("greatest"))
-    return found.join(spans.select("kind", "node", (F.col("last") - F.col("first")).cast("int").alias("n_below")), ["kind", "node"])
+    """What stands beneath each heading and each owner, by the intervals: their number, the least and the greatest.
+
+    Least and greatest of every run of 2**k places are worked out by doubling;
+    an interval of any length is two such runs, so a deep tree costs no more
+    rows than its nodes times the number of doublings.
+    """
+    rows = cut_lineage(p6_intervals(spark, sf_dir).withColumn("tree", F.concat_ws("|", "kind", "root")))
+    # A node on a cycle stands within its own interval and is left out of it.
+    ranges = F.array(F.struct(F.col("first").alias("a"), (F.col("place") - 1).alias("b")), F.struct((F.col("place") + 1).alias("a"), F.col("last").alias("b")))
+    spans = rows.where("last > first").select("kind", "tree", "node", F.explode(F.filter(ranges, lambda x: x["b"] >= x["a"])).alias("r")).select("kind", "tree", "node", "r.*")
+    spans = cut_lineage(spans.withColumn("k", F.floor(F.log2(F.col("b") - F.col("a") + 1)).cast("int")))
+    levels = sorted(r.k for r in spans.select("k").distinct().collect())  # at most the logarithm of the largest tree
+    runs = rows.select("tree", F.col("place").alias("at"), F.col("node").alias("low"), F.col("node").alias("high"))
+    found = []
+    for k in range(levels[-1] + 1 if levels else 0):
+        if k in levels:
+            q = spans.where(F.col("k") == k)
+            for start in (F.col("a"), F.col("b") - (1 << k) + 1):
+                found.append(q.withColumn("at", start).join(runs, ["tree", "at"]).select("kind", "node", "low", "high"))
+        if k < levels[-1]:
+            later = runs.select("tree", (F.col("at") - (1 << k)).alias("at"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+            runs = cut_lineage(runs.join(later, ["tree", "at"]).select("tree", "at", F.least("low", "low2").alias("low"), F.greatest("high", "high2").alias("high")))
+    every = found[0] if found else rows.select("kind", "node", F.col("node").alias("low"), F.col("node").alias("high")).where("false")
+    for x in found[1:]:
+        every = every.unionByName(x)
+    ends = every.groupBy("kind", "node").agg(F.min("low").alias("least"), F.max("high").alias("greatest"))
+    return ends.join(rows.where("last > first").select("kind", "node", (F.col("last") - F.col("first")).cast("int").alias("n_below")), ["kind", "node"])
 
 
 _LINKS = r"""
