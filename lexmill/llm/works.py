@@ -222,7 +222,7 @@ def best_records(refs: DataFrame, trust: DataFrame, cut, recs: DataFrame | None
     recs = cut(records(refs)) if recs is None else recs
     labels = work_groups(recs, cut) if labels is None else labels
     many = labels.groupBy("work").count().where("count > 1").select("work")
-    ranks = F.broadcast(trust.select("source", "trust_rank").groupBy("source").agg(F.min("trust_rank").alias("trust_rank")))
+    ranks = trust.groupBy("source").agg(F.min("trust_rank").alias("trust_rank"))
     rank = recs.select("ref_id", F.explode("sources").alias("source")).join(ranks, "source").groupBy("ref_id").agg(F.min("trust_rank").alias("rank"))
     rows = recs.join(labels, "ref_id").join(many, "work").join(rank, "ref_id", "left").withColumn("rank", F.coalesce("rank", F.lit(1 << 30)))
     rows = cut(rows)
