@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.plans import files, harvest, hierarchies, lines, mining, more, rest, scanner, special, tables, texts, wider
+from lexmill.plans import contracts, files, harvest, hierarchies, lines, mining, more, rest, scanner, special, tables, texts, wider
 
 FLAGSHIP = "p6_found"
-_PARTS = (hierarchies, texts, tables, mining, files, special, more, scanner, harvest, lines, rest, wider)
+_PARTS = (hierarchies, texts, tables, mining, files, special, more, scanner, harvest, lines, rest, wider, contracts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
