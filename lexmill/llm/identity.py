@@ -103,16 +103,16 @@ def _shapes(core):
 _BLOCK = ["cls", "ctx", "ini"]
 
 
-def spelling_forms(names: DataFrame) -> DataFrame:
-    """``cls, ctx, ini, form, at``: every spelling of every name, folded and as typed; short ones once per affiliation or number."""
-    forms = names.select(*_BLOCK, "strongs", F.explode(F.array_distinct(F.concat("spells", F.array("core")))).alias("form"))
+def spelling_forms(names: DataFrame, places: DataFrame) -> DataFrame:
+    """``cls, ctx, ini, form, at``: every spelling of every name, folded and as typed; short ones also once per affiliation or number."""
+    forms = names.select(*_BLOCK, "core", F.explode(F.array_distinct(F.concat("spells", F.array("core")))).alias("form"))
     # What is left of a short name says little: there the affiliation or number is part of the block.
-    at = F.when(F.length("form") > SHORT, F.array(F.lit(""))).otherwise(F.concat(F.array(F.lit("")), "strongs"))
-    return forms.select(*_BLOCK, "form", F.explode(at).alias("at")).distinct()
+    short = forms.where(F.length("form") <= SHORT).join(places, [*_BLOCK, "core"]).select(*_BLOCK, "form", F.col("strong").alias("at"))
+    return forms.select(*_BLOCK, "form", F.lit("").alias("at")).unionByName(short).distinct()
 
 
 def near_spellings(new: DataFrame, every: DataFrame) -> DataFrame:
-    """``cls, ctx, ini, form, near``: spellings one typing error apart, of which the first is in ``new``.
+    """``cls, ctx, ini, form, near``: spellings alike or one typing error apart, of which the first is in ``new``.
 
     The spellings that share a shape are at most its places times the letters there are, so no block is large.
     """
@@ -121,33 +121,36 @@ def near_spellings(new: DataFrame, every: DataFrame) -> DataFrame:
     # Letters at two places differ in some pairs that share a shape: keep one typing error only.
     swapped = (F.length("form") == F.length("near")) & (F.levenshtein("form", "near") == 2) & (F.array_sort(F.split("form", "")) == F.array_sort(F.split("near", "")))
     pairs = pairs.where((F.levenshtein("form", "near") <= 1) | swapped)
-    return pairs.select(*_BLOCK, "form", "near").distinct()
+    return pairs.select(*_BLOCK, "form", "near").unionByName(new.select(*_BLOCK, "form", F.col("form").alias("near"))).distinct()
 
 
-def canonical_names(names: DataFrame, near: DataFrame, cut: Cut) -> DataFrame:
+def canonical_names(names: DataFrame, places: DataFrame, near: DataFrame, cut: Cut) -> DataFrame:
     """Names moved to others at least as frequent: ``cls, ctx, ini, core, to``.
 
-    ``names`` has ``cls, ctx, ini, core, n, softs, strongs, spells``, one row
+    ``names`` has ``cls, ctx, ini, core, n, softs, placed, spells``, one row
     per name; ``spells`` are its forms, folded and as typed, and two are near
-    if any of their forms are. Every name is a candidate, whatever its count; it moves to
+    if any of their forms are. ``places`` has a row for each affiliation or
+    number of a name. Every name is a candidate, whatever its count; it moves to
     one whose fields do not clash, if that is FREQUENT times as frequent, shares
     an affiliation or number, or knows all of its given names or legal forms.
     """
     held = names.select(*_BLOCK, "core", F.explode(F.array_distinct(F.concat("spells", F.array("core")))).alias("form"))
     other = held.withColumnRenamed("core", "to")
-    pairs = held.join(near, [*_BLOCK, "form"]).drop("form").join(other.withColumnRenamed("form", "near"), [*_BLOCK, "near"]).drop("near")
-    pairs = pairs.unionByName(held.join(other, [*_BLOCK, "form"]).drop("form")).where("core <> to").distinct()
-    stats = names.select(*_BLOCK, "core", "n", "softs", "strongs")
-    pairs = pairs.join(stats, [*_BLOCK, "core"]).join(stats.select(*_BLOCK, *[F.col(c).alias(x) for c, x in (("core", "to"), ("n", "to_n"), ("softs", "to_softs"), ("strongs", "to_strongs"))]), [*_BLOCK, "to"])
+    pairs = held.join(near, [*_BLOCK, "form"]).drop("form").join(other.withColumnRenamed("form", "near"), [*_BLOCK, "near"]).drop("near").where("core <> to").distinct()
+    stats = names.select(*_BLOCK, "core", "n", "softs", "placed")
+    pairs = pairs.join(stats, [*_BLOCK, "core"]).join(stats.select(*_BLOCK, *[F.col(c).alias(x) for c, x in (("core", "to"), ("n", "to_n"), ("softs", "to_softs"), ("placed", "to_placed"))]), [*_BLOCK, "to"])
     pairs = pairs.where((F.col("to_n") > F.col("n")) | (F.col("to_n") == F.col("n")) & (F.col("to") < F.col("core")))
     shares = lambda a, b: F.arrays_overlap(F.col(a), F.col(b))
     known = (F.size("softs") > 0) & (F.size("to_softs") > 0)
     clash = known & ~F.coalesce(shares("softs", "to_softs"), F.lit(False))
     # The soft field of people is the given name, of companies the legal form: neither may clash.
-    pairs = pairs.where(~clash)
-    apart = (F.size("strongs") > 0) & (F.size("to_strongs") > 0) & ~F.coalesce(shares("strongs", "to_strongs"), F.lit(False))
-    pairs = pairs.where(~apart)
-    proof = F.coalesce(shares("strongs", "to_strongs"), F.lit(False)).cast("int")
+    pairs = cut(pairs.where(~clash))
+    # Places in common are looked up from those of the rarer name, so a name of many places is never carried along.
+    own = pairs.where("placed AND to_placed").select(*_BLOCK, "core", "to").join(places, [*_BLOCK, "core"])
+    common = own.join(places.withColumnRenamed("core", "to"), [*_BLOCK, "to", "strong"], "left_semi").select(*_BLOCK, "core", "to").distinct().withColumn("proof", F.lit(1))
+    pairs = pairs.join(common, [*_BLOCK, "core", "to"], "left").withColumn("proof", F.coalesce("proof", F.lit(0)))
+    pairs = pairs.where("proof = 1 OR NOT (placed AND to_placed)")
+    proof = F.col("proof")
     soft = F.coalesce(shares("softs", "to_softs"), F.lit(False)).cast("int")
     # Two frequent spellings are often two names: that some given name occurs under both says nothing then.
     sure = (F.size("softs") > 0) & (F.size(F.array_except("softs", "to_softs")) == 0)
@@ -316,14 +319,16 @@ def _entities(settled: DataFrame) -> DataFrame:
     return named.join(renamed, "entity", "left").withColumn("entity", F.coalesce("low", "entity")).drop("low")
 
 
-def _learned(placed: DataFrame) -> DataFrame:
-    """One row per name with all that its entities have learned: ``cls, ctx, ini, core, n, softs, strongs, spells``."""
+def _learned(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the entities of each name have learned: ``cls, ctx, ini, core, n, softs, placed, spells``, and ``cls, ctx, ini, core, strong``."""
     key = ["cls", "ctx", "ini", "name"]
-    known = placed.groupBy("entity").agg(F.collect_set("soft").alias("softs"), F.collect_set("strong").alias("strongs"), F.array_union(F.collect_set("core"), F.collect_set("spelled")).alias("spells"))
+    known = placed.groupBy("entity").agg(F.collect_set("soft").alias("softs"), F.max(F.col("strong").isNotNull()).alias("placed"), F.array_union(F.collect_set("core"), F.collect_set("spelled")).alias("spells"))
     held = placed.groupBy(*key, "entity").agg(F.sum("n").alias("n")).join(known, "entity")
     union = lambda c: F.array_distinct(F.flatten(F.collect_set(c)))
-    names = held.groupBy(*key).agg(F.sum("n").alias("n"), F.array_remove(union("softs"), "").alias("softs"), union("strongs").alias("strongs"), union("spells").alias("spells"))
-    return names.withColumnRenamed("name", "core")
+    names = held.groupBy(*key).agg(F.sum("n").alias("n"), F.array_remove(union("softs"), "").alias("softs"), F.max("placed").alias("placed"), union("spells").alias("spells"))
+    at = placed.where("strong IS NOT NULL").select("entity", "strong").distinct()
+    places = placed.select(*key, "entity").distinct().join(at, "entity").select(*key, "strong").distinct()
+    return names.withColumnRenamed("name", "core"), places.withColumnRenamed("name", "core")
 
 
 _PROFILE = ["cls", "core", "spelled", "ctx", "ini", "soft", "mid", "strong", "place"]
@@ -355,8 +360,8 @@ def resolve(found: DataFrame, cut: Cut, works: DataFrame | None = None) -> DataF
     seen = near = None
     while True:
         placed = cut(_entities(settled))
-        names = cut(_learned(placed))
-        forms = cut(spelling_forms(names))
+        names, places = map(cut, _learned(placed))
+        forms = cut(spelling_forms(names, places))
         new = forms if seen is None else cut(forms.join(seen, [*_BLOCK, "form", "at"], "left_anti"))
         if seen is None:
             near = cut(near_spellings(new, forms))
@@ -364,7 +369,7 @@ def resolve(found: DataFrame, cut: Cut, works: DataFrame | None = None) -> DataF
             more = near_spellings(new, forms)
             near = cut(near.unionByName(more).unionByName(more.select(*_BLOCK, F.col("near").alias("form"), F.col("form").alias("near"))).distinct())
         seen = forms
-        moves = cut(canonical_names(names, near, cut))
+        moves = cut(canonical_names(names, places, near, cut))
         if not moves.limit(1).count():
             break
         moved = settled.join(moves.select(*_BLOCK, F.col("core").alias("name"), "to"), [*_BLOCK, "name"], "left").withColumn("changed", F.col("to").isNotNull()).withColumn("name", F.coalesce("to", "name")).drop("to")
