@@ -131,6 +131,7 @@ CONSENT = (
     ("veto_right", 66, r"may block|may object|right to object|shall not proceed without", r"peu(?:t|vent) bloquer|peu(?:t|vent) s'opposer|droit de s'opposer|ne procède(?:nt)? pas sans"),
     ("waiver", 64, r"may waive|waiver of|waived by|failure to enforce shall not constitute waiver", r"peu(?:t|vent) renoncer|renonciation à|renoncée? par"),
 )
+# Wording of the frames that stand alone.
 _SCHEDULE = W(r"schedule(?: no\.?)? *[a-z0-9]+|exhibit [a-z0-9]+|annexe? *[0-9]+|set forth on schedule|disclosed on schedule")
 _REP = W(r"represents and warrants|representations?|warranties|true and correct|to the knowledge of|except as disclosed|set forth on schedule")
 _DOC_EN = r"deliver|provide|furnish|make available|submit|file|send|officer's certificate|secretary's certificate|bring-down certificate|compliance certificate|executed counterpart|books and records|inspection rights|schedule no\.? *[0-9]+|schedule [a-z0-9]+|exhibit [a-z0-9]+|annexe? [0-9]+|set forth on schedule|disclosed on schedule"
@@ -186,6 +187,7 @@ FRAMES: list[Harvest] = [
     Harvest("h18", "en", "concepts", "representation_warranty", 65, _REP),
     Harvest("h18", "fr", "concepts", "representation_warranty", 65, W(r"déclare(?:nt)? et garanti(?:t|ssent)|déclare(?:nt)?|atteste(?:nt)?|véridiques? et exactes?|à tous (?:les )?égards importants|à la connaissance de|sauf divulgation|énoncée?s? à l'annexe")),
 ]
+# Wording around names.
 _INTRO = W(r"by and among|by and between|entered into|agreement is (?:entered|made)|is made (?:as of|this)|this \p{L}+ (?:agreement|contract|deed|indenture)")
 _DATA_WORDS = W(r"personal information|personal data|payment data|processor|service provider|data processing|privacy")
 NAMES: list[Named] = [
@@ -374,6 +376,7 @@ def d24_deadline_text(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- over whole blocks, and over documents
 
+# Captions of cases in both languages, and words before a name that are none of it.
 _CAPTION = {"en": r"([A-Z][A-Za-z0-9.&' ]*?) +(?:vs?\.?) +([A-Z][A-Za-z0-9.&' ]*?[A-Za-z0-9]\.?)(?: +[a-z]| *,| *et al| *$)", "fr": r"([A-ZÀ-Þ][\p{L}\p{N}'.& -]*?) +c\. +([A-ZÀ-Þ][\p{L}\p{N}'.& -]*?[\p{L}\p{N}]\.?)(?: +[a-zà-ÿ]| *,| *et al| *$)"}
 _LEADING = r"^(?:(?:[Ii]n|[Tt]he|[Oo]n|[Aa]t|[Ff]or|[Ss]ee|[Pp]er|[Uu]nder|[Rr]e|[Bb]etween|[Cc]f|[Cc]ompare) +)+"
 _CAP_FIX = [(-1, 0, "en", "In re The Smith Estate v. Jones Ltd, heard below"), (-2, 0, "fr", "Tremblay c. Daigle, en appel"), (-3, 0, "en", "no caption here")]

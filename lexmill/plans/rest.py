@@ -268,6 +268,7 @@ def k11_console_lines(spark: SparkSession, d: str) -> DataFrame:
 _SEGS = [
     (1, 1, "regular", "pays the "), (1, 2, "ins", "a buyer"), (1, 3, "regular", "5"), (1, 4, "del", "euros now"), (2, 1, "regular", "signs in"), (2, 2, "ins", "to force"), (3, 1, "regular", "end "), (3, 2, "regular", " start"), (4, 1, "ins", "the"), (4, 2, "regular", " the the rule"), (5, 1, "del", "someText"), (5, 2, "regular", " section5 and"), (5, 3, "regular", " 10years later"), (6, 1, "regular", "well-"), (6, 2, "ins", "known 1st"), (7, 1, "regular", "because of "), (7, 2, "del", "rain"),
 ]
+# Rules on neighbouring segments (which kinds, end of the one, beginning of the other) and on single ones.
 _PAIR_RULES = {
     "binding_word": ("l.kind = 'regular' AND r.kind IN ('ins', 'del')", (r"(?i)(?:^|[\s(\[{\"“‘])(?:to|of|in|for|on|at|by|with|from|into|under|over|within|between|among|against|before|after|about)\s*$", r"\S")), "article_collision": ("l.kind = 'regular' AND r.kind IN ('ins', 'del')", (r"(?i)(?:^|[\s(\[{\"“‘])(?:the|a|an)\s*$", r"(?i)^\s*(?:the|a|an)(?:[^\p{L}]|$)")),
     "alpha_collision": ("true", (r"\p{L}$", r"^\p{L}")), "digit_at_boundary": ("(l.kind = 'regular') <> (r.kind = 'regular')", (r"[0-9]$", r"^\p{L}")), "digit_after_word": ("(l.kind = 'regular') <> (r.kind = 'regular')", (r"\p{L}$", r"^[0-9]")), "double_space": ("true", (r" $", r"^ ")),
