@@ -35,13 +35,21 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from lexmill.llm.forms import given_forms, word_hints
 from lexmill.llm.persons import close, parse_company, parse_person
 
 Cut = Callable[[DataFrame], DataFrame]
 
+
+def _counted(df: DataFrame, cut: Cut) -> tuple[DataFrame, int]:
+    """The table written, and its number of rows, counted as they are written."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, seen.get["n"]
+
+
 #: Without agreement, another spelling must stand this many times for each mention of this one but the first.
 FREQUENT = 2
 #: Letters of a shape from which it stands without an affiliation or number.
@@ -124,8 +132,8 @@ def near_spellings(new: DataFrame, every: DataFrame) -> DataFrame:
     return pairs.select(*_BLOCK, "form", "near").unionByName(new.select(*_BLOCK, "form", F.col("form").alias("near"))).distinct()
 
 
-def canonical_names(names: DataFrame, places: DataFrame, near: DataFrame, cut: Cut) -> DataFrame:
-    """Names moved to others at least as frequent: ``cls, ctx, ini, core, to``.
+def canonical_names(names: DataFrame, places: DataFrame, near: DataFrame, cut: Cut) -> DataFrame | None:
+    """Names moved to others at least as frequent: ``cls, ctx, ini, core, to``; None if there is none.
 
     ``names`` has ``cls, ctx, ini, core, n, softs, placed, spells``, one row
     per name; ``spells`` are its forms, folded and as typed, and two are near
@@ -156,7 +164,9 @@ def canonical_names(names: DataFrame, places: DataFrame, near: DataFrame, cut: C
     sure = (F.size("softs") > 0) & (F.size(F.array_except("softs", "to_softs")) == 0)
     pairs = pairs.where((proof == 1) | sure | (F.col("to_n") >= FREQUENT * (F.col("n") - 1)))
     best = pairs.groupBy(*_BLOCK, "core").agg(F.max_by("to", F.struct(proof.alias("a"), soft.alias("b"), F.col("to_n").alias("c"), F.col("to").alias("d"))).alias("to"))
-    best = cut(best)
+    best, moved = _counted(best, cut)
+    if not moved:
+        return None
     # A leader that itself moves passes its followers on.
     again = best.select(*_BLOCK, F.col("core").alias("to"), F.col("to").alias("next"))
     return best.join(again, [*_BLOCK, "to"], "left").select(*_BLOCK, "core", F.coalesce("next", "to").alias("to"))
@@ -308,7 +318,7 @@ def _settled(profiles: DataFrame, cut: Cut) -> DataFrame:
     rows = shown.join(met, _NAME, "left_semi").unionByName(alike)
     to = _streamed(rows, _NAME, "cls string, name string, ctx string, ini string, part string, to string, sure boolean", by_name)
     loose = loose.join(to, [*_NAME, "part"]).select("pid", F.col("to").alias("part"), "sure")
-    return cut(profiles.join(strong.select("pid", "part", F.lit(True).alias("sure")).unionByName(loose), "pid"))
+    return profiles.join(strong.select("pid", "part", F.lit(True).alias("sure")).unionByName(loose), "pid")
 
 
 def _entities(settled: DataFrame) -> DataFrame:
@@ -356,28 +366,30 @@ def resolve(found: DataFrame, cut: Cut, works: DataFrame | None = None) -> DataF
     and goes to a name later in one order, so they do end.
     """
     members, profiles = _profiles(found, cut)
-    settled = _settled(profiles, cut)
+    settled = cut(_settled(profiles, cut))
     seen = near = None
     while True:
         placed = cut(_entities(settled))
         names, places = map(cut, _learned(placed))
-        forms = cut(spelling_forms(names, places))
-        new = forms if seen is None else cut(forms.join(seen, [*_BLOCK, "form", "at"], "left_anti"))
+        forms = spelling_forms(names, places)
         if seen is None:
-            near = cut(near_spellings(new, forms))
-        elif new.limit(1).count():
-            more = near_spellings(new, forms)
-            near = cut(near.unionByName(more).unionByName(more.select(*_BLOCK, F.col("near").alias("form"), F.col("form").alias("near"))).distinct())
-        seen = forms
-        moves = cut(canonical_names(names, places, near, cut))
-        if not moves.limit(1).count():
+            seen = cut(forms)
+            near = cut(near_spellings(seen, seen))
+        else:
+            new, more = _counted(forms.join(seen, [*_BLOCK, "form", "at"], "left_anti"), cut)
+            if more:
+                seen = cut(seen.unionByName(new))
+                found = near_spellings(new, seen)
+                near = cut(near.unionByName(found).unionByName(found.select(*_BLOCK, F.col("near").alias("form"), F.col("form").alias("near"))).distinct())
+        moves = canonical_names(names, places, near, cut)
+        if moves is None:
             break
-        moved = settled.join(moves.select(*_BLOCK, F.col("core").alias("name"), "to"), [*_BLOCK, "name"], "left").withColumn("changed", F.col("to").isNotNull()).withColumn("name", F.coalesce("to", "name")).drop("to")
-        moved = cut(moved)
+        moves = cut(moves)
+        moved = settled.join(moves.select(*_BLOCK, F.col("core").alias("name"), "to"), [*_BLOCK, "name"], "left").withColumn("name", F.coalesce("to", "name")).drop("to")
         # Only names that gained a profile are settled anew.
-        touched = moved.where("changed").select(*_NAME).distinct()
-        again = moved.join(touched, _NAME, "left_semi").drop("changed", "part", "sure")
-        settled = cut(moved.join(touched, _NAME, "left_anti").drop("changed").unionByName(_settled(cut(again), cut)))
+        touched = moves.select("cls", F.col("to").alias("name"), "ctx", "ini").distinct()
+        again = cut(moved.join(touched, _NAME, "left_semi").drop("part", "sure"))
+        settled = cut(moved.join(touched, _NAME, "left_anti").unionByName(_settled(again, cut)))
     placed = cut(members.join(placed.select("pid", "name", "ini", "sure", "entity"), "pid").drop("pid"))
     if works is not None:
         # An unsure author is the one this work's other records name.

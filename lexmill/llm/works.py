@@ -25,7 +25,7 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from lexmill.llm import codepoints as cp
 from lexmill.llm.persons import parse_person
@@ -125,13 +125,13 @@ def work_groups(recs: DataFrame, cut) -> DataFrame:
     while True:
         low = keys.join(label, "ref_id").groupBy("k").agg(F.min("work").alias("low"))
         best = keys.join(low, "k").groupBy("ref_id").agg(F.min("low").alias("low"))
-        step = label.join(best, "ref_id", "left").select("ref_id", F.least("work", F.coalesce("low", "work")).alias("work"), F.col("work").alias("old"))
+        step = label.join(best, "ref_id", "left").select("ref_id", F.col("work").alias("old"), F.least("work", F.coalesce("low", "work")).alias("work"))
         # A record follows the record it points at.
-        step = cut(step)
-        jump = step.select(F.col("ref_id").alias("work"), F.col("work").alias("next"))
-        moved = step.where("work <> old").limit(1).count()
-        label = cut(step.join(jump, "work", "left").select("ref_id", F.coalesce("next", "work").alias("work")))
-        if not moved:
+        jump = label.select(F.col("ref_id").alias("work"), F.col("work").alias("next"))
+        seen = Observation()
+        step = step.join(jump, "work", "left").select("ref_id", "old", F.coalesce("next", "work").alias("work"))
+        label = cut(step.observe(seen, F.count_if(F.col("work") != F.col("old")).alias("n")).drop("old"))
+        if not seen.get["n"]:
             return label
 
 
