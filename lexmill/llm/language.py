@@ -51,6 +51,8 @@ CODES = {name: code for code, names in NOTATIONS.items() for name in names.split
 #: Bound of the training sample: blocks drawn, and characters kept, of each language.
 SAMPLE_ROWS = 700
 TRAIN_CHARS = 24000
+#: Cells of a table of next states; an alphabet that needs more is looked up by sorted keys, which takes a hundredth of the memory.
+DENSE_CELLS = 1 << 25
 #: Longest text taken into the sample, so that its size is bounded in bytes too.
 SAMPLE_TEXT = 4000
 #: Language of sentences in a script of which no language has text.
@@ -97,8 +99,8 @@ def _script_index() -> np.ndarray:
     return out
 
 
-def automaton(text: list[int], size: int) -> np.ndarray:
-    """Suffix automaton of a symbol list: ``out[state, symbol]`` is the next state, 0 none; 1 is the root."""
+def _edges(text: list[int]) -> list[dict[int, int]]:
+    """Suffix automaton of a symbol list: the next state by symbol, for each state; 1 is the root, 0 none."""
     nxt: list[dict[int, int]] = [{}, {}]
     link, length = [0, 0], [0, 0]
     last = 1
@@ -125,6 +127,12 @@ def automaton(text: list[int], size: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
+    return nxt
+
+
+def automaton(text: list[int], size: int) -> np.ndarray:
+    """Suffix automaton of a symbol list: ``out[state, symbol]`` is the next state, 0 none; 1 is the root."""
+    nxt = _edges(text)
     out = np.zeros((len(nxt), size), np.int32)
     for s, edges in enumerate(nxt):
         for c, t in edges.items():
@@ -132,6 +140,39 @@ def automaton(text: list[int], size: int) -> np.ndarray:
     return out
 
 
+class Steps:
+    """Next states of several automata, numbered on: an array for small alphabets, sorted keys for those of thousands of signs."""
+
+    def __init__(self, texts: Iterable[list[int]], size: int):
+        bases, keys, values, base = [], [], [], 0
+        # One automaton at a time is held as dictionaries, which take much more room than their arrays.
+        for text in texts:
+            machine = _edges(text)
+            n = sum(map(len, machine))
+            state = np.repeat(np.arange(base, base + len(machine), dtype=np.int64), np.fromiter(map(len, machine), np.int64, len(machine)))
+            keys.append(state * size + np.fromiter((c for e in machine for c in e), np.int64, n))
+            values.append(np.fromiter((t for e in machine for t in e.values()), np.int64, n) + base)
+            bases.append(base)
+            base += len(machine)
+            del machine
+        self.bases = np.array(bases, np.int64)
+        self.keys, self.values = np.concatenate(keys), np.concatenate(values).astype(np.int32)
+        self.dense = None
+        if base * size <= DENSE_CELLS:
+            self.dense = np.zeros(base * size, np.int32)
+            self.dense[self.keys] = self.values
+        else:
+            order = np.argsort(self.keys)
+            self.keys, self.values = self.keys[order], self.values[order]
+
+    def __call__(self, at: np.ndarray) -> np.ndarray:
+        """Next state of each ``state * size + symbol``, 0 for none."""
+        if self.dense is not None:
+            return self.dense[at]
+        spot = np.minimum(np.searchsorted(self.keys, at), len(self.keys) - 1)
+        return np.where(self.keys[spot] == at, self.values[spot], 0)
+
+
 class Model:
     """Automata per script, built once in each worker from the bounded training text."""
 
@@ -161,18 +202,14 @@ class Model:
                 known[c] = k + 2
             of = np.where(letters > 0, np.where(known[letters] > 0, known[letters], 1), 0).astype(np.uint16)
             size = len(order) + 2
-            tables, bases, base = [], [], 0
-            for lang in langs:
-                raw = cp.clip(np.frombuffer(texts[lang].encode("utf-32-le"), np.uint32))
-                seq = of[raw]
-                seq = seq[~((seq == 0) & (np.concatenate([[1], seq[:-1]]) == 0))]
-                t = automaton(seq.tolist(), size)
-                t[:, 1] = 0
-                bases.append(base)
-                tables.append(np.where(t > 0, t + base, 0).astype(np.int32))
-                base += len(t)
+
+            def sequence(lang: str) -> list[int]:
+                seq = of[cp.clip(np.frombuffer(texts[lang].encode("utf-32-le"), np.uint32))]
+                return seq[~((seq == 0) & (np.concatenate([[1], seq[:-1]]) == 0))].tolist()
+
+            steps = Steps(map(sequence, langs), size)
             norm = np.array([math.log(max(len(texts[lang]), 2)) for lang in langs])
-            self.tables[script] = (langs, of, size, np.concatenate(tables).reshape(-1), np.array(bases, np.int64), norm)
+            self.tables[script] = (langs, of, size, steps, steps.bases, norm)
 
     @staticmethod
     def _script(counts: np.ndarray) -> np.ndarray:
@@ -196,7 +233,7 @@ class Model:
         b, n = b[order], (e - b)[order]
         count = np.zeros((len(langs), len(b)), np.int32)
         root = (bases + 1)[:, None]
-        first = table[(root * size + np.arange(size)[None, :])]
+        first = table(root * size + np.arange(size)[None, :])
         first = np.where(first == 0, root, first)
         state = np.repeat(root, len(b), 1)
         live = len(b)
@@ -205,7 +242,7 @@ class Model:
                 live -= 1
             s = seq[b[:live] + t]
             state = state[:, :live]
-            step = table[state * size + s]
+            step = table(state * size + s)
             miss = step == 0
             count[:, :live] += miss
             state = np.where(miss, first[:, s], step).astype(np.int64)

@@ -370,3 +370,15 @@ def test_a_rare_language_is_learned(spark):
     rows = [(k, 0, "en", EN) for k in range(3000)] + [(k, 0, "fra", FR) for k in range(3000, 3003)]
     assert {lang for lang, _ in fit(spark.createDataFrame(rows, "doc_id long, idx int, lang string, text string"))} == {"en", "fr"}
     assert fit(spark.createDataFrame([], "doc_id long, idx int, lang string, text string")) == ()
+
+
+def test_steps_by_sorted_keys_equal_the_array(monkeypatch):
+    from lexmill.llm import language
+
+    dense = Model(dict(TRAINED))
+    monkeypatch.setattr(language, "DENSE_CELLS", 0)
+    sparse = Model(dict(TRAINED))
+    for script, text in ((0, EN[:90] + FR[:60]), (6, ZH + JA)):
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        ends = np.array([len(text) // 2, len(text)])
+        assert (dense.phrases(script, codes, np.array([0, 3]), ends) == sparse.phrases(script, codes, np.array([0, 3]), ends)).all()
