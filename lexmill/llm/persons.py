@@ -24,6 +24,7 @@ OTHERS = frozenset(["et al", "et alii", "i in", "u a", "and others", "y otros",
 FORMS = {
     "inc": "inc incorporated", "corp": "corp corporation", "ltd": "ltd limited", "llc": "llc limitedliabilitycompany", "gmbh": "gmbh gesellschaftmbh gesellschaftmitbeschrankterhaftung", "sa": "sa societeanonyme spolkaakcyjna",
     "ltee": "ltee limitee", "spzoo": "spzoo spolkazoo spolkazograniczonaodpowiedzialnoscia", "plc": "plc publiclimitedcompany", "sarl": "sarl", "sas": "sas", "ag": "ag aktiengesellschaft", "llp": "llp", "bv": "bv", "nv": "nv", "sl": "sl", "spk": "spk",
+    "spa": "spa societaperazioni", "srl": "srl", "oy": "oy oyj osakeyhtio", "ab": "ab aktiebolag", "aps": "aps", "pty": "pty ptyltd proprietarylimited", "kg": "kg kommanditgesellschaft", "gmbhcokg": "gmbhcokg", "lp": "lp limitedpartnership", "kk": "kk", "pte": "pte pteltd", "snc": "snc", "sca": "sca", "kft": "kft", "doo": "doo", "ooo": "ooo",
 }
 # Business words of companies and their short forms, without spaces and stops.
 BUSINESS = {
